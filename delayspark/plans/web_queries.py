@@ -1 +1,238 @@
-"""Registered queries of the captured-page jobs (section J)."""
+"""Registered queries of the captured-page jobs
+over the driver's ``pages`` table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..operators import web as W
+from ..registry import register
+from ..schema import CARD_LABELS, QUALITY_LABELS
+from ..session import read_table
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _decode(e: str) -> str:
+    for ent, ch in H.ENTITIES:
+        e = f"replace({e}, {q(ent)}, {q(ch)})"
+    return e
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _text_of(e: str) -> str:
+    return (f"array_to_string(list_transform(regexp_split_to_array({_decode(e)}, {q(H.TAG)}), "
+            f"lambda x: {_strip('x')}), '')")
+
+
+def _resolve(b: str, h: str) -> str:
+    origin = f"regexp_extract({b}, {q(H.ORIGIN)}, 1)"
+    no_query = f"regexp_replace({b}, '[?#].*$', '')"
+    directory = f"regexp_extract({no_query}, '^(.*/)', 1)"
+    return (f"CASE WHEN regexp_matches({h}, {q(H.SCHEME)}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, {q(H.SCHEME)}, 1) || {h} "
+            f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
+            f"WHEN {h} = '' THEN {b} "
+            f"WHEN starts_with({h}, '#') THEN {no_query} || {h} "
+            f"WHEN starts_with({h}, '?') THEN {no_query} || {h} "
+            f"ELSE CASE WHEN {directory} = '' THEN {origin} || '/' ELSE {directory} END || {h} END")
+
+
+LINKS_SQL = f"""links AS (
+  SELECT page_id, base, {_decode('href0')} AS href, {_resolve('base', _decode('href0'))} AS url,
+         {_text_of("inner_html")} AS text, pos
+  FROM (SELECT page_id, base, unnest(hrefs) AS href0, unnest(inners) AS inner_html,
+               CAST(generate_subscripts(hrefs, 1) - 1 AS BIGINT) AS pos
+        FROM (SELECT page_id, url AS base, regexp_extract_all(html, {q(H.ANCHOR)}, 1) AS hrefs,
+                     regexp_extract_all(html, {q(H.ANCHOR)}, 2) AS inners FROM pages)))"""
+
+
+def _contains_any(e: str, words) -> str:
+    return "(" + " OR ".join(f"contains({e}, {q(w)})" for w in words) + ")"
+
+
+STRICT = f"(contains(lower(text), 'download') AND {_contains_any('lower(text)', H.STRICT_LINK_WORDS)})"
+LENIENT = (f"(coalesce(contains(lower(text), 'download') AND ({_contains_any('lower(text)', H.LENIENT_LINK_WORDS)} "
+           f"OR regexp_matches(text, '20\\d{{2}}')), false) OR contains(lower(href), '/resource/') OR "
+           f"{_contains_any('lower(href)', ['.' + e for e in H.DATA_EXTENSIONS])})")
+
+
+def _filename(t: str = "text", h: str = "href", exts=("xlsx", "csv", "json")) -> str:
+    name = f"regexp_extract({t}, {q(H.FILENAME_PATTERN)}, 1)"
+    ext = f"'.{H.DEFAULT_EXTENSION}'"
+    for e in reversed(list(exts)):
+        ext = f"CASE WHEN contains(lower({t}), '{e}') THEN '.{e}' ELSE {ext} END"
+    from_text = f"translate(lower({_strip(name)}), ' _', '--') || {ext}"
+    path = f"regexp_replace(regexp_replace({h}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', ''), '[?#].*$', '')"
+    base = f"regexp_extract({path}, '([^/]*)$', 1)"
+    rid = f"string_split(string_split({h}, '/resource/')[-1], '/')[1]"
+    from_url = (f"CASE WHEN {base} <> '' AND contains({base}, '.') THEN {base} "
+                f"WHEN contains({h}, '/resource/') THEN {rid} || '.{H.DEFAULT_EXTENSION}' "
+                f"ELSE 'download.{H.DEFAULT_EXTENSION}' END")
+    raw = f"CASE WHEN {name} <> '' THEN {from_text} ELSE {from_url} END"
+    return f"regexp_replace({raw}, {q(H.FILENAME_JUNK)}, '', 'g')"
+
+
+def links(spark, sf):
+    return W.extract_links(read_table(spark, sf, "pages"))
+
+
+@register("extract_links", f"WITH {LINKS_SQL} SELECT page_id, pos, href, url, text FROM links")
+def q_extract_links(spark, sf):
+    """Every anchor of every page with resolved URL and text."""
+    return links(spark, sf)
+
+
+@register("dedupe_keep_first", f"""WITH {LINKS_SQL}
+SELECT page_id, url, pos, href, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM links) WHERE rn = 1""")
+def q_dedupe(spark, sf):
+    """first link per (page, URL)."""
+    return W.dedupe_keep_first(links(spark, sf))
+
+
+@register("derive_filename", f"WITH {LINKS_SQL} SELECT page_id, pos, text, href, {_filename()} AS filename FROM links")
+def q_filename(spark, sf):
+    """File name derived from link text / href for every link."""
+    return W.with_filenames(links(spark, sf)).select("page_id", "pos", "text", "href", "filename")
+
+
+@register("is_download_link", f"WITH {LINKS_SQL} SELECT page_id, pos, {STRICT} AS is_download FROM links")
+def q_is_download(spark, sf):
+    """Strict download-link test for every link."""
+    return links(spark, sf).select("page_id", "pos", H.is_download_link(F.col("text")).alias("is_download"))
+
+
+@register("is_download_link_lenient", f"WITH {LINKS_SQL} SELECT page_id, pos, {LENIENT} AS is_download FROM links")
+def q_is_download_lenient(spark, sf):
+    """Lenient download-link test for every link."""
+    return links(spark, sf).select("page_id", "pos",
+                                   H.is_download_link_lenient(F.col("text"), F.col("href")).alias("is_download"))
+
+
+@register("download_links", f"""WITH {LINKS_SQL}
+SELECT page_id, url, pos, href, text, filename FROM (
+  SELECT *, {_filename()} AS filename, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn
+  FROM links WHERE {STRICT}) WHERE rn = 1""")
+def q_download_links(spark, sf):
+    """Download links (C7) with file names, first per (page, URL)."""
+    return W.download_links(read_table(spark, sf, "pages"))
+
+
+@register("download_links_lenient", f"""WITH {LINKS_SQL}
+SELECT page_id, url, pos, href, text, filename FROM (
+  SELECT *, {_filename()} AS filename, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn
+  FROM links WHERE {LENIENT}) WHERE rn = 1""")
+def q_download_links_lenient(spark, sf):
+    """J3 with C8: the lenient download-link variant."""
+    return W.download_links(read_table(spark, sf, "pages"), lenient=True)
+
+
+_SLUG = "regexp_replace(string_split(url, '/dataset/')[-1], '/+$', '', 'g')"
+
+
+@register("dataset_slug", f"SELECT page_id, url, {_SLUG} AS dataset FROM pages")
+def q_slug(spark, sf):
+    """I32: dataset folder name from the page URL."""
+    return read_table(spark, sf, "pages").select("page_id", "url", H.dataset_slug(F.col("url")).alias("dataset"))
+
+
+_PAGE_TEXT = _decode("regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), "
+                     f"{q(H.TAG)}, '', 'g')")
+
+
+def _pct(label: str, ci: bool = True) -> str:
+    flag = "(?i)" if ci else ""
+    v = f"NULLIF(regexp_extract(t, {q(flag + label + r'[:\s]+(\d+)%')}, 1), '')"
+    return f"CASE WHEN {v} IS NOT NULL THEN {v} || '%' END"
+
+
+_LAST_REFRESHED = _strip(f"regexp_extract(t, {q(r'(?i)Last refreshed[:\s]+([^\n]+)')}, 1)")
+_QUALITY_COLS = ", ".join(
+    [f"{_pct('Overall score')} AS overall_score",
+     f"NULLIF(regexp_extract(t, {q(r'(?i)Grade[:\s]+([A-Za-z]+)')}, 1), '') AS grade"]
+    + [f"{_pct(m)} AS {m.lower()}" for m in QUALITY_LABELS]
+    + [f"NULLIF({_LAST_REFRESHED}, '') AS last_refreshed"])
+
+
+@register("quality_metrics", f"SELECT page_id, {_QUALITY_COLS} FROM (SELECT page_id, {_PAGE_TEXT} AS t FROM pages)")
+def q_quality(spark, sf):
+    """Quality panel figures (any case) read from each page's text."""
+    return W.quality_metrics(read_table(spark, sf, "pages"))
+
+
+_HAS_SCORE = "(contains(t, 'Overall score') OR contains(lower(t), 'score'))"
+_FIRST_PCT = "NULLIF(regexp_extract(t, '(\\d+)%', 1), '')"
+_STRICT_COLS = ", ".join(
+    [f"CASE WHEN {_HAS_SCORE} AND {_FIRST_PCT} IS NOT NULL THEN {_FIRST_PCT} || '%' END AS overall_score",
+     f"CASE WHEN {_HAS_SCORE} THEN NULLIF(regexp_extract(t, 'Grade[:\\s]+([A-Za-z]+)', 1), '') END AS grade"]
+    + [f"CASE WHEN {_HAS_SCORE} THEN {_pct(m, False)} END AS {m.lower()}" for m in QUALITY_LABELS])
+
+
+@register("quality_metrics_strict", f"SELECT page_id, {_STRICT_COLS} FROM (SELECT page_id, {_PAGE_TEXT} AS t FROM pages)")
+def q_quality_strict(spark, sf):
+    """The strict quality variant (nothing without a score mention)."""
+    return W.quality_metrics_strict(read_table(spark, sf, "pages"))
+
+
+_TD = "(?is)<td[^>]*>(.*?)</td>"
+
+
+def _cell(i: int) -> str:
+    return f"CASE WHEN len(tds) > {i} THEN {_text_of(f'tds[{i + 1}]')} ELSE '' END"
+
+
+@register("table_rows", f"""
+SELECT page_id, row, {_cell(0)} AS column_name, {_cell(1)} AS type, {_cell(2)} AS description FROM (
+  SELECT page_id, row, regexp_extract_all(tr, {q(_TD)}, 1) AS tds FROM (
+    SELECT page_id, unnest(trs) AS tr, CAST(generate_subscripts(trs, 1) - 1 AS BIGINT) AS row FROM (
+      SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<table[^>]*>(.*?)</table>', 1),
+                                         '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM pages)))
+WHERE row > 0 AND len(tds) >= 2""")
+def q_table_rows(spark, sf):
+    """Dictionary rows (name, type, description) from the first table of each page."""
+    return W.table_rows(read_table(spark, sf, "pages"))
+
+
+def _cards_sql(h: str) -> str:
+    head = f"regexp_extract(ctext, {q(rf'(?is)<{h}[^>]*>(.*?)</{h}>')}, 1)"
+    link_href = f"regexp_extract({head}, {q(H.HREF)}, 1)"
+    link_text = f"regexp_extract({head}, {q(r'(?is)<a\s[^>]*>(.*?)</a>')}, 1)"
+    has_link = f"regexp_matches({head}, {q(r'(?is)<a\s[^>]*href')})"
+    para = f"regexp_extract(ctext, {q(r'(?is)<p(?:\s[^>]*)?>(.*?)</p>')}, 1)"
+    text = _decode(f"regexp_replace(ctext, {q(H.TAG)}, '', 'g')")
+    labels = []
+    for name, label in CARD_LABELS.items():
+        pattern = q(label + r"\s*([^\n]*)")
+        labels.append(f"{_strip(f'regexp_extract({text}, {pattern}, 1)')} AS {name}")
+    return f"""
+SELECT page_id, card, CASE WHEN {has_link} THEN {_text_of(link_text)} ELSE {_text_of(head)} END AS title,
+       CASE WHEN {has_link} AND {link_href} <> '' THEN {_resolve('base', link_href)} ELSE '' END AS url,
+       {_text_of(para)} AS description, {', '.join(labels)}
+FROM (SELECT page_id, base, card, '<{h}' || piece AS ctext FROM (
+  SELECT page_id, url AS base, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS card
+  FROM (SELECT page_id, url, regexp_split_to_array(html, '(?i)<{h}') AS pieces FROM pages)) WHERE card > 0)"""
+
+
+@register("catalogue_cards", _cards_sql("h1"))
+def q_cards(spark, sf):
+    """Catalogue cards split at each <h1> (the heading the captured pages use)."""
+    return W.catalogue_cards(read_table(spark, sf, "pages"), heading="h1", require_dataset_link=False)
+
+
+@register("link_manifest", f"""WITH {LINKS_SQL}
+SELECT page_id, url, pos, href, text, filename, dataset, 'dataset/' || dataset || '/' || filename AS path,
+       'download' AS status, row_number() OVER (PARTITION BY dataset, filename ORDER BY page_id, pos) > 1 AS collision
+FROM (SELECT l.*, {_filename('l.text', 'l.href')} AS filename, {_SLUG.replace('url', 'p.url')} AS dataset,
+             row_number() OVER (PARTITION BY l.page_id, l.url ORDER BY l.pos) AS rn
+      FROM links l JOIN pages p ON l.page_id = p.page_id WHERE {STRICT.replace('text', 'l.text')}) WHERE rn = 1""")
+def q_link_manifest(spark, sf):
+    """M8 + D4 + A13: download links per dataset page with target path, status and collision flag."""
+    return W.link_manifest(read_table(spark, sf, "pages"))
