@@ -1 +1,289 @@
-"""Registered queries of the catalogue jobs (sections C4-C6, D2-D4, E24-E26, H2-H3, I21-I32)."""
+"""Registered queries of the catalogue jobs over the capture derived from
+``pages`` (C4-C6, D2, D3, E24-E26, G5, H2, H3, I21-I31, J8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import catalogue as K
+from ..functions import html as H
+from ..operators import catalogue as CAT
+from ..registry import register
+from ..session import read_table
+from ..sources import capture as CP
+from .web_queries import _decode, _resolve, _strip, _text_of, q
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages")
+
+
+def _arr(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def _day(expr: str, hhmmss: str) -> str:
+    return f"strftime(DATE '{CP.CAPTURE_EPOCH}' + CAST({expr} AS INTEGER), '%Y-%m-%d') || 'T{hhmmss}'"
+
+
+PG = f"""pg AS (
+  SELECT page_id, url, 'ds-' || CAST(page_id AS VARCHAR) AS name,
+         regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+         regexp_extract_all(html, {q(H.ANCHOR)}, 1) AS hrefs,
+         regexp_extract_all(html, {q(H.ANCHOR)}, 2) AS inners
+  FROM pages)"""
+
+RES = f"""res AS (
+  SELECT page_id, name, rpos, name || '-r' || CAST(rpos AS VARCHAR) AS id,
+         {_text_of('inner_html')} AS rname,
+         {_arr(CP.FORMATS)}[CAST((page_id + rpos) % {len(CP.FORMATS)} AS INTEGER) + 1] AS format,
+         {_resolve('url', _decode('href'))} AS rurl,
+         CASE WHEN rpos % 5 <> 4 THEN CAST(length({_decode('href')}) * 1024 + rpos AS BIGINT) END AS size,
+         {_day('page_id + rpos', '08:00:00')} AS last_modified,
+         {_day('page_id', '07:00:00')} AS created
+  FROM (SELECT page_id, url, name, unnest(hrefs) AS href, unnest(inners) AS inner_html,
+               CAST(generate_subscripts(hrefs, 1) - 1 AS BIGINT) AS rpos FROM pg))"""
+
+_EXTRAS = (f"list_filter(["
+           f"CASE WHEN page_id % 3 <> 0 THEN {{'key': 'refresh_rate', 'value': "
+           f"{_arr(CP.REFRESH)}[CAST(page_id % 4 AS INTEGER) + 1]}} END, "
+           f"CASE WHEN page_id % 3 = 0 THEN {{'key': 'update_frequency', 'value': 'Quarterly'}} END, "
+           f"CASE WHEN page_id % 4 = 0 THEN {{'key': 'date_modified', 'value': {_day('page_id', '09:15:00')}}} END, "
+           f"CASE WHEN page_id % 8 = 0 THEN {{'key': 'refresh_rate', 'value': 'As available'}} END, "
+           f"CASE WHEN page_id % 5 = 0 THEN {{'key': 'dataset_category', 'value': 'Map'}} END"
+           f"], lambda e: e IS NOT NULL)")
+
+DS = f"""ds AS (
+  SELECT page_id, name, title,
+         CASE WHEN page_id % 10 <> 0 THEN '  ' || title || ' ' || chr(10) END AS notes,
+         CASE WHEN page_id % 9 = 0 THEN 'unknown' ELSE {_day('page_id', '10:30:00')} END AS metadata_modified,
+         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '' ELSE {q(CP.LICENSE)} END AS license_title,
+         CASE WHEN page_id % 3 = 0 THEN 'ogl-toronto' ELSE '' END AS license_id,
+         CASE WHEN page_id % 7 <> 0 THEN regexp_extract(url, '://([^/]+)', 1) END AS org_title,
+         list_transform(inners, lambda x: {_text_of('x')}) AS texts,
+         list_transform(generate_series(0, len(hrefs) - 1),
+                        lambda i: {_arr(CP.FORMATS)}[CAST((page_id + i) % {len(CP.FORMATS)} AS INTEGER) + 1]) AS fmts,
+         {_EXTRAS} AS extras
+  FROM pg)"""
+
+
+def _last(key_pred: str) -> str:
+    return f"list_filter(extras, lambda e: {key_pred})[-1].value"
+
+
+def _has(key: str) -> str:
+    return f"len(list_filter(extras, lambda e: e.key = '{key}')) > 0"
+
+
+_REFRESH = "CASE " + " ".join(f"WHEN {_has(k)} THEN coalesce({_last(f'e.key = {q(k)}')}, '')"
+                              for k in K.REFRESH_KEYS) + " ELSE '' END"
+_MOD = _last("e.key IN ('date_modified', 'metadata_modified')")
+_LAST_REFRESHED = (f"CASE WHEN coalesce({_MOD}, '') <> '' THEN {_MOD} "
+                   f"WHEN coalesce(metadata_modified, '') <> '' THEN coalesce(strftime(TRY_CAST("
+                   f"regexp_replace(metadata_modified, 'Z$', '+00:00') AS TIMESTAMP), '%b %d, %Y'), metadata_modified) "
+                   f"ELSE '' END")
+_CAT = _last("e.key = 'dataset_category'")
+_UPPER_FMTS = "list_transform(fmts, lambda f: upper(coalesce(f, '')))"
+_HAS_CSV = f"len(list_filter({_UPPER_FMTS}, lambda f: contains(f, 'CSV'))) > 0"
+
+
+def _join_nonempty(lst: str) -> str:
+    return f"array_to_string(list_filter({lst}, lambda t: coalesce(t, '') <> ''), ' | ')"
+
+
+INFO_SELECT = f"""SELECT page_id, coalesce(title, '') AS title,
+  CASE WHEN coalesce(name, '') <> '' THEN '{K.PORTAL_BASE}/dataset/' || name || '/' ELSE '' END AS url,
+  coalesce({_strip('notes')}, '') AS description,
+  {_REFRESH} AS refresh_rate,
+  {_LAST_REFRESHED} AS last_refreshed,
+  coalesce(org_title, '') AS publisher,
+  CASE WHEN coalesce({_CAT}, '') <> '' THEN {_CAT} ELSE 'Table' END AS type,
+  array_to_string(list_sort(list_distinct(list_filter({_UPPER_FMTS}, lambda f: f <> ''))), ' | ') AS formats,
+  {_join_nonempty('texts[1:2]')} AS topics,
+  {_join_nonempty('texts')} AS tags,
+  coalesce(NULLIF(license_title, ''), NULLIF(license_id, '')) AS license,
+  coalesce(name, '') AS name
+FROM ds WHERE {_HAS_CSV}"""
+
+
+def cat_sql(final: str, extra: str = "") -> str:
+    ctes = [PG, RES, DS] + ([extra] if extra else [])
+    return "WITH " + ",\n".join(ctes) + "\n" + final
+
+
+def _capture(spark, sf):
+    p = _pages(spark, sf)
+    return CP.search_results(p), CP.packages(p), CP.datastore_fields(p), CP.resource_records(p)
+
+
+@register("dataset_info", cat_sql(INFO_SELECT))
+def q_dataset_info(spark, sf):
+    """J8 (I21-I27, C4, H3): the 12 catalogue fields of every dataset with a CSV resource."""
+    return CAT.dataset_info(CP.search_results(_pages(spark, sf)))
+
+
+@register("has_format", cat_sql(f"SELECT page_id, name, {_HAS_CSV} AS has_csv FROM ds"))
+def q_has_format(spark, sf):
+    """C4: does a dataset have a CSV resource."""
+    s = CP.search_results(_pages(spark, sf))
+    return s.select("page_id", "name", K.has_format("resources", "CSV").alias("has_csv"))
+
+
+@register("extras_to_map", cat_sql("""SELECT page_id, e.key AS key, arg_max_null(e.value, p) AS value FROM (
+  SELECT page_id, unnest(extras) AS e, generate_subscripts(extras, 1) AS p FROM ds) GROUP BY page_id, e.key"""))
+def q_extras_map(spark, sf):
+    """Extras list -> map (last duplicate wins), shown as (key, value) rows."""
+    s = CP.search_results(_pages(spark, sf))
+    return s.select("page_id", F.explode(K.extras_to_map("extras")).alias("key", "value"))
+
+
+_CSV_RES = "contains(upper(coalesce(format, '')), 'CSV')"
+
+
+@register("resource_detail", cat_sql(f"""SELECT name, rpos, rname AS resource_name, format, rurl AS url, size,
+  last_modified, created, id FROM res WHERE {_CSV_RES}"""))
+def q_resource_detail(spark, sf):
+    """CSV resources of every package with the 7 detail fields."""
+    r = CAT.resource_rows(CP.packages(_pages(spark, sf)), csv_only=True)
+    return r.select("name", "rpos", F.col("detail.name").alias("resource_name"), "detail.format", "detail.url",
+                    "detail.size", "detail.last_modified", "detail.created", "detail.id")
+
+
+_FIELDS = """(SELECT page_id, unnest(texts) AS t, CAST(generate_subscripts(texts, 1) - 1 AS BIGINT) AS fpos FROM ds)"""
+_FIELD_COLS = (f"coalesce(f.t, '') AS column_name, {_arr(CP.FIELD_TYPES)}[CAST(f.fpos % 4 AS INTEGER) + 1] AS type, "
+               f"CASE WHEN f.fpos % 3 <> 0 THEN 'About ' || f.t ELSE '' END AS description")
+
+
+@register("field_dictionary", cat_sql(f"""SELECT r.id AS resource_id, f.fpos, {_FIELD_COLS}
+FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id WHERE r.rpos % 2 = 0"""))
+def q_field_dictionary(spark, sf):
+    """(column_name, type, description) per datastore field."""
+    fields = CP.datastore_fields(_pages(spark, sf))
+    return fields.select("resource_id", F.posexplode(K.field_dictionary("fields")).alias("fpos", "f")).select(
+        "resource_id", "fpos", "f.column_name", "f.type", "f.description")
+
+
+@register("collect_dictionary", cat_sql(f"""SELECT r.name, r.rpos, f.fpos, {_FIELD_COLS}
+FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
+WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} AND coalesce(r.id, '') <> ''"""))
+def q_collect_dictionary(spark, sf):
+    """Each dataset's dictionary = fields of its CSV resources in order (long form)."""
+    _, pk, fl, _ = _capture(spark, sf)
+    return CAT.dictionary_rows(pk, fl)
+
+
+_REC = "(SELECT * FROM res WHERE rpos % 3 <> 2)"
+
+
+@register("quality_first", cat_sql(f"""SELECT name, last_modified, created, format, size FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY rpos) AS rn FROM {_REC} WHERE {_CSV_RES}) WHERE rn = 1"""))
+def q_quality_first(spark, sf):
+    """E26 first: facts of the first CSV resource with a record."""
+    _, pk, _, rc = _capture(spark, sf)
+    return CAT.quality_first(pk, rc)
+
+
+@register("quality_last", cat_sql(f"""SELECT name, last_modified, created, format, size FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY rpos DESC) AS rn FROM {_REC}) WHERE rn = 1"""))
+def q_quality_last(spark, sf):
+    """E26 last: facts of the last resource with a record."""
+    _, pk, _, rc = _capture(spark, sf)
+    return CAT.quality_last(pk, rc)
+
+
+@register("quality_update", cat_sql(f"""SELECT name, key, arg_max_null(value, rpos * 10 + kpos) AS value FROM (
+  SELECT name, rpos, 0 AS kpos, 'last_refreshed' AS key, last_modified AS value FROM {_REC} WHERE {_CSV_RES}
+  UNION ALL SELECT name, rpos, 1, 'format', format FROM {_REC} WHERE {_CSV_RES}
+  UNION ALL SELECT name, rpos, 2, 'size', CAST(size AS VARCHAR) FROM {_REC} WHERE {_CSV_RES}
+  UNION ALL SELECT name, rpos, 3, 'quality_score', CAST(page_id % 100 AS VARCHAR) FROM {_REC} WHERE {_CSV_RES}
+  UNION ALL SELECT name, rpos, 4, 'Score_Grade', 'B' FROM {_REC} WHERE {_CSV_RES}) GROUP BY name, key"""))
+def q_quality_update(spark, sf):
+    """E26 update + I31: key-wise merge of CSV resource facts, later wins."""
+    _, pk, _, rc = _capture(spark, sf)
+    return CAT.quality_update(pk, rc)
+
+
+@register("quality_extras", cat_sql(f"""SELECT id AS resource_id, key, value FROM (
+  SELECT id, 'quality_score' AS key, CAST(page_id % 100 AS VARCHAR) AS value FROM {_REC}
+  UNION ALL SELECT id, 'Score_Grade', 'B' FROM {_REC})"""))
+def q_quality_extras(spark, sf):
+    """Resource extras whose key mentions quality or score."""
+    rc = CP.resource_records(_pages(spark, sf))
+    return rc.select("resource_id", F.explode(K.quality_extras("extras")).alias("e")).select(
+        "resource_id", "e.key", "e.value")
+
+
+_ENRICHED = f"""enriched AS (
+  SELECT d.page_id, d.name, coalesce(nr.n, 0) AS n_resources, coalesce(nd.n, 0) AS n_dictionary,
+         qf.name IS NOT NULL AS has_quality, qf.last_modified, qf.created, qf.format, qf.size
+  FROM ds d
+  LEFT JOIN (SELECT name, count(*) AS n FROM res WHERE {_CSV_RES} GROUP BY 1) nr ON d.name = nr.name
+  LEFT JOIN (SELECT r.name, count(*) AS n FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
+             WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} GROUP BY 1) nd ON d.name = nd.name
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rpos) AS rn
+             FROM {_REC} WHERE {_CSV_RES}) WHERE rn = 1) qf ON d.name = qf.name)"""
+
+
+def _enriched(spark, sf):
+    s, pk, fl, rc = _capture(spark, sf)
+    return CAT.enrich(s, pk, fl, rc, policy="first")
+
+
+@register("enrich", cat_sql("SELECT * FROM enriched", _ENRICHED))
+def q_enrich(spark, sf):
+    """Datasets enriched by left joins with packages, fields and records."""
+    return _enriched(spark, sf)
+
+
+@register("enrichment_coverage", cat_sql("""SELECT count(*) AS datasets, count(*) FILTER (WHERE n_dictionary > 0) AS with_dictionary,
+  count(*) FILTER (WHERE has_quality) AS with_quality, sum(n_dictionary) AS dictionary_columns,
+  round(count(*) FILTER (WHERE n_dictionary > 0) * 100.0 / count(*) * 1000000.0) / 1000000.0 + 0.0 AS pct_dictionary,
+  round(count(*) FILTER (WHERE has_quality) * 100.0 / count(*) * 1000000.0) / 1000000.0 + 0.0 AS pct_quality
+FROM enriched""", _ENRICHED))
+def q_coverage(spark, sf):
+    """Enrichment coverage counts and percentages."""
+    return CAT.enrichment_coverage(_enriched(spark, sf))
+
+
+@register("needs_enrichment", cat_sql("SELECT * FROM enriched WHERE n_dictionary = 0 OR NOT has_quality", _ENRICHED))
+def q_needs(spark, sf):
+    """Datasets still missing a dictionary or quality."""
+    return CAT.needs_enrichment(_enriched(spark, sf))
+
+
+@register("union_distinct", cat_sql("SELECT * FROM enriched WHERE n_dictionary = 0 OR NOT has_quality", _ENRICHED))
+def q_union_distinct(spark, sf):
+    """H2: needing-dictionary united with needing-quality, one row per dataset."""
+    return CAT.union_distinct(_enriched(spark, sf))
+
+
+@register("resume_remaining", cat_sql("""SELECT page_id, name FROM ds
+WHERE name NOT IN (SELECT name FROM enriched WHERE n_dictionary > 0)""", _ENRICHED))
+def q_resume(spark, sf):
+    """D3: datasets not processed yet (those without a dictionary count as not done)."""
+    done = _enriched(spark, sf).where(F.col("n_dictionary") > 0)
+    return CAT.resume_remaining(CP.search_results(_pages(spark, sf)).select("page_id", "name"), done)
+
+
+@register("first_with", cat_sql("SELECT * FROM enriched ORDER BY n_dictionary > 0 DESC, page_id LIMIT 1", _ENRICHED))
+def q_first_with(spark, sf):
+    """First dataset having a dictionary (else the first)."""
+    return CAT.first_with(_enriched(spark, sf))
+
+
+@register("not_readme", cat_sql("""SELECT name, rpos, rname AS title FROM res
+WHERE trim(coalesce(rname, '')) <> '' AND NOT contains(lower(rname), 'readme')"""))
+def q_not_readme(spark, sf):
+    """Resource headings that are not blank and not a readme."""
+    r = CAT.resource_rows(CP.packages(_pages(spark, sf)), csv_only=False)
+    return CAT.not_readme(r.select("name", "rpos", F.col("detail.name").alias("title")))
+
+
+@register("file_size_label", cat_sql("""SELECT name, rpos, size, CASE WHEN size IS NULL THEN NULL
+  WHEN size / 1048576.0 < 1 THEN printf('%.2f', size / 1024.0) || ' KB' ELSE printf('%.2f', size / 1048576.0) || ' MB' END AS label
+FROM res"""))
+def q_size_label(spark, sf):
+    """Human-readable resource sizes."""
+    r = CAT.resource_rows(CP.packages(_pages(spark, sf)), csv_only=False)
+    return r.select("name", "rpos", F.col("detail.size").alias("size"),
+                    K.file_size_label(F.col("detail.size")).alias("label"))
