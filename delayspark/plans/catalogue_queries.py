@@ -287,3 +287,44 @@ def q_size_label(spark, sf):
     r = CAT.resource_rows(CP.packages(_pages(spark, sf)), csv_only=False)
     return r.select("name", "rpos", F.col("detail.size").alias("size"),
                     K.file_size_label(F.col("detail.size")).alias("label"))
+
+
+# --- M9: supplement from captured pages ---------------------------------------------------
+_PAGE_ROWS = f"""page_rows AS (
+  SELECT page_id, count(*) AS n FROM (
+    SELECT page_id, row, regexp_extract_all(tr, '(?is)<td[^>]*>(.*?)</td>', 1) AS tds FROM (
+      SELECT page_id, unnest(trs) AS tr, generate_subscripts(trs, 1) - 1 AS row FROM (
+        SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<table[^>]*>(.*?)</table>', 1),
+                                           '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM pages)))
+  WHERE row > 0 AND len(tds) >= 2 AND {_text_of('tds[1]')} <> '' GROUP BY page_id)"""
+
+from .web_queries import _PAGE_TEXT, _QUALITY_COLS  # noqa: E402
+
+_PAGE_Q = f"""page_q AS (
+  SELECT * FROM (SELECT page_id, {_QUALITY_COLS} FROM (SELECT page_id, {_PAGE_TEXT} AS t FROM pages))
+  WHERE coalesce(overall_score, grade, freshness, metadata, accessibility, completeness, usability,
+                 last_refreshed) IS NOT NULL)"""
+
+_SUPPLEMENT = f"""SELECT e.name,
+  CASE WHEN e.n_dictionary = 0 THEN coalesce(r.n, 0) ELSE 0 END AS dictionary_columns,
+  CASE WHEN e.n_dictionary = 0 AND r.n IS NOT NULL THEN 0 END AS dictionary_rpos,
+  CASE WHEN NOT e.has_quality AND q.page_id IS NOT NULL THEN 0 END AS quality_rpos,
+  CASE WHEN NOT e.has_quality THEN q.overall_score END AS overall_score,
+  CASE WHEN NOT e.has_quality THEN q.grade END AS grade,
+  CASE WHEN NOT e.has_quality THEN q.freshness END AS freshness
+FROM enriched e JOIN ds d ON e.name = d.name
+LEFT JOIN page_rows r ON r.page_id = e.page_id AND trim(coalesce(d.title, '')) <> '' AND NOT contains(lower(d.title), 'readme')
+LEFT JOIN page_q q ON q.page_id = e.page_id AND trim(coalesce(d.title, '')) <> '' AND NOT contains(lower(d.title), 'readme')
+WHERE e.n_dictionary = 0 OR NOT e.has_quality"""
+
+
+@register("supplement", cat_sql(_SUPPLEMENT, ",\n".join([_ENRICHED, _PAGE_ROWS, _PAGE_Q])))
+def q_supplement(spark, sf):
+    """M9 (C5, C6, J4, J5): datasets still missing a dictionary or quality,
+    filled from their captured page (first resource that yields wins)."""
+    from .pipelines import supplement
+    pages = _pages(spark, sf)
+    s = CP.search_results(pages)
+    resource_pages = s.select("name", F.lit(0).alias("rpos"), "title").join(
+        pages.select(F.concat(F.lit("ds-"), F.col("page_id").cast("string")).alias("name"), "html"), "name")
+    return supplement(_enriched(spark, sf), resource_pages)

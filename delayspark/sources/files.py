@@ -26,8 +26,12 @@ from pyspark.sql import types as T
 
 from ..schema import CKAN_DATASET, CKAN_PAGE
 
-FILE_NAME = F.col("_metadata.file_name")
-FILE_PATH = F.col("_metadata.file_path")
+def file_name():
+    return F.col("_metadata.file_name")
+
+
+def file_path():
+    return F.col("_metadata.file_path")
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None,
@@ -38,11 +42,12 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str], glob: str | None =
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.csv(paths if isinstance(paths, str) else list(paths))
-    return df.withColumn("_file", FILE_NAME) if with_file else df
+    return df.withColumn("_file", file_name()) if with_file else df
 
 
-def year_of_file(name_col=FILE_PATH):
+def year_of_file(name_col=None):
     """The 4-digit year in a file's path (NULL when there is none)."""
+    name_col = file_path() if name_col is None else name_col
     return F.nullif(F.regexp_extract(name_col, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1), F.lit("")).cast("int")
 
 
@@ -56,11 +61,11 @@ def select_files(df: DataFrame, years: Sequence[int] | None = None, exclude: str
     if years is not None:
         cond = cond & year_of_file().isin(list(years))
     if exclude:
-        cond = cond & ~F.lower(FILE_NAME).contains(exclude.lower())
+        cond = cond & ~F.lower(file_name()).contains(exclude.lower())
     out = df.where(cond)
     if first_only:
-        first = out.select(F.min(FILE_PATH).alias("__f"))
-        out = out.join(F.broadcast(first), FILE_PATH == F.col("__f")).drop("__f")
+        first = out.select(F.min(file_path()).alias("__f"))
+        out = out.join(F.broadcast(first), file_path() == F.col("__f")).drop("__f")
     return out
 
 
@@ -87,7 +92,20 @@ def ingest_log(df: DataFrame, corrupt_col: str | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     if corrupt_col and corrupt_col in df.columns:
         aggs.append(F.count_if(F.col(corrupt_col).isNotNull()).alias("corrupt_rows"))
-    return df.groupBy(FILE_NAME.alias("file")).agg(*aggs)
+    key = F.col("_file") if "_file" in df.columns else file_name()
+    return df.groupBy(key.alias("file")).agg(*aggs)
+
+
+def ingest_csv(spark: SparkSession, path: str, schema: T.StructType, out: str,
+               corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """Parse raw CSV files permissively, land the rows (with their file
+    name and any corrupt record) as Parquet, and return the per-file log.
+
+    The log is computed from the landed table: whether a row is corrupt
+    depends on parsing all of its columns, which the landing does once."""
+    raw = scan_csv_permissive(spark, path, schema, corrupt_col).withColumn("_file", file_name())
+    raw.write.mode("overwrite").parquet(out)
+    return ingest_log(spark.read.parquet(out), corrupt_col)
 
 
 def scan_csv_permissive(spark: SparkSession, path: str, schema: T.StructType,
