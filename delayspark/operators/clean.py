@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN, UNKNOWN_FILL_COLUMNS
-from .stats import fill_from_group_stat, median_by_type, mode_by_type
+from .stats import fill_with_group_stats
 
 
 def missing_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -52,20 +52,16 @@ def fill_unknown(df: DataFrame, columns: Sequence[str] = UNKNOWN_FILL_COLUMNS,
 def fill_vehicle_mode(df: DataFrame, col: str = "Vehicle", key: str = "Vehicle_Type") -> DataFrame:
     """I16: NULL vehicle -> most frequent vehicle of the same type (ties: the
     smallest; a type with no vehicle at all: 0)."""
-    if col not in df.columns:
-        return df
-    return fill_from_group_stat(df, col, mode_by_type(df, col, key, default=0, alias="stat"), key)
+    return fill_with_group_stats(df, modes=[col], key=key)
 
 
 def fill_median(df: DataFrame, columns: Sequence[str] = ("Min Delay", "Min Gap"),
                 key: str = "Vehicle_Type", approx: bool = False) -> DataFrame:
     """NULL -> interpolated median of the same type; a type with only
-    NULLs stays NULL.  Medians are fitted on the input, before any filling."""
-    out = df
-    for c in columns:
-        if c in df.columns:
-            out = fill_from_group_stat(out, c, median_by_type(df, c, key, alias="stat", approx=approx), key)
-    return out
+    NULLs stays NULL.  Medians are fitted on the input, before any filling;
+    all columns share one fit pass (``approx`` is kept for API symmetry; the
+    per-group state is bounded by distinct values either way)."""
+    return fill_with_group_stats(df, medians=list(columns), key=key)
 
 
 def drop_null_date(df: DataFrame, col: str = "Date") -> DataFrame:
@@ -76,9 +72,10 @@ def drop_null_date(df: DataFrame, col: str = "Date") -> DataFrame:
 def clean(df: DataFrame) -> DataFrame:
     """M2: fill categorical, vehicle and numeric NULLs, then drop undated rows.
 
-    Order follows the reference: Bound, Vehicle (mode), Line, Station, then
-    Min Delay and Min Gap medians, then the date drop."""
+    The categorical fills come first; the vehicle mode and the two medians
+    are fitted together in one pass over the input and applied with one
+    join (each statistic only reads its own column, so the order of the
+    reference's fills does not change them); undated rows are dropped last."""
     out = fill_unknown(df)
-    out = fill_vehicle_mode(out)
-    out = fill_median(out)
+    out = fill_with_group_stats(out, medians=["Min Delay", "Min Gap"], modes=["Vehicle"])
     return drop_null_date(out)

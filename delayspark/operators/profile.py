@@ -108,37 +108,69 @@ def reindex_days(means: DataFrame, key: str = "DayName", order: Sequence[str] =
     return dim.join(means, key, "left").orderBy("__ord").drop("__ord")
 
 
+def _pair_moments(shift):
+    """mapInPandas body: per partition, shifted sufficient statistics of every
+    feature pair over the rows where both are present."""
+    import numpy as np
+    import pandas as pd
+
+    sh = np.asarray(shift, dtype=float)
+    k = len(sh)
+
+    def run(batches):
+        n = np.zeros((k, k))
+        s = np.zeros((k, k))
+        q = np.zeros((k, k))
+        p = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan)
+            m = ~np.isnan(x)
+            z = np.where(m, x - sh, 0.0)
+            mf = m.astype(float)
+            n += mf.T @ mf          # rows where a and b are both present
+            s += z.T @ mf           # sum of a over those rows
+            q += (z * z).T @ mf     # sum of a^2 over those rows
+            p += z.T @ z            # sum of a*b (z is 0 where a value is missing)
+        yield pd.DataFrame({"n": [n.ravel()], "sa": [s.ravel()], "sb": [s.T.ravel()],
+                            "saa": [q.ravel()], "sbb": [q.T.ravel()], "sab": [p.ravel()]})
+    return run
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str], long: bool = True) -> DataFrame:
     """Pearson correlation of every pair over pairwise-complete rows.
 
-    All pairs are computed in one aggregation from co-moments
-    (``covar_pop`` / ``stddev_pop`` restricted to rows where both are
-    present).  A constant column gives NULL (Spark's ``corr`` would raise
-    under ANSI, pandas gives NaN).  Long format: (feature_a, feature_b, corr).
+    One scan: each partition reduces its rows to k x k sufficient statistics
+    (counts, sums, squares and cross products of mean-shifted values, with
+    NumPy on Arrow batches), the partials are added element-wise by a tiny
+    aggregation and the correlations follow.  Memory per task is O(k^2)
+    whatever the number of rows.  A column that is constant (on the pair's
+    rows) gives NULL, as pandas gives NaN.  Long format:
+    (feature_a, feature_b, corr).
     """
     feats = [f for f in features if f in df.columns]
-    aggs, pairs = [], []
-    for i, a in enumerate(feats):
-        for j, b in enumerate(feats):
-            if j < i:
-                continue
-            ca, cb = F.col(a).cast("double"), F.col(b).cast("double")
-            both = ca.isNotNull() & cb.isNotNull()
-            xa, xb = F.when(both, ca), F.when(both, cb)
-            aggs.append(F.try_divide(F.covar_pop(xa, xb),
-                                     F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"r{i}_{j}"))
-            pairs.append((i, j))
-    wide = df.agg(*aggs)
-    cells = []
-    for i, j in pairs:
-        # a zero variance gives 0/0 -> NULL via try_divide; guard tiny negatives too
-        r = F.col(f"r{i}_{j}")
-        cells.append(F.struct(F.lit(feats[i]).alias("feature_a"), F.lit(feats[j]).alias("feature_b"),
-                              r.alias("corr")))
-        if i != j:
-            cells.append(F.struct(F.lit(feats[j]).alias("feature_a"), F.lit(feats[i]).alias("feature_b"),
-                                  r.alias("corr")))
-    out = wide.select(F.inline(F.array(*cells)))
+    k = len(feats)
+    x = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(feats)])
+    # shift by the column means (one small aggregation) for numerical stability
+    means = x.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    shift = [float(m) if m is not None else 0.0 for m in means]
+    parts = x.mapInPandas(_pair_moments(shift),
+                          "n array<double>, sa array<double>, sb array<double>, saa array<double>, "
+                          "sbb array<double>, sab array<double>")
+    cells = parts.select(F.posexplode(F.arrays_zip("n", "sa", "sb", "saa", "sbb", "sab")).alias("pos", "v"))
+    tot = cells.groupBy("pos").agg(*[F.sum(f"v.{c}").alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
+    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
+    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
+    # a variance at rounding-noise level (constant column) counts as zero
+    eps = F.lit(1e-12)
+    ok = (n > 0) & (va > eps * (F.lit(1.0) + F.abs(F.col("sa") / n))) & (vb > eps * (F.lit(1.0) + F.abs(F.col("sb") / n)))
+    corr = F.when(ok, F.least(F.greatest(cov / F.sqrt(va * vb), F.lit(-1.0)), F.lit(1.0)))
+    names = F.array(*[F.lit(f) for f in feats])
+    a_idx = (F.col("pos") / k).cast("int")
+    b_idx = (F.col("pos") % k).cast("int")
+    out = tot.select(F.element_at(names, a_idx + 1).alias("feature_a"), F.element_at(names, b_idx + 1).alias("feature_b"),
+                     corr.alias("corr"))
     if long:
         return out
     return out.groupBy("feature_a").pivot("feature_b", feats).agg(F.first("corr"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import exact_quantiles
+from .stats import exact_quantiles, multi_quantiles
 
 
 def log1p(col) -> Column:
@@ -49,6 +49,21 @@ def apply_robust(col: str, p: RobustParams) -> Column:
     return (F.col(col) - F.lit(p.center)) / F.lit(p.scale)
 
 
+def fit_robust_many(df: DataFrame, cols, q_range=(0.25, 0.75)) -> dict[str, RobustParams]:
+    """:func:`fit_robust` for several columns from one shuffle."""
+    lo, hi = q_range
+    rows = {r["__col"]: r for r in multi_quantiles(df, cols, [lo, 0.5, hi]).collect()}
+    out = {}
+    for c in cols:
+        r = rows.get(c)
+        if r is None:
+            out[c] = RobustParams(None, 1.0)
+        else:
+            iqr = r["q2"] - r["q0"]
+            out[c] = RobustParams(r["q1"], iqr if iqr != 0 else 1.0)
+    return out
+
+
 def fit_standard(df: DataFrame, col: str) -> StandardParams:
     """Mean and population standard deviation; std 0 -> 1."""
     row = df.agg(F.avg(F.col(col)).alias("m"), F.stddev_pop(F.col(col)).alias("s")).first()
@@ -75,8 +90,12 @@ def standard_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame
 def scale(df: DataFrame, approx: bool = False) -> DataFrame:
     """M4 (+B6): keep originals, log the target, robust-scale gap and ratio,
     standard-scale the vehicle number.  All parameters are fitted on ``df``."""
-    gap = fit_robust(df, "Min Gap", approx=approx)
-    ratio = fit_robust(df, "Delay_Ratio", approx=approx) if "Delay_Ratio" in df.columns else None
+    robust_cols = ["Min Gap"] + (["Delay_Ratio"] if "Delay_Ratio" in df.columns else [])
+    if approx:
+        fitted = {c: fit_robust(df, c, approx=True) for c in robust_cols}
+    else:
+        fitted = fit_robust_many(df, robust_cols)
+    gap, ratio = fitted["Min Gap"], fitted.get("Delay_Ratio")
     veh = fit_standard(df, "Vehicle") if "Vehicle" in df.columns else None
     cols = {
         "Min_Delay_Original": F.col("Min Delay"),

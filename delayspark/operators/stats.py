@@ -42,6 +42,64 @@ def weighted_values(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFram
               .agg(F.count(F.lit(1)).alias("__w")))
 
 
+def stacked_weighted(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., __col, __v, __w): the non-null values of several columns with
+    their multiplicity, from ONE shuffle (rows are fanned out per column and
+    combined map-side before the exchange)."""
+    items = F.array(*[F.struct(F.lit(c).alias("__col"), F.col(f"`{c}`").cast("double").alias("__v")) for c in cols])
+    stacked = df.select(*by, F.explode(items).alias("__s")).select(*by, "__s.__col", "__s.__v")
+    return (stacked.where(F.col("__v").isNotNull())
+                   .groupBy(*by, "__col", "__v").agg(F.count(F.lit(1)).alias("__w")))
+
+
+def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear quantiles of several columns in one pass:
+    (by..., __col, q0..qn)."""
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    wv = stacked_weighted(df, cols, by)
+    base = wv.groupBy(*by, "__col").agg(F.percentile(F.col("__v"), arr, F.col("__w")).alias("__q"))
+    return base.select(*by, "__col", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
+
+
+def group_fill_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
+                     key: str = "Vehicle_Type") -> DataFrame:
+    """Per group: the median of each ``medians`` column and the mode (ties:
+    smallest) of each ``modes`` column, all from one weighted table - one
+    shuffle for every fit statistic of the cleaning step.  Wide result:
+    (key, <col>__fill ...)."""
+    cols = list(medians) + list(modes)
+    wv = stacked_weighted(df, cols, [key])
+    per = wv.groupBy(key, "__col").agg(
+        F.percentile(F.col("__v"), F.lit(0.5), F.col("__w")).alias("__median"),
+        F.min_by(F.col("__v"), F.struct(-F.col("__w"), F.col("__v"))).alias("__mode"))
+    fills = [F.max(F.when(F.col("__col") == c, F.col("__median" if c in medians else "__mode"))).alias(f"{c}__fill")
+             for c in cols]
+    return per.groupBy(key).agg(*fills)
+
+
+def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
+                          key: str = "Vehicle_Type", mode_default=0) -> DataFrame:
+    """D1 for several columns at once: NULL -> the group's median / mode
+    (a group without any value: median stays NULL, mode becomes
+    ``mode_default``).  One fit pass and one checked-broadcast join."""
+    medians = [c for c in medians if c in df.columns]
+    modes = [c for c in modes if c in df.columns]
+    if not medians and not modes:
+        return df
+    small = checked_broadcast(group_fill_stats(df, medians, modes, key))
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.name in medians:
+            out.append(F.coalesce(c, F.col(f"`{f.name}__fill`").cast(f.dataType)).alias(f.name))
+        elif f.name in modes:
+            out.append(F.coalesce(c, F.col(f"`{f.name}__fill`").cast(f.dataType),
+                                  F.lit(mode_default).cast(f.dataType)).alias(f.name))
+        else:
+            out.append(c)
+    return df.join(small, key, "left").select(*out)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                     prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default) per group.
