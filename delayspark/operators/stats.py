@@ -20,11 +20,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A statistic table above this many rows is joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 200_000
+# Above this many distinct values in one group, exact quantiles switch from
+# the in-task value map to distributed rank selection.
+MAX_GROUP_DISTINCT = 1_000_000
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -56,7 +59,9 @@ def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Exact linear quantiles of several columns in one pass:
     (by..., __col, q0..qn)."""
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    wv = stacked_weighted(df, cols, by)
+    wv = stacked_weighted(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
+    if widest_group(wv, [*by, "__col"]) > MAX_GROUP_DISTINCT:
+        return select_quantiles(wv, "__v", probs, [*by, "__col"])
     base = wv.groupBy(*by, "__col").agg(F.percentile(F.col("__v"), arr, F.col("__w")).alias("__q"))
     return base.select(*by, "__col", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
 
@@ -68,10 +73,13 @@ def group_fill_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence
     shuffle for every fit statistic of the cleaning step.  Wide result:
     (key, <col>__fill ...)."""
     cols = list(medians) + list(modes)
-    wv = stacked_weighted(df, cols, [key])
-    per = wv.groupBy(key, "__col").agg(
-        F.percentile(F.col("__v"), F.lit(0.5), F.col("__w")).alias("__median"),
-        F.min_by(F.col("__v"), F.struct(-F.col("__w"), F.col("__v"))).alias("__mode"))
+    wv = stacked_weighted(df, cols, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    mode = wv.groupBy(key, "__col").agg(F.min_by(F.col("__v"), F.struct(-F.col("__w"), F.col("__v"))).alias("__mode"))
+    if widest_group(wv, [key, "__col"]) > MAX_GROUP_DISTINCT:
+        med = select_quantiles(wv, "__v", [0.5], [key, "__col"], prefix="__m").withColumnRenamed("__m0", "__median")
+    else:
+        med = wv.groupBy(key, "__col").agg(F.percentile(F.col("__v"), F.lit(0.5), F.col("__w")).alias("__median"))
+    per = mode.join(med, [key, "__col"], "left")
     fills = [F.max(F.when(F.col("__col") == c, F.col("__median" if c in medians else "__mode"))).alias(f"{c}__fill")
              for c in cols]
     return per.groupBy(key).agg(*fills)
@@ -100,20 +108,85 @@ def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Seq
     return df.join(small, key, "left").select(*out)
 
 
+def widest_group(wv: DataFrame, by: Sequence[str] = ()) -> int:
+    """Largest number of distinct values in one group of a weighted table."""
+    return wv.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                     prefix: str = "q", partitions: int | None = None) -> DataFrame:
+    """Exact linear quantiles by distributed rank selection.
+
+    ``wv`` holds (by..., col, __w): distinct values with their weights.  It is
+    range-partitioned on (by, value) - a group with many distinct values is
+    spread over many partitions - and written as a reliable checkpoint so the
+    partition of every row is fixed.  Per-partition weight totals (a table of
+    partitions x groups rows) give each target rank's partition and offset;
+    only those partitions are scanned again with a running weight sum.  No
+    task ever holds more than one range partition; the driver only sees the
+    small partition summary.
+    """
+    from ..session import cut_lineage
+    spark = wv.sparkSession
+    by = list(by)
+    n_part = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    parted = (wv.repartitionByRange(n_part, *[F.col(c) for c in by], F.col(col))
+                .withColumn("__pid", F.spark_partition_id()))
+    parted = cut_lineage(parted)
+    summ = parted.groupBy("__pid", *by).agg(F.sum("__w").alias("__c"))
+    grp = Window.partitionBy(*by) if by else Window.partitionBy()
+    summ = (summ.withColumn("__end", F.sum("__c").over(grp.orderBy("__pid")))
+                .withColumn("__n", F.sum("__c").over(grp))
+                .withColumn("__start", F.col("__end") - F.col("__c")))
+    # ranks needed: floor and ceil of p * (n - 1) for every probability
+    pos = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("__pos"))
+                              for i, p in enumerate(probs)])).alias("__t")
+    targets = summ.select(*by, "__n").distinct().select(*by, pos).select(*by, "__t.__i", "__t.__pos")
+    ranks = targets.select(*by, "__i", "__pos", F.explode(F.array_distinct(F.array(
+        F.floor("__pos").cast("long"), F.ceil("__pos").cast("long")))).alias("__r"))
+    loc = ranks.join(summ.select(*by, "__pid", "__start", "__end"), by, "inner") if by else ranks.join(
+        summ.select("__pid", "__start", "__end"), how="inner")
+    loc = loc.where((F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__end")))
+    loc = loc.select(*by, "__i", "__pos", "__r", "__pid", (F.col("__r") - F.col("__start")).alias("__local"))
+    loc = checked_broadcast(loc)
+    keys = ["__pid", *by]
+    needed = parted.join(loc.select(*keys).distinct(), keys, "left_semi")
+    run = needed.withColumn("__cum", F.sum("__w").over(
+        Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hit = run.join(loc, keys).where((F.col("__cum") - F.col("__w") <= F.col("__local")) &
+                                    (F.col("__local") < F.col("__cum")))
+    vals = hit.select(*by, "__i", "__pos", "__r", F.col(col).cast("double").alias("__v"))
+    per = vals.groupBy(*by, "__i").agg(
+        F.min_by("__v", "__r").alias("__lo"), F.max_by("__v", "__r").alias("__hi"), F.first("__pos").alias("__pos"))
+    q = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__pos") - F.floor("__pos"))
+    wide = per.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, q)).alias(f"{prefix}{i}")
+                                  for i in range(len(probs))])
+    return wide
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000,
+                    method: str = "auto") -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default) per group.
 
     Returns ``by...`` plus one column per probability named ``{prefix}{i}``.
-    Groups whose values are all NULL are absent.
+    Groups whose values are all NULL are absent.  ``method``: ``map`` keeps a
+    value -> weight map per group in one task (fine while distinct values are
+    bounded), ``select`` uses :func:`select_quantiles`, ``auto`` picks
+    ``select`` once a group exceeds ``MAX_GROUP_DISTINCT`` distinct values.
     """
     arr = F.array(*[F.lit(float(p)) for p in probs])
     if approx:
         agg = F.percentile_approx(F.col(col), arr, accuracy)
         base = df.where(F.col(col).isNotNull()).groupBy(*by).agg(agg.alias("__q"))
-    else:
-        wv = weighted_values(df, col, by)
-        base = wv.groupBy(*by).agg(F.percentile(F.col(col), arr, F.col("__w")).alias("__q"))
+        return base.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
+    wv = weighted_values(df, col, by)
+    if method == "auto":
+        wv = wv.persist(StorageLevel.MEMORY_AND_DISK)
+        method = "map" if widest_group(wv, by) <= MAX_GROUP_DISTINCT else "select"
+    if method == "select":
+        return select_quantiles(wv, col, probs, by, prefix)
+    base = wv.groupBy(*by).agg(F.percentile(F.col(col), arr, F.col("__w")).alias("__q"))
     return base.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
 
 
