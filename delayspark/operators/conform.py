@@ -66,6 +66,19 @@ def cast_standard(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def schema_profile(spark, frames: dict[str, DataFrame], standard: Sequence[str] = STANDARD_COLUMNS) -> DataFrame:
+    """Column list and type of every source, and the standard name each
+    column maps to (NULL when it is dropped).  Built from the frames'
+    schemas only - no data is read."""
+    rows = []
+    for source, df in frames.items():
+        renames = RAW_RENAMES if source.lower() in RENAMED_TYPES else {}
+        for i, f in enumerate(df.schema.fields):
+            target = renames.get(f.name, f.name)
+            rows.append((source, i, f.name, f.dataType.simpleString(), target if target in standard else None))
+    return spark.createDataFrame(rows, "source string, position int, column string, dtype string, standard string")
+
+
 def union_by_name(frames: Iterable[DataFrame]) -> DataFrame:
     """H1: row concatenation by column name; absent columns are NULL and the
     column order is that of first appearance."""

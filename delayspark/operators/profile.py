@@ -255,3 +255,13 @@ def yoy_growth(sizes: DataFrame, key: str = "Year", count: str = "count", alias:
     window sees a handful of rows, never the raw table."""
     prev = F.lag(F.col(count)).over(Window.orderBy(key))
     return sizes.select(key, count, (F.try_divide(F.col(count) - prev, prev.cast("double")) * 100.0).alias(alias))
+
+
+def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
+    """Feature columns by name pattern (metadata only): cyclical
+    encodings, 0/1 flags and transformed (scaled / log) columns."""
+    return {
+        "cyclical": [c for c in columns if c.endswith("_sin") or c.endswith("_cos")],
+        "flags": [c for c in columns if c.startswith("Is")],
+        "transformed": [c for c in columns if "Scaled" in c or "Log" in c],
+    }

@@ -19,17 +19,18 @@ from ..schema import CARD_LABELS, QUALITY_LABELS
 
 
 def extract_links(pages: DataFrame, key: str = "page_id", base: str = "url",
-                  html: str = "html") -> DataFrame:
-    """One row per ``<a href>``: (key, pos, href, url, text).
+                  html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per ``<a href>``: (key, pos, href, url, text, keep...).
 
     ``pos`` is the 0-based order on the page, ``url`` the href resolved
-    against the page URL and ``text`` the anchor's stripped text."""
-    exploded = pages.select(F.col(key), F.col(base).alias("__base"),
+    against the page URL and ``text`` the anchor's stripped text; ``keep``
+    page columns are carried along (no join back to the pages)."""
+    exploded = pages.select(F.col(key), F.col(base).alias("__base"), *keep,
                             F.posexplode(H.anchors(F.col(html))).alias("pos", "__a"))
     href = H.decode_entities(F.col("__a.href"))
     return exploded.select(key, F.col("pos").cast("int").alias("pos"), href.alias("href"),
                            H.resolve_url(F.col("__base"), href).alias("url"),
-                           H.text_of(F.col("__a.inner")).alias("text"))
+                           H.text_of(F.col("__a.inner")).alias("text"), *keep)
 
 
 def dedupe_keep_first(links: DataFrame, keys: Sequence[str] = ("page_id", "url"),
@@ -51,10 +52,11 @@ def with_filenames(links: DataFrame, text: str = "text", href: str = "href",
     return links.withColumn("filename", H.derive_filename(F.col(text), F.col(href), extensions))
 
 
-def download_links(pages: DataFrame, lenient: bool = False, key: str = "page_id") -> DataFrame:
+def download_links(pages: DataFrame, lenient: bool = False, key: str = "page_id",
+                   keep: Sequence[str] = ()) -> DataFrame:
     """Links that look like data downloads, with a file name, first per
     (page, URL).  ``lenient`` uses C8 instead of C7."""
-    links = extract_links(pages, key)
+    links = extract_links(pages, key, keep=keep)
     cond = (H.is_download_link_lenient(F.col("text"), F.col("href")) if lenient
             else H.is_download_link(F.col("text")))
     picked = with_filenames(links.where(cond))
@@ -174,9 +176,8 @@ def link_manifest(pages: DataFrame, existing: DataFrame | None = None, base_dir:
                   lenient: bool = False) -> DataFrame:
     """M8: download links per dataset page with their target path and status
     (A13 rows).  ``existing`` lists files already present."""
-    dl = download_links(pages, lenient)
-    slugs = pages.select("page_id", H.dataset_slug(F.col("url")).alias("dataset"))
-    dl = dl.join(slugs, "page_id")
+    with_slug = pages.withColumn("dataset", H.dataset_slug(F.col("url")))
+    dl = download_links(with_slug, lenient, keep=["dataset"])
     dl = dl.withColumn("path", F.concat_ws("/", F.lit(base_dir), F.col("dataset"), F.col("filename")))
     if existing is None:
         existing = dl.sparkSession.createDataFrame([], "dataset string, filename string, size bigint")

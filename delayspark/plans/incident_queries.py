@@ -304,6 +304,13 @@ def q_normalisation(spark, sf):
     return P.normalisation_assessment(events_features(spark, sf), NORMALISATION_FEATURES)
 
 
+@register("normalisation_assessment_processed", _norm_sql(["Min Delay", "Min Gap", "Vehicle", "Hour"], "proc"))
+def q_normalisation_processed(spark, sf):
+    """E16 rerun: the four-feature assessment on the processed table."""
+    from ..schema import NORMALISATION_FEATURES_SHORT
+    return P.normalisation_assessment(events_processed(spark, sf), NORMALISATION_FEATURES_SHORT)
+
+
 # --- E18 / E19: correlations ---------------------------------------------------------------
 def _corr_sql(features, src, target=None):
     aggs, cells = [], []

@@ -154,3 +154,14 @@ def test_missing_profile(spark):
     assert "Vehicle_Type" not in prof
     filled = C.fill_unknown(df)
     assert filled.where("Bound IS NULL OR Line IS NULL OR Station IS NULL").count() == 0
+
+
+def test_schema_profile_and_feature_groups(spark):
+    from delayspark.operators.conform import schema_profile
+    bus = spark.createDataFrame([("2019-01-01", "36", 1)], "`Report Date` string, Route string, `_id` int")
+    sub = spark.createDataFrame([("2019-01-01", "YU")], "Date string, Line string")
+    prof = {(r["source"], r["column"]): r["standard"] for r in schema_profile(spark, {"bus": bus, "subway": sub}).collect()}
+    assert prof == {("bus", "Report Date"): "Date", ("bus", "Route"): "Line", ("bus", "_id"): None,
+                    ("subway", "Date"): "Date", ("subway", "Line"): "Line"}
+    g = P.feature_groups(["Hour_sin", "IsNight", "Min_Gap_Scaled", "Min_Delay_Log", "Year"])
+    assert g == {"cyclical": ["Hour_sin"], "flags": ["IsNight"], "transformed": ["Min_Gap_Scaled", "Min_Delay_Log"]}

@@ -125,3 +125,21 @@ def test_catalogue_document_and_lines(spark, tmpdir_shared):
     assert back.count() == 2
     header = spark.read.json(out + "/header").first()
     assert header["total_datasets"] == 2
+
+
+def test_sink_manifest_counts_distinct(spark, tmpdir_shared):
+    files = spark.createDataFrame([("a/x.csv", "download"), ("a/x.csv", "skipped"), ("a/y.csv", "download")],
+                                  "path string, status string")
+    SK.sink_manifest(files, tmpdir_shared)
+    h = spark.read.json(tmpdir_shared + "/header").first()
+    assert (h["total_files"], h["distinct_files"]) == (3, 2)
+    assert spark.read.json(tmpdir_shared + "/files").count() == 3
+
+
+def test_processed_sink_partitions_by_year(spark, tmpdir_shared):
+    from delayspark.plans.incident_queries import events_processed
+    df = events_processed(spark, "/root/testdata/sf0.001")
+    SK.sink_processed(df, tmpdir_shared)
+    back = spark.read.parquet(tmpdir_shared)
+    assert back.count() == df.count() and "Year" in back.columns
+    assert any(name.startswith("Year=") for name in os.listdir(tmpdir_shared))
