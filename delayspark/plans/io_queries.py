@@ -85,9 +85,14 @@ def q_incremental(spark, sf):
     availableNow stream (second run picks up only the new files)."""
     pages = read_table(spark, sf, "pages")
     s = CP.search_results(pages).drop("page_id")
-    pk, fl, rc = CP.packages(pages), CP.datastore_fields(pages), CP.resource_records(pages)
     root = SK.scratch_path(spark, "incremental")
     landing, output, ckpt = f"{root}/landing", f"{root}/output", f"{root}/checkpoint"
+    # the API lookups are landed tables, as captures would be
+    lookups = {"packages": CP.packages(pages), "fields": CP.datastore_fields(pages),
+               "records": CP.resource_records(pages)}
+    for name, df in lookups.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    pk, fl, rc = (spark.read.parquet(f"{root}/{n}") for n in ("packages", "fields", "records"))
     half = F.abs(F.hash("name")) % 2 == 0
     INC.land(s.where(half), landing, files=4)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=2)
