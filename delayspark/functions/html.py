@@ -51,6 +51,19 @@ def text_lines(col) -> Column:
     return decode_entities(F.regexp_replace(_c(col), TAG, ""))
 
 
+# --- fixed values: tags that start a new line in rendered text ---------------
+BLOCK_TAG = r"(?i)<(?:br|/?(?:p|div|li|tr|td|th|h[1-6]|section|article|ul|ol|table|header|footer|nav|dt|dd))(?:\s[^>]*)?/?>"
+CODE_BLOCK = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
+
+
+def visible_text(col) -> Column:
+    """Rendered text of a page: scripts and styles dropped, a line break at
+    every block element, other tags removed, entities decoded."""
+    no_code = F.regexp_replace(_c(col), CODE_BLOCK, "")
+    lines = F.regexp_replace(no_code, BLOCK_TAG, "\n")
+    return decode_entities(F.regexp_replace(lines, TAG, ""))
+
+
 def anchors(html) -> Column:
     """array<struct<href, inner>> of every ``<a href=...>`` in document order."""
     h = _c(html)

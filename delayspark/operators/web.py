@@ -82,9 +82,9 @@ def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
 
 
 def page_text(html: str = "html"):
-    """Visible text of a page (scripts and styles dropped, tags removed)."""
-    no_code = F.regexp_replace(F.col(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    return H.text_lines(no_code)
+    """Visible text of a page (scripts and styles dropped, block elements on
+    their own lines)."""
+    return H.visible_text(F.col(html))
 
 
 def quality_metrics(pages: DataFrame, key: str = "page_id", text=None) -> DataFrame:

@@ -144,8 +144,8 @@ def q_slug(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", "url", H.dataset_slug(F.col("url")).alias("dataset"))
 
 
-_PAGE_TEXT = _decode("regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), "
-                     f"{q(H.TAG)}, '', 'g')")
+_PAGE_TEXT = _decode(f"regexp_replace(regexp_replace(regexp_replace(html, {q(H.CODE_BLOCK)}, '', 'g'), "
+                     f"{q(H.BLOCK_TAG)}, chr(10), 'g'), {q(H.TAG)}, '', 'g')")
 
 
 def _pct(label: str, ci: bool = True) -> str:

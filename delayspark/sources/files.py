@@ -196,15 +196,48 @@ def scan_workbook_cells(spark: SparkSession, path: str, glob: str = "*.xlsx") ->
     return files.select("path", "content").mapInPandas(_parse_workbooks, WORKBOOK_SCHEMA)
 
 
-def workbook_frame(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Project parsed workbook rows onto named columns (absent ones NULL)."""
-    ok = cells.where(F.col("error").isNull())
-    return ok.select("path", "row", *[F.col("cells")[c].alias(c) for c in columns])
+# --- fixed values: spreadsheet serial day 0 ---------------------------------------
+EXCEL_EPOCH = "1899-12-30"
+_NUMBER = r"^\d+(\.\d+)?$"
+
+
+def excel_date(col):
+    """A serial day number (date cells are stored as numbers) -> 'yyyy-MM-dd';
+    text values pass through for the date parser."""
+    serial = F.floor(col.cast("double"))
+    as_date = F.date_format(F.date_add(F.lit(EXCEL_EPOCH).cast("date"), serial.cast("int")), "yyyy-MM-dd")
+    return F.when(col.rlike(_NUMBER), as_date).otherwise(col)
 
 
-def scan_workbook(spark: SparkSession, path: str, columns: Sequence[str], glob: str = "*.xlsx") -> DataFrame:
+def excel_time(col):
+    """A day fraction (time cells) -> 'HH:mm:ss'; text passes through."""
+    secs = F.round((col.cast("double") - F.floor(col.cast("double"))) * 86400).cast("long")
+    hms = F.format_string("%02d:%02d:%02d", (secs / 3600).cast("int") % 24, ((secs % 3600) / 60).cast("int"), secs % 60)
+    return F.when(col.rlike(_NUMBER), hms).otherwise(col)
+
+
+def workbook_frame(cells: DataFrame, columns: Sequence[str], date_columns: Sequence[str] = (),
+                   time_columns: Sequence[str] = ()) -> DataFrame:
+    """Project parsed workbook rows onto named columns (absent ones NULL);
+    serial dates / day-fraction times are turned into text in the listed
+    columns."""
+    ok = cells.where(F.col("error").isNull())
+    out = []
+    for c in columns:
+        v = F.col("cells")[c]
+        if c in date_columns:
+            v = excel_date(v)
+        elif c in time_columns:
+            v = excel_time(v)
+        out.append(v.alias(c))
+    return ok.select("path", "row", *out)
+
+
+def scan_workbook(spark: SparkSession, path: str, columns: Sequence[str], glob: str = "*.xlsx",
+                  date_columns: Sequence[str] = ("Report Date", "Date"),
+                  time_columns: Sequence[str] = ("Time",)) -> DataFrame:
     """A2: yearly workbooks as a text frame with the requested raw columns."""
-    return workbook_frame(scan_workbook_cells(spark, path, glob), columns)
+    return workbook_frame(scan_workbook_cells(spark, path, glob), columns, date_columns, time_columns)
 
 
 # --- A6 / A7: catalogue documents --------------------------------------------------

@@ -143,3 +143,21 @@ def test_processed_sink_partitions_by_year(spark, tmpdir_shared):
     back = spark.read.parquet(tmpdir_shared)
     assert back.count() == df.count() and "Year" in back.columns
     assert any(name.startswith("Year=") for name in os.listdir(tmpdir_shared))
+
+
+def test_workbook_serial_dates_and_times(spark, tmpdir_shared):
+    os.makedirs(tmpdir_shared, exist_ok=True)
+    rows = [["Date", "Time", "Line", "Min Delay"], [43466, 0.2951041667, "YU", 4], ["2019-01-02", "7:05:09", "BD", 3]]
+    with open(os.path.join(tmpdir_shared, "ttc-subway-delay-data-2019.xlsx"), "wb") as f:
+        f.write(xlsx_bytes(rows))
+    raw = FS.scan_workbook(spark, tmpdir_shared, rows[0])
+    got = sorted((r["Date"], r["Time"]) for r in raw.collect())
+    assert got == [("2019-01-01", "07:04:57"), ("2019-01-02", "7:05:09")]
+
+
+def test_visible_text_lines(spark):
+    from delayspark.operators import web as W
+    html = "<div>Last refreshed</div><div>Jan 26, 2026</div><p>Freshness: 80%</p><script>x='Grade A'</script>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    q = W.quality_metrics(df).first()
+    assert q["last_refreshed"] == "Jan 26, 2026" and q["freshness"] == "80%" and q["grade"] is None
