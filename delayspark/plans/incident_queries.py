@@ -17,7 +17,7 @@ from ..operators import conform as B
 from ..operators import crosstab as X
 from ..operators import profile as P
 from ..operators import scaling as S
-from ..operators.features import add_features, add_temporal, category_codes
+from ..operators.features import add_features, category_codes
 from ..registry import register
 from ..schema import CORR_APPENDIX, CORR_FEATURES, NORMALISATION_FEATURES, PROCESSED_COLUMNS
 from ..session import read_table

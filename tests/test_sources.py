@@ -4,7 +4,6 @@ import json
 import os
 import zipfile
 
-from pyspark.sql import functions as F
 
 from delayspark.operators import conform as B
 from delayspark.operators.codes import code_dimension, describe_code
