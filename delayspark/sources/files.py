@@ -56,7 +56,8 @@ def select_files(df: DataFrame, years: Sequence[int] | None = None, exclude: str
     """A3: keep rows of files whose path carries one of ``years`` and whose
     name does not contain ``exclude``; with ``first_only`` only the
     alphabetically first matching file is kept (the "first glob match" rule).
-    The conditions only touch file metadata, so Spark skips the other files."""
+    The conditions only touch file metadata; the first match is chosen from
+    the file listing (``inputFiles``), without reading any rows."""
     cond = F.lit(True)
     if years is not None:
         cond = cond & year_of_file().isin(list(years))
@@ -64,8 +65,22 @@ def select_files(df: DataFrame, years: Sequence[int] | None = None, exclude: str
         cond = cond & ~F.lower(file_name()).contains(exclude.lower())
     out = df.where(cond)
     if first_only:
-        first = out.select(F.min(file_path()).alias("__f"))
-        out = out.join(F.broadcast(first), file_path() == F.col("__f")).drop("__f")
+        pattern = re.compile(r"(?<!\d)((?:19|20)\d{2})(?!\d)")
+        listed = []
+        for f in df.inputFiles():
+            name = f.rsplit("/", 1)[-1]
+            m = pattern.findall(f)
+            if exclude and exclude.lower() in name.lower():
+                continue
+            if years is not None and not any(int(y) in set(years) for y in m[-1:]):
+                continue
+            listed.append(f)
+        first = min(listed) if listed else None
+        if first is None:
+            return out.limit(0)
+        # the listing writes scheme:///path, the metadata column scheme:/path
+        norm = re.sub(r"^([A-Za-z][\w+.-]*):/+", r"\1:/", first)
+        out = out.where(F.regexp_replace(file_path(), r"^([A-Za-z][\w+.-]*):/+", "$1:/") == F.lit(norm))
     return out
 
 
