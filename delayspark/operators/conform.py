@@ -56,13 +56,17 @@ def cast_standard(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         want = types.get(f.name)
         if want is None or f.dataType == want:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
         elif f.name == "Date":
             cols.append(parse_date(F.col(f.name), dtype=f.dataType).alias(f.name))
         elif isinstance(want, T.StringType):
             cols.append(F.col(f.name).cast("string").alias(f.name))
+        elif isinstance(want, T.LongType) and isinstance(f.dataType, T.StringType):
+            # "8001.0" (an integer column exported with NaNs) is still 8001
+            c = F.col(f"`{f.name}`")
+            cols.append(F.coalesce(c.try_cast(want), c.try_cast("double").try_cast(want)).alias(f.name))
         else:
-            cols.append(F.col(f.name).try_cast(want).alias(f.name))
+            cols.append(F.col(f"`{f.name}`").try_cast(want).alias(f.name))
     return df.select(*cols)
 
 

@@ -164,3 +164,12 @@ def test_schema_profile_and_feature_groups(spark):
                     ("subway", "Date"): "Date", ("subway", "Line"): "Line"}
     g = P.feature_groups(["Hour_sin", "IsNight", "Min_Gap_Scaled", "Min_Delay_Log", "Year"])
     assert g == {"cyclical": ["Hour_sin"], "flags": ["IsNight"], "transformed": ["Min_Gap_Scaled", "Min_Delay_Log"]}
+
+
+def test_typed_conform_of_text_columns(spark):
+    raw = spark.createDataFrame([("2019-01-01", "8001.0", "12", "x"), ("2019-01-02", "77", "abc", None)],
+                                "`Report Date` string, Vehicle string, `Min Delay` string, Direction string")
+    rows = B.conform(raw, "bus", typed=True).orderBy("Date").collect()
+    assert [r["Vehicle"] for r in rows] == [8001, 77]
+    assert [r["Min Delay"] for r in rows] == [12.0, None]
+    assert rows[0]["Bound"] == "x" and rows[0]["Vehicle_Type"] == "BUS"
