@@ -58,7 +58,7 @@ DS = f"""ds AS (
          CASE WHEN page_id % 10 <> 0 THEN '  ' || title || ' ' || chr(10) END AS notes,
          CASE WHEN page_id % 9 = 0 THEN 'unknown' ELSE {_day('page_id', '10:30:00')} END AS metadata_modified,
          CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '' ELSE {q(CP.LICENSE)} END AS license_title,
-         CASE WHEN page_id % 3 = 0 THEN 'ogl-toronto' ELSE '' END AS license_id,
+         CASE WHEN page_id % 3 = 0 THEN 'ogl' ELSE '' END AS license_id,
          CASE WHEN page_id % 7 <> 0 THEN regexp_extract(url, '://([^/]+)', 1) END AS org_title,
          list_transform(inners, lambda x: {_text_of('x')}) AS texts,
          list_transform(generate_series(0, len(hrefs) - 1),
@@ -112,8 +112,11 @@ def cat_sql(final: str, extra: str = "") -> str:
 
 
 def _capture(spark, sf):
-    p = _pages(spark, sf)
-    return CP.search_results(p), CP.packages(p), CP.datastore_fields(p), CP.resource_records(p)
+    """The derived capture, parsed from the HTML once per query: the four
+    API tables all read one persisted copy of the search results."""
+    from pyspark import StorageLevel
+    s = CP.search_results(_pages(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return s, CP.packages(s), CP.datastore_fields(s), CP.resource_records(s)
 
 
 @register("dataset_info", cat_sql(INFO_SELECT))

@@ -21,7 +21,7 @@ from ..functions import html as H
 FORMATS = ["CSV", "XLSX", "JSON", "csv", "GeoJSON", "XML", ""]
 REFRESH = ["Daily", "Weekly", "Monthly", "Annually"]
 FIELD_TYPES = ["text", "int", "numeric", "date"]
-LICENSE = "Open Government Licence - Toronto"
+LICENSE = "Open Government Licence"
 CAPTURE_EPOCH = "2025-01-01"
 
 
@@ -77,7 +77,7 @@ def search_results(pages: DataFrame) -> DataFrame:
         F.when(_every(k, 9), F.lit("unknown")).otherwise(_iso(k, "10:30:00")).alias("metadata_modified"),
         F.when(_every(k, 5), F.lit(None).cast("string")).when((k % 5) == 1, F.lit(""))
          .otherwise(F.lit(LICENSE)).alias("license_title"),
-        F.when(_every(k, 3), F.lit("ogl-toronto")).otherwise(F.lit("")).alias("license_id"),
+        F.when(_every(k, 3), F.lit("ogl")).otherwise(F.lit("")).alias("license_id"),
         F.when(~_every(k, 7), F.struct(F.regexp_extract(url, r"://([^/]+)", 1).alias("title"))).alias("organization"),
         F.transform(F.slice(texts, 1, 2), lambda t: F.struct(t.alias("title"))).alias("groups"),
         F.transform(texts, lambda t: F.struct(t.alias("name"))).alias("tags"),
@@ -86,9 +86,14 @@ def search_results(pages: DataFrame) -> DataFrame:
     )
 
 
+def _results(df: DataFrame) -> DataFrame:
+    """Accept either the pages table or already derived search results."""
+    return df if "resources" in df.columns else search_results(df)
+
+
 def packages(pages: DataFrame) -> DataFrame:
     """``package_show`` per dataset name: (name, resources)."""
-    return search_results(pages).select("name", "resources")
+    return _results(pages).select("name", "resources")
 
 
 def datastore_fields(pages: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def datastore_fields(pages: DataFrame) -> DataFrame:
 
     Resources at even positions are in the datastore; their fields are the
     page's link texts with a cycling type and, for some, notes."""
-    s = search_results(pages)
+    s = _results(pages)
     texts = F.transform(F.col("tags"), lambda t: t["name"])
     fields = F.transform(texts, lambda t, i: F.named_struct(
         F.lit("id"), t,
@@ -108,7 +113,7 @@ def datastore_fields(pages: DataFrame) -> DataFrame:
 
 def resource_records(pages: DataFrame) -> DataFrame:
     """``resource_show`` per resource id; every third resource has no record."""
-    s = search_results(pages)
+    s = _results(pages)
     res = s.select("page_id", F.posexplode("resources").alias("rpos", "r")).where((F.col("rpos") % 3) != 2)
     return res.select(
         F.col("r.id").alias("resource_id"), F.col("r.last_modified").alias("last_modified"),
