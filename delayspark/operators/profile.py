@@ -203,13 +203,20 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
         return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, count bigint")
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
-    b = F.least(F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)), F.lit(bins - 1)).cast("int")
+    # NumPy's arithmetic: index from (x - lo) * (n / (hi - lo)), then nudged by
+    # comparing with the linspace edges lo + k * (hi - lo) / n (last edge = hi)
+    norm, step = bins / (hi - lo), (hi - lo) / bins
+
+    def edge(k):
+        return F.when(k >= bins, F.lit(hi)).otherwise(F.lit(lo) + k.cast("double") * F.lit(step))
+
+    i0 = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(bins - 1)).cast("int")
+    i1 = F.when(v < edge(i0), i0 - 1).otherwise(i0)
+    b = F.when((v >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    width = (hi - lo) / bins
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (edges.join(counts, "bin", "left")
-                 .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-                         (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
+                 .select("bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"),
                          F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
                  .orderBy("bin"))
 

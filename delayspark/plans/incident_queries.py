@@ -353,19 +353,23 @@ def q_corr_target(spark, sf):
 
 
 # --- E20-E23: ranges, histogram, parse rates, shape ------------------------------------------
+_EDGE = "CASE WHEN {k} >= 50 THEN hi ELSE lo + CAST({k} AS DOUBLE) * ((hi - lo) / 50.0) END"
+_I0 = 'CAST(least(floor((CAST("Min Delay" AS DOUBLE) - lo) * (50.0 / (hi - lo))), 49) AS BIGINT)'
 _HIST_EXTRA = [
     ("r", """SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
                CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi
         FROM (SELECT min(CAST("Min Delay" AS DOUBLE)) AS lo0, max(CAST("Min Delay" AS DOUBLE)) AS hi0 FROM proc)"""),
-    ("c", """SELECT CAST(least(floor((CAST("Min Delay" AS DOUBLE) - lo) * 50.0 / (hi - lo)), 49) AS BIGINT) AS b,
-               count(*) AS n FROM proc, r WHERE "Min Delay" IS NOT NULL GROUP BY 1"""),
+    ("x0", f"""SELECT CAST("Min Delay" AS DOUBLE) AS v, lo, hi, {_I0} AS i0 FROM proc, r WHERE "Min Delay" IS NOT NULL"""),
+    ("x1", f"""SELECT v, lo, hi, CASE WHEN v < {_EDGE.format(k='i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM x0"""),
+    ("c", f"""SELECT CASE WHEN v >= {_EDGE.format(k='(i1 + 1)')} AND i1 <> 49 THEN i1 + 1 ELSE i1 END AS b,
+               count(*) AS n FROM x1 GROUP BY 1"""),
     ("e", "SELECT CAST(range AS BIGINT) AS b FROM range(50)"),
 ]
 
 
 @register("histogram", sql(["proc"], out(
-    [("bin", "i", "e.b"), ("bin_lo", "d", "lo + e.b * ((hi - lo) / 50.0)"),
-     ("bin_hi", "d", "lo + (e.b + 1) * ((hi - lo) / 50.0)"), ("count", "i", "coalesce(c.n, 0)")],
+    [("bin", "i", "e.b"), ("bin_lo", "d", _EDGE.format(k="e.b")),
+     ("bin_hi", "d", _EDGE.format(k="(e.b + 1)")), ("count", "i", "coalesce(c.n, 0)")],
     "e LEFT JOIN c ON e.b = c.b, r"), _HIST_EXTRA))
 def q_histogram(spark, sf):
     """50 equal-width bins of Min Delay."""

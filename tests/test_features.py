@@ -173,3 +173,15 @@ def test_typed_conform_of_text_columns(spark):
     assert [r["Vehicle"] for r in rows] == [8001, 77]
     assert [r["Min Delay"] for r in rows] == [12.0, None]
     assert rows[0]["Bound"] == "x" and rows[0]["Vehicle_Type"] == "BUS"
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.exponential(7.0, 2000).round(1), [0.0, 100.0, 20.0, 40.0]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = [r["count"] for r in P.histogram(df, "x", bins=50).collect()]
+    want, edges = np.histogram(vals, bins=50)
+    assert got == list(want)
+    lo = [r["bin_lo"] for r in P.histogram(df, "x", bins=50).collect()]
+    assert np.allclose(lo, edges[:-1])
