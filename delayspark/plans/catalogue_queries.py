@@ -239,7 +239,7 @@ def q_enrich(spark, sf):
 
 
 @register("enrichment_coverage", cat_sql("""SELECT count(*) AS datasets, count(*) FILTER (WHERE n_dictionary > 0) AS with_dictionary,
-  count(*) FILTER (WHERE has_quality) AS with_quality, sum(n_dictionary) AS dictionary_columns,
+  count(*) FILTER (WHERE has_quality) AS with_quality, CAST(sum(n_dictionary) AS BIGINT) AS dictionary_columns,
   round(count(*) FILTER (WHERE n_dictionary > 0) * 100.0 / count(*) * 1000000.0) / 1000000.0 + 0.0 AS pct_dictionary,
   round(count(*) FILTER (WHERE has_quality) * 100.0 / count(*) * 1000000.0) / 1000000.0 + 0.0 AS pct_quality
 FROM enriched""", _ENRICHED))
@@ -310,8 +310,8 @@ _PAGE_Q = f"""page_q AS (
 
 _SUPPLEMENT = f"""SELECT e.name,
   CASE WHEN e.n_dictionary = 0 THEN coalesce(r.n, 0) ELSE 0 END AS dictionary_columns,
-  CASE WHEN e.n_dictionary = 0 AND r.n IS NOT NULL THEN 0 END AS dictionary_rpos,
-  CASE WHEN NOT e.has_quality AND q.page_id IS NOT NULL THEN 0 END AS quality_rpos,
+  CAST(CASE WHEN e.n_dictionary = 0 AND r.n IS NOT NULL THEN 0 END AS BIGINT) AS dictionary_rpos,
+  CAST(CASE WHEN NOT e.has_quality AND q.page_id IS NOT NULL THEN 0 END AS BIGINT) AS quality_rpos,
   CASE WHEN NOT e.has_quality THEN q.overall_score END AS overall_score,
   CASE WHEN NOT e.has_quality THEN q.grade END AS grade,
   CASE WHEN NOT e.has_quality THEN q.freshness END AS freshness
