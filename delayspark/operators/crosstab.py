@@ -57,14 +57,14 @@ def crosstab_row_pct(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Typ
     counts = crosstab_counts(df, rows, cols, values)
     vals = [c for c in counts.columns if c != rows]
     tot = reduce(lambda a, b: a + b, [F.col(v) for v in vals])
-    return counts.select(rows, *[(F.col(v) * 100.0 / tot).alias(v) for v in vals])
+    return counts.select(rows, *[(F.col(v) / tot * 100.0).alias(v) for v in vals])
 
 
 def crosstab_long(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Type") -> DataFrame:
     """Long form of E10/E12: (rows, cols, count, row_pct) for present pairs."""
     pc = pair_counts(df, rows, cols)
     return pc.select(rows, cols, F.col("n").alias("count"),
-                     (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(rows))).alias("row_pct"))
+                     (F.col("n") / F.sum("n").over(Window.partitionBy(rows)) * 100.0).alias("row_pct"))
 
 
 def cv_by_year(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Type", alias: str = "cv") -> DataFrame:

@@ -41,17 +41,20 @@ def value_counts_cat(df: DataFrame, col: str, categories: Sequence[str] = DELAY_
 def value_pct_nonnull(df: DataFrame, col: str, alias: str = "pct") -> DataFrame:
     """Share of the non-null rows per value, in percent."""
     vc = value_counts(df, col, "count")
-    return vc.select(col, "count", (F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy())).alias(alias))
+    return vc.select(col, "count", (F.col("count") / F.sum("count").over(Window.partitionBy()) * 100.0).alias(alias))
 
 
 def value_pct_rows(df: DataFrame, col: str, alias: str = "pct", digits: int = 2) -> DataFrame:
     """Share of *all* rows (NULLs included in the denominator), rounded.
 
     The NULL group is counted alongside the values, the total is a window
-    over those few count rows, and the NULL group is dropped last."""
+    over those few count rows, and the NULL group is dropped last.  Rounding
+    is half-to-even on the scaled double, as NumPy's ``round`` does."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy())
-    return (counts.select(col, "count", F.round(F.col("count") * 100.0 / total, digits).alias(alias))
+    scale = float(10 ** digits)
+    pct = F.col("count") / total * 100.0
+    return (counts.select(col, "count", (F.rint(pct * F.lit(scale)) / F.lit(scale)).alias(alias))
                   .where(F.col(col).isNotNull()).orderBy(F.col("count").desc(), F.col(col)))
 
 

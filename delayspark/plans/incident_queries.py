@@ -142,7 +142,7 @@ _MISS_UNION = " UNION ALL ".join(
 
 
 @register("missing_profile", sql(["uni"], out(
-    [("Column", "s"), ("Missing_Count", "i", "mc"), ("Missing_Percentage", "d", "mc * 100.0 / n"),
+    [("Column", "s"), ("Missing_Count", "i", "mc"), ("Missing_Percentage", "d", "mc / n * 100.0"),
      ("Data_Type", "s")], f"({_MISS_UNION})", "WHERE mc > 0")))
 def q_missing_profile(spark, sf):
     """E1 + C3: columns with NULLs, count, percent, type."""
@@ -154,7 +154,7 @@ _MISS_TOTAL = " + ".join(f'count(*) FILTER (WHERE "{c}" IS NULL)' for c in _SPAR
 
 @register("missing_total", sql(["uni"], out(
     [("Total_Missing", "i", "tm"), ("Rows", "i", "n"), ("Columns", "i", "11"),
-     ("Missing_Percentage", "d", "tm * 100.0 / (n * 11)")],
+     ("Missing_Percentage", "d", "tm / (n * 11) * 100.0")],
     f"(SELECT {_MISS_TOTAL} AS tm, count(*) AS n FROM uni)")))
 def q_missing_total(spark, sf):
     """Total NULL cells and their share."""
@@ -267,7 +267,7 @@ def q_value_counts_cat(spark, sf):
 
 
 @register("value_pct_nonnull", sql(["proc"], out(
-    [("Delay_Category", "s"), ("count", "i", "n"), ("pct", "d", "n * 100.0 / sum(n) OVER ()")],
+    [("Delay_Category", "s"), ("count", "i", "n"), ("pct", "d", "n / sum(n) OVER () * 100.0")],
     '(SELECT "Delay_Category", count(*) AS n FROM proc WHERE "Delay_Category" IS NOT NULL GROUP BY 1)')))
 def q_value_pct_nonnull(spark, sf):
     """Share of categorised rows per category."""
@@ -275,7 +275,7 @@ def q_value_pct_nonnull(spark, sf):
 
 
 @register("value_pct_rows", sql(["proc"], out(
-    [("Vehicle_Type", "s"), ("count", "i", "n"), ("pct", "d", "round(n * 100.0 / t, 2)")],
+    [("Vehicle_Type", "s"), ("count", "i", "n"), ("pct", "d", "round_even(CAST(n AS DOUBLE) / t * 100.0 * 100.0, 0) / 100.0")],
     '(SELECT "Vehicle_Type", count(*) AS n, (SELECT count(*) FROM proc) AS t FROM proc '
     'WHERE "Vehicle_Type" IS NOT NULL GROUP BY 1)')))
 def q_value_pct_rows(spark, sf):
@@ -495,7 +495,7 @@ def q_crosstab_margins(spark, sf):
 
 
 @register("crosstab_row_pct", sql(["oyear"], out(
-    [("Year", "i")] + [(t, "d", f'"{t}" * 100.0 / ({" + ".join(chr(34) + x + chr(34) for x in TYPES)})')
+    [("Year", "i")] + [(t, "d", f'CAST("{t}" AS DOUBLE) / ({" + ".join(chr(34) + x + chr(34) for x in TYPES)}) * 100.0')
                        for t in TYPES],
     f'(SELECT "Year", {_TYPE_SUMS} FROM oyear GROUP BY 1)')))
 def q_crosstab_pct(spark, sf):
@@ -531,7 +531,7 @@ def q_cv(spark, sf):
 
 @register("yoy_growth", sql(["oyear"], out(
     [("Year", "i"), ("count", "i", "n"),
-     ("growth_pct", "d", '(n - lag(n) OVER (ORDER BY "Year")) * 100.0 / lag(n) OVER (ORDER BY "Year")')],
+     ("growth_pct", "d", '(n - lag(n) OVER (ORDER BY "Year")) / lag(n) OVER (ORDER BY "Year") * 100.0')],
     _YEAR_SIZES)))
 def q_yoy(spark, sf):
     """year-over-year growth of record counts in percent."""
