@@ -93,6 +93,7 @@ def q_incremental(spark, sf):
     for name, df in lookups.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
     pk, fl, rc = (spark.read.parquet(f"{root}/{n}") for n in ("packages", "fields", "records"))
+    # two landing waves; every record lands in exactly one of them
     half = F.abs(F.hash("name")) % 2 == 0
     INC.land(s.where(half), landing, files=4)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=2)
