@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.catalogue import enrich
+from ..operators.stats import checked_broadcast
 
 
 def land(df: DataFrame, path: str, files: int = 8, mode: str = "append") -> None:
@@ -33,7 +34,15 @@ def run_incremental_enrich(spark: SparkSession, landing: str, output: str, check
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        out = enrich(batch, packages, fields, records, policy=policy)
+        # restrict the lookups to this batch first: the key sets are small
+        # (bounded by maxFilesPerTrigger) and joined through checked broadcasts,
+        # so a micro-batch never shuffles the whole lookup tables
+        names = checked_broadcast(batch.select("name").distinct())
+        pk = packages.join(names, "name", "left_semi")
+        rids = checked_broadcast(pk.select(F.explode("resources.id").alias("resource_id")).distinct())
+        fl = fields.join(rids, "resource_id", "left_semi")
+        rc = records.join(rids, "resource_id", "left_semi")
+        out = enrich(batch, pk, fl, rc, policy=policy)
         out.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -33,3 +33,10 @@ def test_multi_quantiles(spark):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(11)], "a double, b double")
     got = {r["__col"]: r["q1"] for r in multi_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75]).collect()}
     assert got == {"a": 5.0, "b": 25.0}
+
+
+def test_approx_quantiles_close(spark):
+    df = spark.range(0, 100001).select(F.col("id").cast("double").alias("v"))
+    exact = exact_quantiles(df, "v", [0.5]).first()["q0"]
+    approx = exact_quantiles(df, "v", [0.5], approx=True).first()["q0"]
+    assert exact == 50000.0 and abs(approx - exact) <= 100001 / 10_000
