@@ -175,3 +175,17 @@ def dictionary_lists(dict_rows: DataFrame) -> DataFrame:
         F.struct("rpos", "fpos", "column_name", "type", "description"))).alias("d")).select(
         "name", F.transform("d", lambda x: F.struct(x["column_name"].alias("column_name"), x["type"].alias("type"),
                                                    x["description"].alias("description"))).alias("dictionary"))
+
+
+def head_dictionary(datasets: DataFrame, dict_rows: DataFrame, n_datasets: int = 3, n_columns: int = 3,
+                    order: str = "page_id") -> DataFrame:
+    """G4 (catalogue form): the first ``n_datasets`` datasets and the first
+    ``n_columns`` entries of each one's dictionary (a top-k report; the
+    ``row_number() <= k`` filter is applied per partition before the shuffle)."""
+    from pyspark.sql import Window
+    first = datasets.orderBy(order).limit(n_datasets).select(order, "name")
+    picked = dict_rows.join(first.select("name"), "name", "left_semi")
+    rn = F.row_number().over(Window.partitionBy("name").orderBy("rpos", "fpos"))
+    top = picked.withColumn("__rn", rn).where(F.col("__rn") <= n_columns)
+    return first.join(top, "name", "left").select(order, "name", F.col("__rn").alias("column_no"),
+                                                  "column_name", "type", "description")

@@ -331,3 +331,15 @@ def q_supplement(spark, sf):
     resource_pages = s.select("name", F.lit(0).alias("rpos"), "title").join(
         pages.select(F.concat(F.lit("ds-"), F.col("page_id").cast("string")).alias("name"), "html"), "name")
     return supplement(_enriched(spark, sf), resource_pages)
+
+
+@register("head_dictionary", cat_sql(f"""SELECT d.page_id, d.name, t.column_no, t.column_name, t.type, t.description
+FROM (SELECT page_id, name FROM ds ORDER BY page_id LIMIT 3) d LEFT JOIN (
+  SELECT * FROM (SELECT r.name, row_number() OVER (PARTITION BY r.name ORDER BY r.rpos, f.fpos) AS column_no, {_FIELD_COLS}
+                 FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
+                 WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} AND coalesce(r.id, '') <> '')
+  WHERE column_no <= 3) t ON d.name = t.name"""))
+def q_head_dictionary(spark, sf):
+    """First three datasets with the first three columns of their dictionaries."""
+    s, pk, fl, _ = _capture(spark, sf)
+    return CAT.head_dictionary(s, CAT.dictionary_rows(pk, fl))
