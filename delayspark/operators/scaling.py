@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import exact_quantiles, multi_quantiles
+from pyspark import StorageLevel
+
+from .stats import MAX_GROUP_DISTINCT, exact_quantiles, select_quantiles, stacked_weighted, widest_group
 
 
 def log1p(col) -> Column:
@@ -49,19 +51,49 @@ def apply_robust(col: str, p: RobustParams) -> Column:
     return (F.col(col) - F.lit(p.center)) / F.lit(p.scale)
 
 
-def fit_robust_many(df: DataFrame, cols, q_range=(0.25, 0.75)) -> dict[str, RobustParams]:
-    """:func:`fit_robust` for several columns from one shuffle."""
+def fit_scalers(df: DataFrame, robust_cols, standard_cols, q_range=(0.25, 0.75)):
+    """Parameters of every scaler from ONE scan of ``df``.
+
+    The columns are stacked into a persisted (column, value, weight) table;
+    the robust columns' quartiles and the standard columns' weighted sums
+    come from one aggregation over it, and the population variance from a
+    second, small one around the fitted mean (no second pass over ``df``).
+    Returns ({col: RobustParams}, {col: StandardParams})."""
     lo, hi = q_range
-    rows = {r["__col"]: r for r in multi_quantiles(df, cols, [lo, 0.5, hi]).collect()}
-    out = {}
-    for c in cols:
-        r = rows.get(c)
-        if r is None:
-            out[c] = RobustParams(None, 1.0)
+    robust_cols, standard_cols = list(robust_cols), list(standard_cols)
+    wv = stacked_weighted(df, robust_cols + standard_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    w, v, col = F.col("__w"), F.col("__v"), F.col("__col")
+    is_robust = col.isin(robust_cols) if robust_cols else F.lit(False)
+    big = widest_group(wv, ["__col"]) > MAX_GROUP_DISTINCT
+    aggs = [F.sum(w).alias("n"), F.sum(w * v).alias("sv")]
+    if not big:
+        aggs.append(F.percentile(F.when(is_robust, v), F.array(F.lit(lo), F.lit(0.5), F.lit(hi)),
+                                 F.when(is_robust, w).otherwise(F.lit(1))).alias("q"))
+    rows = {r["__col"]: r for r in wv.groupBy("__col").agg(*aggs).collect()}
+    if big and robust_cols:
+        sel = select_quantiles(wv.where(is_robust), "__v", [lo, 0.5, hi], ["__col"]).collect()
+        qs = {r["__col"]: [r["q0"], r["q1"], r["q2"]] for r in sel}
+    else:
+        qs = {c: (rows[c]["q"] if c in rows else None) for c in robust_cols}
+    robust = {}
+    for c in robust_cols:
+        q = qs.get(c)
+        if not q or q[1] is None:
+            robust[c] = RobustParams(None, 1.0)
         else:
-            iqr = r["q2"] - r["q0"]
-            out[c] = RobustParams(r["q1"], iqr if iqr != 0 else 1.0)
-    return out
+            iqr = q[2] - q[0]
+            robust[c] = RobustParams(q[1], iqr if iqr != 0 else 1.0)
+    means = {c: rows[c]["sv"] / rows[c]["n"] for c in standard_cols if c in rows}
+    standard = {c: StandardParams(None, 1.0) for c in standard_cols if c not in means}
+    if means:
+        dev = [F.sum(F.when(col == c, w * (v - F.lit(m)) * (v - F.lit(m)))).alias(f"d{i}")
+               for i, (c, m) in enumerate(means.items())]
+        d = wv.where(col.isin(list(means))).agg(*dev).first()
+        for i, (c, m) in enumerate(means.items()):
+            var = d[f"d{i}"] / rows[c]["n"]
+            sd = var ** 0.5 if var is not None and var > 0 else 0.0
+            standard[c] = StandardParams(m, sd if sd != 0 else 1.0)
+    return robust, standard
 
 
 def fit_standard(df: DataFrame, col: str) -> StandardParams:
@@ -91,12 +123,14 @@ def scale(df: DataFrame, approx: bool = False) -> DataFrame:
     """M4 (+B6): keep originals, log the target, robust-scale gap and ratio,
     standard-scale the vehicle number.  All parameters are fitted on ``df``."""
     robust_cols = ["Min Gap"] + (["Delay_Ratio"] if "Delay_Ratio" in df.columns else [])
+    standard_cols = ["Vehicle"] if "Vehicle" in df.columns else []
     if approx:
         fitted = {c: fit_robust(df, c, approx=True) for c in robust_cols}
+        std = {c: fit_standard(df, c) for c in standard_cols}
     else:
-        fitted = fit_robust_many(df, robust_cols)
+        fitted, std = fit_scalers(df, robust_cols, standard_cols)
     gap, ratio = fitted["Min Gap"], fitted.get("Delay_Ratio")
-    veh = fit_standard(df, "Vehicle") if "Vehicle" in df.columns else None
+    veh = std.get("Vehicle")
     cols = {
         "Min_Delay_Original": F.col("Min Delay"),
         "Min_Gap_Original": F.col("Min Gap"),

@@ -40,3 +40,17 @@ def test_approx_quantiles_close(spark):
     exact = exact_quantiles(df, "v", [0.5]).first()["q0"]
     approx = exact_quantiles(df, "v", [0.5], approx=True).first()["q0"]
     assert exact == 50000.0 and abs(approx - exact) <= 100001 / 10_000
+
+
+def test_fit_scalers_one_scan_equals_separate_fits(spark):
+    from delayspark.operators import scaling as S
+    rng = np.random.default_rng(11)
+    rows = [(float(a) if i % 7 else None, float(b), int(c)) for i, (a, b, c) in
+            enumerate(zip(rng.integers(0, 30, 500), rng.exponential(2.0, 500), rng.integers(1000, 9000, 500)))]
+    df = spark.createDataFrame(rows, "g double, r double, v long")
+    robust, std = S.fit_scalers(df, ["g", "r"], ["v"])
+    for c in ("g", "r"):
+        one = S.fit_robust(df, c)
+        assert np.isclose(robust[c].center, one.center) and np.isclose(robust[c].scale, one.scale)
+    sep = S.fit_standard(df, "v")
+    assert np.isclose(std["v"].mean, sep.mean) and np.isclose(std["v"].scale, sep.scale)
