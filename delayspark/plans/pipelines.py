@@ -107,7 +107,7 @@ def supplement(enriched: DataFrame, resource_pages: DataFrame) -> DataFrame:
                       .groupBy("name").agg(F.min_by("n", "rpos").alias("dictionary_columns"),
                                            F.min("rpos").alias("dictionary_rpos")))
     q = W.quality_metrics(pages, key="page_id")
-    found = F.coalesce(*[F.col(c).isNotNull() for c in q.columns if c != "page_id"])
+    found = F.coalesce(*[F.col(c) for c in q.columns if c != "page_id"]).isNotNull()  # any figure found
     q_first = (q.where(found).select(F.col("page_id.name").alias("name"), F.col("page_id.rpos").alias("rpos"),
                                      F.struct("overall_score", "grade", "freshness").alias("qv"))
                 .groupBy("name").agg(F.min_by("qv", "rpos").alias("qv"), F.min("rpos").alias("quality_rpos")))

@@ -39,3 +39,25 @@ def test_catalogue_jobs(spark):
     assert e.count() == s.count() - 3
     m = PL.link_manifest(pages, lenient=True)
     assert set(m.columns) >= {"dataset", "filename", "path", "status", "collision"}
+
+
+def test_supplement_fills_from_first_yielding_page(spark):
+    enriched = spark.createDataFrame(
+        [("a", 0, False), ("b", 2, False), ("c", 1, True)],
+        "name string, n_dictionary long, has_quality boolean")
+    table = "<table><tr><th>c</th><th>t</th></tr><tr><td>id</td><td>int</td></tr><tr><td>x</td><td>text</td></tr></table>"
+    pages = spark.createDataFrame([
+        ("a", 0, "README notes", table + "<div>Overall score: 10%</div>"),  # skipped: readme heading
+        ("a", 1, "Data 2024", "<p>no table</p>"),
+        ("a", 2, "Data 2025", table + "<div>Overall score: 87%</div><div>Grade Gold</div>"),
+        ("b", 0, "Data", "<div>Freshness: 50%</div>"),
+        ("c", 0, "Data", table),
+    ], "name string, rpos int, title string, html string")
+    out = {r["name"]: r for r in PL.supplement(enriched, pages).collect()}
+    assert set(out) == {"a", "b"}  # c has a dictionary and quality already
+    a = out["a"]
+    assert (a["dictionary_columns"], a["dictionary_rpos"], a["quality_rpos"]) == (2, 2, 2)
+    assert (a["overall_score"], a["grade"]) == ("87%", "Gold")
+    b = out["b"]
+    assert (b["dictionary_columns"], b["dictionary_rpos"]) == (0, None)  # b already has a dictionary
+    assert (b["quality_rpos"], b["freshness"]) == (0, "50%")
