@@ -122,3 +122,17 @@ def test_size_label_and_mojibake(spark):
     d = spark.createDataFrame([(broken,), ("clean – text",)], "t string")
     assert [r[0] for r in d.select(K.repair_mojibake("t")).collect()] == ["Delay – mechanical",
                                                                          "clean – text"]
+
+
+def test_dictionary_lists_keep_order(spark):
+    rows = spark.createDataFrame([("d", 2, 0, "c", "int", ""), ("d", 0, 1, "b", "text", ""), ("d", 0, 0, "a", "date", "x")],
+                                 "name string, rpos int, fpos int, column_name string, type string, description string")
+    got = CAT.dictionary_lists(rows).first()
+    assert [e["column_name"] for e in got["dictionary"]] == ["a", "b", "c"]
+
+
+def test_crosstab_long(spark):
+    from delayspark.operators import crosstab as X
+    df = spark.createDataFrame([(2017, "BUS")] * 3 + [(2017, "SUBWAY")], "Year int, Vehicle_Type string")
+    got = {(r["Year"], r["Vehicle_Type"]): (r["count"], r["row_pct"]) for r in X.crosstab_long(df).collect()}
+    assert got == {(2017, "BUS"): (3, 75.0), (2017, "SUBWAY"): (1, 25.0)}
