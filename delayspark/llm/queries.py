@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, token_ids, warc
 from . import queries_sql as SQL
-from .common import table
+from .common import scratch_path, table, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -35,3 +36,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources (weights 5, 2, 1; 150 % of all words; two epochs at most) takes per document."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"), cycle=[5, 2, 1], share=1.5, max_epochs=2.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op3_warc", SQL.OP3)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page (response or revisit), written to archives and read back."""
+    path = scratch_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    warc.write_archive(warc.resolve_revisits(pages), path)
+    heads = written(warc.read_archive(spark, path), "warc-heads")
+    return warc.resolved(heads).select(
+        F.col("source_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@register("op6_token_ids")
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenized, written as frequency-ranked variable-length ids and read back."""
+    path = scratch_path(spark, "token-ids")
+    token_ids.write_corpus(table(spark, sf_dir, "documents"), path, token_ids.default_vocabulary())
+    return token_ids.read_corpus(spark, path)

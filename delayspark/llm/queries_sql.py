@@ -71,3 +71,13 @@ mixed AS (SELECT md.*, mp.source_size, mp.target, whole + CASE WHEN b <= coalesc
 
 OP1 = f"""WITH {mixing_ctes('documents')}
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size * copies AS BIGINT) AS taken FROM mixed"""
+
+
+# --- op3 ----------------------------------------------------------------------------------------
+OP3 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, coalesce(url, '') AS u FROM pages),
+o AS (SELECT *, CAST(strlen(h) AS BIGINT) AS n, count(*) OVER (PARTITION BY d) AS c,
+        row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST, u) AS k,
+        first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST, u) AS f FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND k > 1 THEN f END AS refers_to FROM o"""
