@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, token_ids, warc
+from . import mixing, quality_rules, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, table, written
 
@@ -57,3 +57,14 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_ids.write_corpus(table(spark, sf_dir, "documents"), path, token_ids.default_vocabulary())
     return token_ids.read_corpus(spark, path)
+
+
+URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
+             url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
+             url_filter.Rule("block", "net", "/fr/")]
+
+
+@register("op10_url_filter", SQL.OP10)
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page: its rule's, else its alias class's."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)

@@ -81,3 +81,63 @@ o AS (SELECT *, CAST(strlen(h) AS BIGINT) AS n, count(*) OVER (PARTITION BY d) A
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND k > 1 THEN f END AS refers_to FROM o"""
+
+
+# --- op10 ---------------------------------------------------------------------------------------
+def _host(u: str) -> str:
+    return f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(u: str) -> str:
+    return f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+
+
+def _rule(h: str, p: str) -> str:
+    def fits(host: str, path: str) -> str:
+        return f"({h} = '{host}' OR ends_with({h}, '.{host}')) AND starts_with({p}, '{path}')"
+    return f"""CASE WHEN {fits('www.example.com', '/en/')} THEN 'www.example.com/en/'
+      WHEN {fits('example.com', '/en/')} THEN 'example.com/en/'
+      WHEN {fits('net', '/es/')} THEN 'net/es/' WHEN {fits('net', '/fr/')} THEN 'net/fr/'
+      WHEN {fits('com', '/')} THEN 'com/' END"""
+
+
+def _node(u: str) -> str:
+    rest = f"regexp_replace(regexp_replace({u}, '(?s)^.*?://[^/?#]*', ''), '(?s)#.*$', '')"
+    rest = rf"regexp_replace({rest}, '(?i)([?&])(utm_[a-z]+|gclid|fbclid|mc_eid|ref)=[^&#]*', '\1', 'g')"
+    rest = rf"regexp_replace(regexp_replace(regexp_replace({rest}, '([?&])&+', '\1', 'g'), '[?&]+$', ''), '/$', '')"
+    host = f"regexp_replace({_host(u)}, ':(80|443)?$', '')"
+    return f"CASE WHEN {host} <> '' THEN {host} || {rest} END"
+
+
+_SAID = "CASE WHEN {0} IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN {0} IS NOT NULL THEN 'block' END"
+
+OP10 = rf"""WITH RECURSIVE u0 AS (
+  SELECT row_number() OVER () AS rid, page_id, url, {_host('url')} AS host, {_path('url')} AS path, {_node('url')} AS own,
+    list_concat(
+      list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                     lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                     lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS tags
+  FROM pages),
+u1 AS (SELECT *, {_rule('host', 'path')} AS rule FROM u0),
+lk0 AS (SELECT rid, unnest(range(1, len(tags) + 1)) AS k, replace(unnest(tags), '&amp;', '&') AS t,
+          regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s,
+          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h,
+          regexp_replace(path, '[^/]*$', '') AS f FROM u1),
+lk1 AS (SELECT rid, k, CASE WHEN t = '' THEN '' WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+          WHEN s = '' THEN '' WHEN starts_with(t, '/') THEN s || '://' || h || t
+          ELSE s || '://' || h || CASE WHEN f = '' THEN '/' ELSE f END || t END AS x FROM lk0),
+lk AS (SELECT rid, k, {_node('x')} AS other, {_host('x')} AS xh, {_path('x')} AS xp FROM lk1 WHERE {_node('x')} IS NOT NULL),
+u2 AS (SELECT u1.*, coalesce(own, (SELECT arg_min(other, k) FROM lk WHERE lk.rid = u1.rid)) AS node FROM u1),
+eg AS (SELECT DISTINCT node AS a, other AS b FROM u2 JOIN lk USING (rid) WHERE node <> other),
+cl(a, b) AS (SELECT a, b FROM eg UNION SELECT b, a FROM eg UNION
+             SELECT cl.a, e.b FROM cl JOIN (SELECT a, b FROM eg UNION ALL SELECT b, a FROM eg) e ON cl.b = e.a),
+roots AS (SELECT a, least(a, min(b)) AS root FROM cl GROUP BY a),
+fa AS (SELECT own AS n, {_SAID.format('rule')} AS said FROM u1 WHERE own IS NOT NULL AND rule IS NOT NULL
+       UNION ALL SELECT other, {_SAID.format('r')} FROM (SELECT other, {_rule('xh', 'xp')} AS r FROM lk) WHERE r IS NOT NULL),
+fc AS (SELECT coalesce(root, n) AS c, bool_or(said = 'allow') AS allow, bool_or(said = 'block') AS block
+       FROM fa LEFT JOIN roots ON n = a GROUP BY 1)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN {_SAID.format('rule')} WHEN allow THEN 'allow' WHEN block THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allow OR block THEN 'alias' ELSE 'default' END AS reason
+FROM u2 LEFT JOIN roots ON node = a LEFT JOIN fc ON coalesce(root, node) = c"""
