@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, token_ids, url_filter, warc
+from . import mixing, quality_rules, simhash, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, table, written
 
@@ -68,3 +68,10 @@ URL_RULES = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "exa
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page: its rule's, else its alias class's."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
