@@ -36,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import span_hashes, text_chunks, written
 
 END_ID = 2
-CACHE_PIECES = 400_000     # distinct pieces of text whose ids a worker keeps
+CACHE_PIECES = 2_000_000   # distinct pieces whose ids a worker keeps (about 30 bytes each)
+JOINED = 100               # new pieces encoded at once
 BATCH_ROWS = 500           # documents handed back to Spark at a time
 BLOCK_IDS = 1_000_000      # a block ends with the document that reaches this many ids
 BLOCKS_PER_FILE = 8
@@ -48,9 +49,9 @@ BLOCKS_PER_FILE = 8
 MAGIC = b"FRVB"
 HEADER = struct.Struct("<4s6Q")
 
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1  # control byte -> four lengths
-_ADJACENT = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?= )")
+_LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)  # control byte -> four lengths
+_ONE_WORD = re.compile(r" \S+")
+_SOLID = re.compile(r"\S+")
 _STATE: dict = {}
 
 
@@ -59,34 +60,149 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut before spaces that follow a non-space character; joined they give it back."""
-    if _ADJACENT.search(text):
-        return _CUT.split(text)
-    parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]]
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)  # ASCII marks that end a word: no letter, digit, white space or apostrophe
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+# lead bytes of characters that may be white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 on, U+3000
+_DOUBTFUL = [0xC2, 0xE1, 0xE2, 0xE3]
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of some texts that lie one after the other.
+
+    A piece may begin (all exact, as the pre-tokenizer's pattern never looks back and never matches
+    across these places): at a text's start; at a space or line feed behind a character that is
+    surely no white space; behind a line feed with such characters on both sides; and at an ASCII
+    mark behind a Latin letter (contractions begin with an apostrophe, which is left alone).
+    """
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    solid = ~_WHITE[data]
+    for k in range(3):  # all bytes of doubtful characters
+        lead = np.isin(data[:n - k], _DOUBTFUL) & ((data[:n - k] >= 0xE0) | (k < 2))
+        solid[k:][lead] = False
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = edge[:-1].copy()
+    cut[1:] |= solid[:-1] & ((data[1:] == 32) | (data[1:] == 10))
+    cut[1:] |= letter[:-1] & _MARK[data[1:]]
+    if n > 2:
+        cut[2:] |= (data[1:-1] == 10) & solid[:-2] & solid[2:] & ~edge[1:-2] & ~edge[2:-1]
+    return np.flatnonzero(cut)
 
 
 class PieceTokenizer:
-    """A tokenizer with a bounded cache of pieces; ``code`` is the array type of one id."""
+    """A tokenizer called once per distinct piece of text, with a bounded cache of pieces' ids.
+
+    Pieces are told apart by their 64-bit hash.  New pieces are encoded many at a time: those that
+    are a space and a word are joined as they are (their first token, and no other, starts with the
+    space), others without white space by single line feeds; the ids fall apart at those tokens.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        pieces = pieces_of(text)
-        cache = self.cache
-        new = [p for p in set(pieces) if p not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache = self.cache = {p: cache[p] for p in set(pieces) if p in cache}
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = array(self.code, e.ids).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        self.tokenizer.model._resize_cache(0)  # pieces come once: the library's own cache only costs time
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        n = self.tokenizer.get_vocab_size()
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.opens = np.zeros(n, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")
+        self.feed = np.zeros(n, bool)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed[feed] = len(feed) == 1
+        self._empty()
+
+    def _whole(self, raw: bytes, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``starts`` without those inside texts that hold a special token: such texts stay whole."""
+        rows = set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        if not rows:
+            return starts
+        row = np.searchsorted(offsets, starts, "right") - 1
+        return starts[~np.isin(row, list(rows)) | np.isin(starts, offsets)]
+
+    def _empty(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.start = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int64)
+        self.flat = np.empty(0, self.code)
+
+    def _joined(self, pieces: list[str], glue: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of pieces encoded many at a time; ``first`` marks the ids that open
+        a piece (or are the glue)."""
+        flat, counts = [], []
+        groups = [pieces[k:k + JOINED] for k in range(0, len(pieces), JOINED)]
+        made = self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, made, strict=True):
+            ids = np.array(e.ids, self.code)
+            opens = first[ids]
+            at = np.flatnonzero(opens)
+            if glue:
+                n = np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+                ids = ids[~opens]
+            else:
+                n = np.diff(np.append(at, len(ids))) if len(at) and at[0] == 0 else at
+            if len(n) != len(g):
+                ids, n = self._alone(g)
+            flat.append(ids)
+            counts.append(n)
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return (np.fromiter((x for y in ids for x in y), self.code), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """New pieces (keys sorted) into the cache."""
+        kind = np.array([0 if _ONE_WORD.fullmatch(p) else 1 if _SOLID.fullmatch(p) else 2 for p in pieces], np.int8)
+        start, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        for k, encode in ((0, lambda g: self._joined(g, "", self.opens)), (1, lambda g: self._joined(g, "\n", self.feed)),
+                          (2, self._alone)):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                ids, n = encode([pieces[i] for i in at.tolist()])
+                count[at] = n
+                start[at] = np.cumsum(n) - n + len(self.flat)
+                self.flat = np.concatenate([self.flat, ids])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for lo, hi, data, offsets in text_chunks(texts):
+            if len(self.keys) > CACHE_PIECES:
+                self._empty()
+            raw = data.tobytes()
+            starts = self._whole(raw, offsets, cut_points(data, offsets))
+            ends = np.append(starts[1:], len(data)) if len(starts) else starts
+            names = span_hashes(data, starts, ends)
+            keys, where, back = np.unique(names, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == keys[known]
+            new = np.flatnonzero(~known)
+            if len(new):
+                spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
+                self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+                at = np.searchsorted(self.keys, keys)
+            count = self.count[at][back]
+            begin = np.cumsum(count) - count
+            total = int(count.sum())
+            ids = self.flat[np.repeat(self.start[at][back] - begin, count) + np.arange(total)] if total else self.flat[:0]
+            edges = np.append(begin, total)[np.searchsorted(starts, offsets)]
+            yield from (ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id",
@@ -100,7 +216,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(lo, BATCH_ROWS)
-                ids = [t.encode(x.as_py() or "") + end for x in part.column(1)]
+                ids = [x.tobytes() + end for x in t.encode_all(part.column(1))]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(x) // len(end) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -154,7 +270,7 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """Ranks from control and data bytes, by table lookup of four lengths per control byte."""
     size = _LENGTHS[control].reshape(-1)[:n]
-    start = np.cumsum(size) - size
+    start = np.cumsum(size, dtype=np.int64) - size
     out = data[start].astype(np.uint32) if n else np.empty(0, np.uint32)
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
