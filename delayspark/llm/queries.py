@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, substring_dedup, token_ids, url_filter, warc
+from . import decontamination, mixing, quality_rules, simhash, substring_dedup, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -87,3 +87,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 35-word windows that occur elsewhere."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document: the pair, its edit distance and where it stands."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
