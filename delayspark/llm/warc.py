@@ -9,8 +9,9 @@ Spark's own text writer writes the files (a record, then an empty line), so they
 commit protocol to any file system and a lost executor leaves no half file.  Files hold at most
 ``RECORDS_PER_FILE`` records, which bounds what a reading task holds.
 
-Scale: digests are grouped with map-side aggregation; the payload moves once, keyed by
-(digest, record key), so a payload shared by a third of all rows is still spread over all tasks.
+Scale: digests are grouped with map-side aggregation.  The table of repeated payloads meets the
+payloads by a broadcast while it has at most ``MAX_BROADCAST_REPEATED`` rows (payloads then never
+move), else by a shuffle join on (digest, id), which no shared payload makes uneven.
 
 Defined results: a null payload is empty; payloads under ``MIN_REVISIT_BYTES`` are always responses;
 null ids come last when the smallest is chosen; of rows that repeat the same id and payload one is
@@ -29,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, written
+
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 1000
+MAX_BROADCAST_REPEATED = 100_000  # rows of about 100 bytes
 BATCH_BYTES = 8_000_000  # payload bytes in one batch that a reading task hands to Spark
 
 # --- fixed values of the format ------------------------------------------------------------------
@@ -45,16 +49,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     records = records.select("id", "uri", F.coalesce("payload", F.lit("")).alias("payload"))
     records = records.withColumns({"digest": F.sha2("payload", 256),
                                    "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = records.select("id", "digest", "payload_bytes").where(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
-    first = (heads.groupBy("digest").agg(F.min("id").alias("refers_id"), F.count("*").alias("n"))
-             .where("n > 1").drop("n"))
-    per = heads.groupBy("digest", "id").agg(F.lit(True).alias("found")).drop("found")
-    known = (per.join(first, "digest").select(F.col("digest").alias("d"), F.col("id").alias("i"), "refers_id",
-                                             F.lit(True).alias("shared")))
-    joined = records.join(known, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    joined = joined.withColumn("at", F.row_number().over(Window.partitionBy("digest", "id").orderBy("uri")))
-    original = F.col("shared").isNull() | (F.col("id").eqNullSafe(F.col("refers_id")) & (F.col("at") == 1))
-    return joined.select(
+    heads = records.select("id", "digest", "payload_bytes")
+    group = heads.groupBy("digest").agg(F.min("id").alias("refers_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # every (payload, id) of a repeated payload, with the rows that repeat it
+    known = (heads.groupBy("digest", "id").agg(F.count("*").alias("same")).join(group, "digest")
+             .select(F.col("digest").alias("d"), F.col("id").alias("i"), "refers_id", "same"))
+    known = bounded(written(known, "warc-repeated"), MAX_BROADCAST_REPEATED)
+    joined = records.join(known, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("d", "i")
+    # only rows that repeat id and payload have to be numbered
+    once = joined.where("same is null or same = 1").withColumn("at", F.lit(1))
+    again = joined.where("same > 1").withColumn("at", F.row_number().over(Window.partitionBy("digest", "id").orderBy("uri")))
+    rows = once.unionByName(again)
+    original = (F.col("same").isNull() | (F.col("payload_bytes") < MIN_REVISIT_BYTES)
+                | (F.col("id").eqNullSafe(F.col("refers_id")) & (F.col("at") == 1)))
+    return rows.select(
         "id", "uri", "payload", "digest", "payload_bytes",
         F.when(original, "response").otherwise("revisit").alias("record_type"),
         _record_id(F.col("digest"), F.col("id"), F.col("at")).alias("record_id"),
