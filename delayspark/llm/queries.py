@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, simhash, substring_dedup, token_ids, url_filter, warc
+from . import decontamination, language_id, mixing, quality_rules, simhash, substring_dedup, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -93,3 +93,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document: the pair, its edit distance and where it stands."""
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = docs.withColumn("held_out", F.coalesce(held, F.lit(False)))
+    train = docs.where("not held_out and lang is not null and text is not null")
+    model = language_id.train(train.select("lang", "text", "doc_id"), F.col("doc_id"))
+    return language_id.predict(docs, model, keep=["doc_id", "held_out"])
