@@ -43,14 +43,9 @@ def ship(spark: SparkSession) -> None:
 
 
 # --- written intermediate tables -------------------------------------------------------------
-_WRITTEN: list[str] = []
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that ``spark.checkpoint.dir`` names."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append(path)
-    return path
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,12 +56,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far (their results must have been written elsewhere)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(conf).delete(p, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table whose rows have been written elsewhere."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # --- column helpers ---------------------------------------------------------------------------

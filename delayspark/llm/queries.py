@@ -8,7 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, quality_rules, simhash, substring_dedup, token_ids, url_filter, warc
+import corpus_pipeline
+
+from . import decontamination, language_id, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -104,3 +106,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = docs.where("not held_out and lang is not null and text is not null")
     model = language_id.train(train.select("lang", "text", "doc_id"), F.col("doc_id"))
     return language_id.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+@register("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document, with the forest's verdict."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules, near-dedup, decontamination, mixing and token-id output over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
