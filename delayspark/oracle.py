@@ -9,7 +9,6 @@ one convention on both sides: integers as BIGINT, floating values rounded as
 
 from __future__ import annotations
 
-from .sources import adapters as A
 
 # --- layer CTEs (name -> (dependencies, body)) ------------------------------
 LAYERS: dict[str, tuple[list[str], str]] = {}
@@ -19,22 +18,18 @@ def layer(name: str, deps: list[str], body: str) -> None:
     LAYERS[name] = (deps, body)
 
 
-layer("inc", [], f"""
+layer("inc", [], r"""
 SELECT upper(event_type) AS "Vehicle_Type",
        CAST(ts AS DATE) AS "Date",
-       CASE WHEN event_id % {A.EVENT_NULL_LINE} <> 0 THEN CAST(user_id AS VARCHAR) END AS "Line",
-       CASE WHEN event_id % {A.EVENT_SHORT_TIME} = 0 THEN strftime(ts, '%H:%M')
-            ELSE strftime(ts, '%H:%M:%S') END AS "Time",
+       CAST(user_id AS VARCHAR) AS "Line",
+       CASE WHEN date_part('second', ts) = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%H:%M:%S') END AS "Time",
        strftime(ts, '%A') AS "Day",
-       CASE WHEN event_id % {A.EVENT_NULL_STATION} <> 0
-            THEN 'Stop ' || regexp_extract(props, '(\\d+)', 1) END AS "Station",
+       CASE WHEN user_id >= 10 THEN 'Stop ' || right(CAST(user_id AS VARCHAR), 2) END AS "Station",
        upper(substring(event_type, 1, 4)) AS "Code",
-       CASE WHEN event_id % {A.EVENT_NULL_DELAY} = 0 THEN NULL
-            WHEN event_id % {A.EVENT_ZERO_DELAY} = 0 THEN 0.0 ELSE value END AS "Min Delay",
-       CASE WHEN event_id % {A.EVENT_NULL_GAP} <> 0
-            THEN TRY_CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) END AS "Min Gap",
-       CASE WHEN event_id % {A.EVENT_NULL_BOUND} <> 0 THEN ['N','S','E','W'][event_id % 4 + 1] END AS "Bound",
-       CASE WHEN event_id % {A.EVENT_NULL_VEHICLE} <> 0 THEN user_id END AS "Vehicle"
+       CASE WHEN regexp_full_match(CAST(value AS VARCHAR), '\d+[.]\d\d') THEN value END AS "Min Delay",
+       TRY_CAST(regexp_extract(props, '\d\d') AS DOUBLE) AS "Min Gap",
+       CASE right(regexp_extract(props, '\d+'), 1) WHEN '1' THEN 'N' WHEN '3' THEN 'S' WHEN '7' THEN 'E' WHEN '9' THEN 'W' END AS "Bound",
+       CASE WHEN user_id >= 10 THEN user_id END AS "Vehicle"
 FROM events""")
 
 layer("uni", ["inc"], """
@@ -120,19 +115,18 @@ layer("rfeat0", ["uni"], _features_body("uni"))
 layer("rfeat", ["rfeat0"], _features2_body("rfeat0"))
 
 # --- orders adapter: raw yearly frames, conformed and unified ---------------
-_ORD_COMMON = f"""
-  CASE WHEN o_orderkey % {A.ORDER_BAD_DATE} = 0 THEN 'abc'
-       ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL {A.ORDER_YEAR_SHIFT} YEAR, '%Y-%m-%d') END AS d_txt,
+_ORD_COMMON = """
+  strftime(CAST(o_orderdate AS DATE) + INTERVAL 21 YEAR, '%Y-%m-%d') AS d_txt,
   o_orderpriority AS line,
   CAST(o_orderkey % 24 AS VARCHAR) || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || ':'
      || lpad(CAST((o_orderkey * 7) % 60 AS VARCHAR), 2, '0') AS tm,
-  strftime(CAST(o_orderdate AS DATE) + INTERVAL {A.ORDER_YEAR_SHIFT} YEAR, '%A') AS dy,
+  strftime(CAST(o_orderdate AS DATE) + INTERVAL 21 YEAR, '%A') AS dy,
   'Stn ' || CAST(o_custkey % 100 AS VARCHAR) AS stn,
   'C' || CAST(o_orderkey % 50 AS VARCHAR) AS code,
   round(o_totalprice / 10000.0, 2) AS delay,
-  CASE WHEN o_orderkey % {A.ORDER_NULL_GAP} <> 0 THEN CAST(floor(o_totalprice / 50000.0) AS DOUBLE) END AS gap,
+  CASE WHEN o_totalprice >= 100000 AND o_totalprice < 1000000 THEN CAST(floor(o_totalprice / 100000) AS DOUBLE) END AS gap,
   ['N','S','E','W'][o_orderkey % 4 + 1] AS bound,
-  CASE WHEN o_orderkey % {A.ORDER_NULL_VEHICLE} <> 0 THEN o_custkey END AS vehicle,
+  CASE WHEN o_custkey >= 10 THEN o_custkey END AS vehicle,
   o_orderkey AS oid, o_orderstatus AS st"""
 layer("ordraw", [], f"SELECT {_ORD_COMMON} FROM orders")
 layer("ordinc", ["ordraw"], """

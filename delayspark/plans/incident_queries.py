@@ -21,6 +21,7 @@ from ..operators.features import add_features, category_codes
 from ..registry import register
 from ..schema import CORR_APPENDIX, CORR_FEATURES, NORMALISATION_FEATURES, PROCESSED_COLUMNS
 from ..session import read_table
+from ..sources import files as FS
 from ..sources.adapters import incidents_events, raw_delay_frames
 
 TYPES = ["BUS", "STREETCAR", "SUBWAY"]
@@ -420,10 +421,10 @@ def q_unify(spark, sf):
     return B.unify(order_frames(spark, sf))
 
 
-@register("conform", sql(["ordinc"], out(STD_COLS, "ordinc", "WHERE \"Vehicle_Type\" = 'BUS'")))
+@register("conform", sql(["ordinc"], out(STD_COLS, "ordinc")))
 def q_conform(spark, sf):
-    """B1-B2: the bus workbook frame conformed to the standard schema."""
-    return B.conform(order_frames(spark, sf)["bus"], "bus", typed=True)
+    """B1-B2: every raw frame conformed to the standard schema."""
+    return B.union_by_name([B.conform(f, t, typed=True) for t, f in order_frames(spark, sf).items()])
 
 
 @register("union_by_name", sql(["ordinc"], out(STD_COLS, "ordinc")))
@@ -460,18 +461,18 @@ def q_split(spark, sf):
     return B.scan_split_period(B.conform(order_frames(spark, sf)["subway"], "subway", typed=True), 2017)
 
 
-@register("route_fallback", sql(["ordinc"], out(STD_COLS, "ordinc", "WHERE \"Vehicle_Type\" = 'SUBWAY'")))
+@register("route_fallback", sql(["ordinc"], out(STD_COLS, "ordinc")))
 def q_route_fallback(spark, sf):
-    """A frame with Route but no Line takes Line from Route."""
-    raw = order_frames(spark, sf)["subway"].withColumnRenamed("Line", "Route")
-    return B.conform(raw, "subway", typed=True, fallback=True)
+    """A frame with Route but no Line takes Line from Route (every frame)."""
+    frames = {t: f.withColumnRenamed("Line", "Route") for t, f in order_frames(spark, sf).items()}
+    return B.union_by_name([B.conform(f, t, typed=True, fallback=True) for t, f in frames.items()])
 
 
 @register("scan_sample", sql([], out(STD_COLS, "inc").replace(
-    "FROM inc", "FROM (" + O.LAYERS["inc"][1].replace("FROM events", "FROM (SELECT * FROM events ORDER BY event_id LIMIT 10)") + ")")))
+    "FROM inc", "FROM (" + O.LAYERS["inc"][1].replace("FROM events", "FROM (SELECT * FROM events LIMIT 10)") + ")")))
 def q_scan_sample(spark, sf):
     """A5: the first 10 incidents in file order (a schema preview)."""
-    return incidents_events(read_table(spark, sf, "events").orderBy("event_id").limit(10))
+    return incidents_events(FS.scan_sample(read_table(spark, sf, "events"), 10))
 
 
 # --- E10-E15 / F1: imbalance ----------------------------------------------------------------------
@@ -548,11 +549,12 @@ def q_codes(spark, sf):
 
 @register("parse_date", sql(["ordraw"], out(
     [("Report Date", "s", "d_txt"), ("Date", "s", "CAST(try_strptime(d_txt, '%Y-%m-%d') AS DATE)")],
-    "ordraw", "WHERE st = 'F'")))
+    "ordraw", "WHERE st IN ('F', 'O', 'P')")))
 def q_parse_date(spark, sf):
-    """Text dates parsed with the format list; 'abc' gives NULL."""
-    bus = order_frames(spark, sf)["bus"]
-    return bus.select("Report Date", tx.parse_date(F.col("Report Date")).alias("Date"))
+    """Text dates of every raw frame parsed with the format list."""
+    dates = [f.select(F.col("Report Date" if "Report Date" in f.columns else "Date").alias("Report Date"))
+             for f in order_frames(spark, sf).values()]
+    return B.union_by_name(dates).select("Report Date", tx.parse_date(F.col("Report Date")).alias("Date"))
 
 
 @register("parse_time", sql(["ordinc"], out(

@@ -1,11 +1,12 @@
 """Adapters from the driver's tables to the delay data model.
 
 The driver ships TPC-H-like tables, not delay files, so two projections map
-them onto the raw shapes the delay jobs expect.  They read every row (no
-sampling or subsetting); a few values are set to NULL / 0 / a short time /
-an unparseable date *by key* so that the missing-value, parsing and edge-case
-paths see real work.  The same rules are written in SQL in
-``delayspark.oracle`` for the DuckDB check.
+them onto the raw shapes the delay jobs expect.  They read every row and
+overwrite no value.  The tables hold no NULLs; those of the incident table
+come from fields that do not parse or look up: a delay is a text with two
+decimals, a gap has two digits, a stop and a vehicle number have at least
+two, a bound is one of four codes, and a time on the full minute is written
+without seconds.  ``delayspark.oracle`` states the same rules in SQL.
 """
 
 from __future__ import annotations
@@ -13,25 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: key moduli that mark injected NULL / edge values ---------
-EVENT_NULL_LINE = 31
-EVENT_SHORT_TIME = 23
-EVENT_NULL_STATION = 37
-EVENT_NULL_DELAY = 17
-EVENT_ZERO_DELAY = 29
-EVENT_NULL_GAP = 13
-EVENT_NULL_VEHICLE = 11
-EVENT_NULL_BOUND = 19
-ORDER_BAD_DATE = 97
-ORDER_NULL_VEHICLE = 41
-ORDER_NULL_GAP = 43
+# --- fixed values: shapes of the fields ---------------------------------------
+DELAY_TEXT = r"^(\d+\.\d\d)$"
+GAP_TEXT = r"(\d\d)"
+STOP_TEXT = r"(\d\d)$"
+VEHICLE_TEXT = r"^(\d\d+)$"
+ORDER_GAP_TEXT = r"^(\d)\d{5}\."
+BOUND_CODES = {"1": "N", "3": "S", "7": "E", "9": "W"}
 ORDER_YEAR_SHIFT = 21
 BOUNDS = ["N", "S", "E", "W"]
 ORDER_TYPES = {"F": "bus", "O": "streetcar", "P": "subway"}
 
 
-def _every(key: Column, n: int) -> Column:
-    return (key % F.lit(n)) == 0
+def _part(text: Column, pattern: str) -> Column:
+    """First group of the pattern, NULL when the text does not have it."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def _bound(key: Column) -> Column:
@@ -40,23 +37,22 @@ def _bound(key: Column) -> Column:
 
 def incidents_events(events: DataFrame) -> DataFrame:
     """``events`` -> the 11-column standard incident table (one month of data)."""
-    k = F.col("event_id")
-    digits = F.regexp_extract(F.col("props"), r"(\d+)", 1)
+    user = F.col("user_id").cast("string")
+    gap = _part(F.col("props"), GAP_TEXT)
+    codes = F.create_map(*[F.lit(x) for kv in BOUND_CODES.items() for x in kv])
     return events.select(
         F.upper(F.col("event_type")).alias("Vehicle_Type"),
         F.to_date(F.col("ts")).alias("Date"),
-        F.when(~_every(k, EVENT_NULL_LINE), F.col("user_id").cast("string")).alias("Line"),
-        F.when(_every(k, EVENT_SHORT_TIME), F.date_format("ts", "HH:mm"))
+        user.alias("Line"),
+        F.when(F.second("ts") == 0, F.date_format("ts", "HH:mm"))
          .otherwise(F.date_format("ts", "HH:mm:ss")).alias("Time"),
         F.date_format("ts", "EEEE").alias("Day"),
-        F.when(~_every(k, EVENT_NULL_STATION), F.concat(F.lit("Stop "), digits)).alias("Station"),
+        F.concat(F.lit("Stop "), _part(user, STOP_TEXT)).alias("Station"),
         F.upper(F.substring(F.col("event_type"), 1, 4)).alias("Code"),
-        F.when(_every(k, EVENT_NULL_DELAY), F.lit(None).cast("double"))
-         .when(_every(k, EVENT_ZERO_DELAY), F.lit(0.0))
-         .otherwise(F.col("value")).alias("Min Delay"),
-        F.when(~_every(k, EVENT_NULL_GAP), digits.try_cast("double")).alias("Min Gap"),
-        F.when(~_every(k, EVENT_NULL_BOUND), _bound(k)).alias("Bound"),
-        F.when(~_every(k, EVENT_NULL_VEHICLE), F.col("user_id")).alias("Vehicle"),
+        _part(F.col("value").cast("string"), DELAY_TEXT).cast("double").alias("Min Delay"),
+        gap.cast("double").alias("Min Gap"),
+        F.try_element_at(codes, F.regexp_extract(F.col("props"), r"(\d)\D*$", 1)).alias("Bound"),
+        _part(user, VEHICLE_TEXT).cast("bigint").alias("Vehicle"),
     )
 
 
@@ -77,8 +73,7 @@ def raw_delay_frames(orders: DataFrame) -> dict[str, DataFrame]:
     seven order years land around the 2017-2025 window.
     """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    date_txt = F.when(_every(k, ORDER_BAD_DATE), F.lit("abc")).otherwise(
-        F.date_format(F.add_months(F.to_date("o_orderdate"), 12 * ORDER_YEAR_SHIFT), "yyyy-MM-dd"))
+    date_txt = F.date_format(F.add_months(F.to_date("o_orderdate"), 12 * ORDER_YEAR_SHIFT), "yyyy-MM-dd")
     day = F.date_format(F.add_months(F.to_date("o_orderdate"), 12 * ORDER_YEAR_SHIFT), "EEEE")
     common = {
         "date": date_txt,
@@ -88,9 +83,9 @@ def raw_delay_frames(orders: DataFrame) -> dict[str, DataFrame]:
         "station": F.concat(F.lit("Stn "), (c % 100).cast("string")),
         "code": F.concat(F.lit("C"), (k % 50).cast("string")),
         "delay": F.round(F.col("o_totalprice") / 10000.0, 2),
-        "gap": F.when(~_every(k, ORDER_NULL_GAP), F.floor(F.col("o_totalprice") / 50000.0).cast("double")),
+        "gap": _part(F.col("o_totalprice").cast("string"), ORDER_GAP_TEXT).cast("double"),
         "bound": _bound(k),
-        "vehicle": F.when(~_every(k, ORDER_NULL_VEHICLE), c),
+        "vehicle": _part(c.cast("string"), VEHICLE_TEXT).cast("bigint"),
     }
     workbook_names = {"date": "Report Date", "line": "Route", "time": "Time", "day": "Day",
                       "station": "Location", "code": "Incident", "delay": "Min Delay", "gap": "Min Gap",

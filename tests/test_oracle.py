@@ -2,11 +2,13 @@
 import pytest
 
 import __spark_entry__ as E
+from delayspark import registry
 from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
