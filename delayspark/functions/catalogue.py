@@ -140,12 +140,12 @@ def resource_detail(r: Column, full: bool = True) -> Column:
 
 
 def file_size_label(size) -> Column:
-    """I30: '<n> KB' under 1 MB, else '<n> MB', two decimals."""
+    """I30: '<n> KB' under 1 MB, else '<n> MB', two decimals (ties to even, like Python)."""
     s = _c(size).cast("double")
     mb = s / (1024 * 1024)
     return (F.when(s.isNull(), F.lit(None).cast("string"))
-             .when(mb < 1, F.format_string("%.2f KB", s / 1024))
-             .otherwise(F.format_string("%.2f MB", mb)))
+             .when(mb < 1, F.format_string("%.2f KB", F.bround(s / 1024, 2)))
+             .otherwise(F.format_string("%.2f MB", F.bround(mb, 2))))
 
 
 def quality_extras(extras) -> Column:

@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..schema import CARD_LABELS, QUALITY_LABELS
+from ..schema import (CARD_LABELS, FIRST_PERCENT, GRADE, LAST_REFRESHED, OVERALL_LABEL, PERCENT_AFTER,
+                      QUALITY_LABELS)
 
 
 def extract_links(pages: DataFrame, key: str = "page_id", base: str = "url",
-                  html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+                  html: str = "html", keep: Sequence[str] = (), from_root: bool = True) -> DataFrame:
     """One row per ``<a href>``: (key, pos, href, url, text, keep...).
 
     ``pos`` is the 0-based order on the page, ``url`` the href resolved
-    against the page URL and ``text`` the anchor's stripped text; ``keep``
-    page columns are carried along (no join back to the pages)."""
-    exploded = pages.select(F.col(key), F.col(base).alias("__base"), *keep,
+    against the site root (``from_root=False``: against the page URL) and
+    ``text`` the anchor's stripped text; ``keep`` page columns are carried
+    along (no join back to the pages)."""
+    root = H.origin_of(base) if from_root else F.col(base)
+    exploded = pages.select(F.col(key), root.alias("__base"), *keep,
                             F.posexplode(H.anchors(F.col(html))).alias("pos", "__a"))
     href = H.decode_entities(F.col("__a.href"))
     return exploded.select(key, F.col("pos").cast("int").alias("pos"), href.alias("href"),
@@ -47,9 +50,9 @@ def dedupe_keep_first(links: DataFrame, keys: Sequence[str] = ("page_id", "url")
 
 
 def with_filenames(links: DataFrame, text: str = "text", href: str = "href",
-                   extensions=("xlsx", "csv", "json")) -> DataFrame:
-    """J2 applied to a link table."""
-    return links.withColumn("filename", H.derive_filename(F.col(text), F.col(href), extensions))
+                   extensions=("xlsx", "csv", "json"), **rule) -> DataFrame:
+    """J2 applied to a link table (``rule``: pattern, clean_url)."""
+    return links.withColumn("filename", H.derive_filename(F.col(text), F.col(href), extensions, **rule))
 
 
 def download_links(pages: DataFrame, lenient: bool = False, key: str = "page_id",
@@ -94,12 +97,12 @@ def quality_metrics(pages: DataFrame, key: str = "page_id", text=None) -> DataFr
     completeness, usability (``N%`` strings) and last_refreshed; absent ones
     are NULL."""
     t = text if text is not None else page_text()
-    pct = lambda label: F.nullif(F.regexp_extract(t, rf"(?i){label}[:\s]+(\d+)%", 1), F.lit(""))
+    pct = lambda label: F.nullif(F.regexp_extract(t, rf"(?i){label}{PERCENT_AFTER}", 1), F.lit(""))
     with_pct = lambda c: F.when(c.isNotNull(), F.concat(c, F.lit("%")))
-    cols = [with_pct(pct("Overall score")).alias("overall_score"),
-            F.nullif(F.regexp_extract(t, r"(?i)Grade[:\s]+([A-Za-z]+)", 1), F.lit("")).alias("grade")]
+    cols = [with_pct(pct(OVERALL_LABEL)).alias("overall_score"),
+            F.nullif(F.regexp_extract(t, f"(?i){GRADE}", 1), F.lit("")).alias("grade")]
     cols += [with_pct(pct(m)).alias(m.lower()) for m in QUALITY_LABELS]
-    cols.append(F.nullif(H.strip_ws(F.regexp_extract(t, r"(?i)Last refreshed[:\s]+([^\n]+)", 1)),
+    cols.append(F.nullif(H.strip_ws(F.regexp_extract(t, f"(?i){LAST_REFRESHED}", 1)),
                          F.lit("")).alias("last_refreshed"))
     return pages.select(F.col(key), *cols)
 
@@ -112,13 +115,13 @@ def quality_metrics_strict(pages: DataFrame, key: str = "page_id", text=None,
     nothing at all (the reference fails there); without it the labels are
     still read."""
     t = text if text is not None else page_text()
-    has_score = t.contains("Overall score") | F.lower(t).contains("score")
-    first_pct = F.nullif(F.regexp_extract(t, r"(\d+)%", 1), F.lit(""))
-    pct = lambda label: F.nullif(F.regexp_extract(t, rf"{label}[:\s]+(\d+)%", 1), F.lit(""))
+    has_score = t.contains(OVERALL_LABEL) | F.lower(t).contains("score")
+    first_pct = F.nullif(F.regexp_extract(t, FIRST_PERCENT, 1), F.lit(""))
+    pct = lambda label: F.nullif(F.regexp_extract(t, rf"{label}{PERCENT_AFTER}", 1), F.lit(""))
     with_pct = lambda c: F.when(c.isNotNull(), F.concat(c, F.lit("%")))
     gate = (lambda c: F.when(has_score, c)) if parity else (lambda c: c)
     cols = [F.when(has_score, with_pct(first_pct)).alias("overall_score"),
-            gate(F.nullif(F.regexp_extract(t, r"Grade[:\s]+([A-Za-z]+)", 1), F.lit(""))).alias("grade")]
+            gate(F.nullif(F.regexp_extract(t, GRADE, 1), F.lit(""))).alias("grade")]
     cols += [gate(with_pct(pct(m))).alias(m.lower()) for m in QUALITY_LABELS]
     return pages.select(F.col(key), *cols)
 
@@ -139,14 +142,15 @@ def catalogue_cards(pages: DataFrame, heading: str = "h3", key: str = "page_id",
                           F.posexplode(F.split(F.col(html), rf"(?i)<{h}")).alias("card", "__piece"))
     pieces = pieces.where(F.col("card") > 0).withColumn("__card", F.concat(F.lit(f"<{h}"), F.col("__piece")))
     head = F.regexp_extract(F.col("__card"), rf"(?is)<{h}[^>]*>(.*?)</{h}>", 1)
-    link_href = F.regexp_extract(head, H.HREF, 1)
-    link_text = F.regexp_extract(head, r"(?is)<a\s[^>]*>(.*?)</a>", 1)
-    has_link = head.rlike(r"(?is)<a\s[^>]*href")
+    attributes = F.regexp_extract(head, H.ANCHOR, 1)
+    link_href = H.decode_entities(H.href_of(attributes))
+    link_text = F.regexp_extract(head, H.ANCHOR, 2)
+    has_link = F.regexp_like(attributes, F.lit(H.HREF))
     para = F.regexp_extract(F.col("__card"), r"(?is)<p(?:\s[^>]*)?>(.*?)</p>", 1)
-    text = H.text_lines(F.col("__card"))
+    text = H.visible_text(F.col("__card"))
     cols = [F.col(key), F.col("card").cast("int").alias("card"),
             F.when(has_link, H.text_of(link_text)).otherwise(H.text_of(head)).alias("title"),
-            F.when(has_link & (link_href != ""), H.resolve_url(F.col("__base"), link_href))
+            F.when(has_link & (link_href != ""), H.resolve_url(H.origin_of("__base"), link_href))
              .otherwise(F.lit("")).alias("url"),
             H.text_of(para).alias("description")]
     for name, label in CARD_LABELS.items():

@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import catalogue as K
-from ..functions import html as H
 from ..operators import catalogue as CAT
 from ..registry import register
 from ..session import read_table
 from ..sources import capture as CP
-from .web_queries import _decode, _resolve, _strip, _text_of, q
+from .web_queries import _HREF, _INNER, _PAGE_TEXT, _QUALITY_COLS, ANCHORS, _decode, _resolve, _root, _strip, _text_of, q
 
 
 def _pages(spark, sf):
@@ -23,48 +22,48 @@ def _arr(values) -> str:
 
 
 def _day(expr: str, hhmmss: str) -> str:
-    return f"strftime(DATE '{CP.CAPTURE_EPOCH}' + CAST({expr} AS INTEGER), '%Y-%m-%d') || 'T{hhmmss}'"
+    return f"strftime(DATE '2025-01-01' + CAST({expr} AS INTEGER), '%Y-%m-%d') || 'T{hhmmss}'"
 
 
+_RATE = """CASE regexp_extract(url, '://[^/]+/([a-z]+)', 1)
+  WHEN 'en' THEN 'Daily' WHEN 'fr' THEN 'Weekly' WHEN 'de' THEN 'Monthly' WHEN 'es' THEN 'Annually' END"""
+
 PG = f"""pg AS (
   SELECT page_id, url, 'ds-' || CAST(page_id AS VARCHAR) AS name,
          regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
-         regexp_extract_all(html, {q(H.ANCHOR)}, 1) AS hrefs,
-         regexp_extract_all(html, {q(H.ANCHOR)}, 2) AS inners
+         TRY_CAST(regexp_extract(url, '://[^/]+/[a-z]+/([0-9]+)', 1) AS INTEGER) AS num,
+         starts_with(url, 'https:') AS https, {ANCHORS} AS links
   FROM pages)"""
 
-RES = f"""res AS (
-  SELECT page_id, name, rpos, name || '-r' || CAST(rpos AS VARCHAR) AS id,
-         {_text_of('inner_html')} AS rname,
-         {_arr(CP.FORMATS)}[CAST((page_id + rpos) % {len(CP.FORMATS)} AS INTEGER) + 1] AS format,
-         {_resolve('url', _decode('href'))} AS rurl,
-         CASE WHEN rpos % 5 <> 4 THEN CAST(length({_decode('href')}) * 1024 + rpos AS BIGINT) END AS size,
-         {_day('page_id + rpos', '08:00:00')} AS last_modified,
-         {_day('page_id', '07:00:00')} AS created
-  FROM (SELECT page_id, url, name, unnest(hrefs) AS href, unnest(inners) AS inner_html,
-               CAST(generate_subscripts(hrefs, 1) - 1 AS BIGINT) AS rpos FROM pg))"""
+RES = f"""res0 AS (
+  SELECT page_id, name, num, url, rpos, {_text_of(_INNER.format('m'))} AS rname, {_decode(_HREF.format('m'))} AS href
+  FROM (SELECT page_id, url, name, num, unnest(links) AS m, CAST(generate_subscripts(links, 1) - 1 AS BIGINT) AS rpos FROM pg)),
+res AS (
+  SELECT page_id, name, rpos, name || '-r' || CAST(rpos AS VARCHAR) AS id, rname,
+         ['CSV', 'XLSX', 'JSON', 'csv', 'GeoJSON', 'XML', ''][length(rname) % 7 + 1] AS format,
+         {_resolve(_root('url'), 'href')} AS rurl,
+         CASE WHEN regexp_full_match(href, '[ -~]*') THEN CAST(length(href) * 100000 AS BIGINT) END AS size,
+         {_day('coalesce(num, 0) + rpos', '08:00:00')} AS last_modified,
+         {_day('coalesce(num, 0)', '07:00:00')} AS created FROM res0)"""
 
 _EXTRAS = (f"list_filter(["
-           f"CASE WHEN page_id % 3 <> 0 THEN {{'key': 'refresh_rate', 'value': "
-           f"{_arr(CP.REFRESH)}[CAST(page_id % 4 AS INTEGER) + 1]}} END, "
-           f"CASE WHEN page_id % 3 = 0 THEN {{'key': 'update_frequency', 'value': 'Quarterly'}} END, "
-           f"CASE WHEN page_id % 4 = 0 THEN {{'key': 'date_modified', 'value': {_day('page_id', '09:15:00')}}} END, "
-           f"CASE WHEN page_id % 8 = 0 THEN {{'key': 'refresh_rate', 'value': 'As available'}} END, "
-           f"CASE WHEN page_id % 5 = 0 THEN {{'key': 'dataset_category', 'value': 'Map'}} END"
+           f"CASE WHEN NOT https THEN {{'key': 'refresh_rate', 'value': {_RATE}}} END, "
+           f"CASE WHEN https THEN {{'key': 'update_frequency', 'value': {_RATE}}} END, "
+           f"CASE WHEN contains(url, '?') AND num IS NOT NULL THEN {{'key': 'date_modified', 'value': {_day('num', '09:15:00')}}} END, "
+           f"CASE WHEN contains(url, '#') THEN {{'key': 'refresh_rate', 'value': 'As available'}} END, "
+           f"CASE WHEN contains(url, '.html') THEN {{'key': 'dataset_category', 'value': 'Map'}} END"
            f"], lambda e: e IS NOT NULL)")
 
 DS = f"""ds AS (
-  SELECT page_id, name, title,
-         CASE WHEN page_id % 10 <> 0 THEN '  ' || title || ' ' || chr(10) END AS notes,
-         CASE WHEN page_id % 9 = 0 THEN 'unknown' ELSE {_day('page_id', '10:30:00')} END AS metadata_modified,
-         CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN '' ELSE {q(CP.LICENSE)} END AS license_title,
-         CASE WHEN page_id % 3 = 0 THEN 'ogl' ELSE '' END AS license_id,
-         CASE WHEN page_id % 7 <> 0 THEN regexp_extract(url, '://([^/]+)', 1) END AS org_title,
-         list_transform(inners, lambda x: {_text_of('x')}) AS texts,
-         list_transform(generate_series(0, len(hrefs) - 1),
-                        lambda i: {_arr(CP.FORMATS)}[CAST((page_id + i) % {len(CP.FORMATS)} AS INTEGER) + 1]) AS fmts,
-         {_EXTRAS} AS extras
-  FROM pg)"""
+  SELECT page_id, pg.name, title,
+         CASE WHEN title <> '' THEN '  ' || title || ' ' || chr(10) END AS notes,
+         coalesce({_day('num', '10:30:00')}, 'unknown') AS metadata_modified,
+         CASE WHEN NOT https THEN 'Open Government Licence' WHEN contains(url, '?') THEN '' END AS license_title,
+         CASE WHEN https THEN 'ogl' ELSE '' END AS license_id,
+         CASE WHEN NOT starts_with(regexp_extract(url, '://([^/]+)', 1), 'm.') THEN regexp_extract(url, '://([^/]+)', 1) END AS org_title,
+         coalesce(rl.texts, []) AS texts, coalesce(rl.fmts, []) AS fmts, {_EXTRAS} AS extras
+  FROM pg LEFT JOIN (SELECT name, list(rname ORDER BY rpos) AS texts, list(format ORDER BY rpos) AS fmts FROM res GROUP BY name) rl
+    ON pg.name = rl.name)"""
 
 
 def _last(key_pred: str) -> str:
@@ -91,6 +90,8 @@ def _join_nonempty(lst: str) -> str:
     return f"array_to_string(list_filter({lst}, lambda t: coalesce(t, '') <> ''), ' | ')"
 
 
+_TOPICS = r"list_filter(texts, lambda t: regexp_matches(t, '^\p{Lu}'))"
+
 INFO_SELECT = f"""SELECT page_id, coalesce(title, '') AS title,
   CASE WHEN coalesce(name, '') <> '' THEN '{K.PORTAL_BASE}/dataset/' || name || '/' ELSE '' END AS url,
   coalesce({_strip('notes')}, '') AS description,
@@ -99,7 +100,7 @@ INFO_SELECT = f"""SELECT page_id, coalesce(title, '') AS title,
   coalesce(org_title, '') AS publisher,
   CASE WHEN coalesce({_CAT}, '') <> '' THEN {_CAT} ELSE 'Table' END AS type,
   array_to_string(list_sort(list_distinct(list_filter({_UPPER_FMTS}, lambda f: f <> ''))), ' | ') AS formats,
-  {_join_nonempty('texts[1:2]')} AS topics,
+  {_join_nonempty(_TOPICS)} AS topics,
   {_join_nonempty('texts')} AS tags,
   coalesce(NULLIF(license_title, ''), NULLIF(license_id, '')) AS license,
   coalesce(name, '') AS name
@@ -152,13 +153,16 @@ def q_resource_detail(spark, sf):
                     "detail.size", "detail.last_modified", "detail.created", "detail.id")
 
 
-_FIELDS = """(SELECT page_id, unnest(texts) AS t, CAST(generate_subscripts(texts, 1) - 1 AS BIGINT) AS fpos FROM ds)"""
-_FIELD_COLS = (f"coalesce(f.t, '') AS column_name, {_arr(CP.FIELD_TYPES)}[CAST(f.fpos % 4 AS INTEGER) + 1] AS type, "
-               f"CASE WHEN f.fpos % 3 <> 0 THEN 'About ' || f.t ELSE '' END AS description")
+# fields of the resources whose link text is one word: the parts of the address
+_FIELDS = r"""(SELECT id, name, rpos, format, unnest(parts) AS t, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS fpos FROM (
+  SELECT *, list_filter(regexp_split_to_array(regexp_replace(rurl, '^[a-z]+://', ''), '[/.]'), lambda x: x <> '') AS parts
+  FROM res WHERE regexp_full_match(rname, '\pL+')))"""
+_FIELD_COLS = ("f.t AS column_name, ['text', 'int', 'numeric', 'date'][length(f.t) % 4 + 1] AS type, "
+               "CASE WHEN length(f.t) > 3 THEN 'About ' || f.t ELSE '' END AS description")
+_CSV_FIELD = _CSV_RES.replace("format", "f.format")
 
 
-@register("field_dictionary", cat_sql(f"""SELECT r.id AS resource_id, f.fpos, {_FIELD_COLS}
-FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id WHERE r.rpos % 2 = 0"""))
+@register("field_dictionary", cat_sql(f"""SELECT f.id AS resource_id, f.fpos, {_FIELD_COLS} FROM {_FIELDS} f"""))
 def q_field_dictionary(spark, sf):
     """(column_name, type, description) per datastore field."""
     fields = CP.datastore_fields(_pages(spark, sf))
@@ -166,16 +170,14 @@ def q_field_dictionary(spark, sf):
         "resource_id", "fpos", "f.column_name", "f.type", "f.description")
 
 
-@register("collect_dictionary", cat_sql(f"""SELECT r.name, r.rpos, f.fpos, {_FIELD_COLS}
-FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
-WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} AND coalesce(r.id, '') <> ''"""))
+@register("collect_dictionary", cat_sql(f"""SELECT f.name, f.rpos, f.fpos, {_FIELD_COLS} FROM {_FIELDS} f WHERE {_CSV_FIELD}"""))
 def q_collect_dictionary(spark, sf):
     """Each dataset's dictionary = fields of its CSV resources in order (long form)."""
     _, pk, fl, _ = _capture(spark, sf)
     return CAT.dictionary_rows(pk, fl)
 
 
-_REC = "(SELECT * FROM res WHERE rpos % 3 <> 2)"
+_REC = "(SELECT * FROM res WHERE regexp_full_match(rurl, '[ -~]*'))"
 
 
 @register("quality_first", cat_sql(f"""SELECT name, last_modified, created, format, size FROM (
@@ -198,8 +200,8 @@ def q_quality_last(spark, sf):
   SELECT name, rpos, 0 AS kpos, 'last_refreshed' AS key, last_modified AS value FROM {_REC} WHERE {_CSV_RES}
   UNION ALL SELECT name, rpos, 1, 'format', format FROM {_REC} WHERE {_CSV_RES}
   UNION ALL SELECT name, rpos, 2, 'size', CAST(size AS VARCHAR) FROM {_REC} WHERE {_CSV_RES}
-  UNION ALL SELECT name, rpos, 3, 'quality_score', CAST(page_id % 100 AS VARCHAR) FROM {_REC} WHERE {_CSV_RES}
-  UNION ALL SELECT name, rpos, 4, 'Score_Grade', 'B' FROM {_REC} WHERE {_CSV_RES}) GROUP BY name, key"""))
+  UNION ALL SELECT name, rpos, 3, 'quality_score', CAST(length(rurl) AS VARCHAR) FROM {_REC} WHERE {_CSV_RES}
+  UNION ALL SELECT name, rpos, 4, 'Score_Grade', upper(rname[1]) FROM {_REC} WHERE {_CSV_RES}) GROUP BY name, key"""))
 def q_quality_update(spark, sf):
     """E26 update + I31: key-wise merge of CSV resource facts, later wins."""
     _, pk, _, rc = _capture(spark, sf)
@@ -207,8 +209,8 @@ def q_quality_update(spark, sf):
 
 
 @register("quality_extras", cat_sql(f"""SELECT id AS resource_id, key, value FROM (
-  SELECT id, 'quality_score' AS key, CAST(page_id % 100 AS VARCHAR) AS value FROM {_REC}
-  UNION ALL SELECT id, 'Score_Grade', 'B' FROM {_REC})"""))
+  SELECT id, 'quality_score' AS key, CAST(length(rurl) AS VARCHAR) AS value FROM {_REC}
+  UNION ALL SELECT id, 'Score_Grade', upper(rname[1]) FROM {_REC})"""))
 def q_quality_extras(spark, sf):
     """Resource extras whose key mentions quality or score."""
     rc = CP.resource_records(_pages(spark, sf))
@@ -221,8 +223,7 @@ _ENRICHED = f"""enriched AS (
          qf.name IS NOT NULL AS has_quality, qf.last_modified, qf.created, qf.format, qf.size
   FROM ds d
   LEFT JOIN (SELECT name, count(*) AS n FROM res WHERE {_CSV_RES} GROUP BY 1) nr ON d.name = nr.name
-  LEFT JOIN (SELECT r.name, count(*) AS n FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
-             WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} GROUP BY 1) nd ON d.name = nd.name
+  LEFT JOIN (SELECT f.name, count(*) AS n FROM {_FIELDS} f WHERE {_CSV_FIELD} GROUP BY 1) nd ON d.name = nd.name
   LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rpos) AS rn
              FROM {_REC} WHERE {_CSV_RES}) WHERE rn = 1) qf ON d.name = qf.name)"""
 
@@ -301,8 +302,6 @@ _PAGE_ROWS = f"""page_rows AS (
                                            '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM pages)))
   WHERE row > 0 AND len(tds) >= 2 AND {_text_of('tds[1]')} <> '' GROUP BY page_id)"""
 
-from .web_queries import _PAGE_TEXT, _QUALITY_COLS  # noqa: E402
-
 _PAGE_Q = f"""page_q AS (
   SELECT * FROM (SELECT page_id, {_QUALITY_COLS} FROM (SELECT page_id, {_PAGE_TEXT} AS t FROM pages))
   WHERE coalesce(overall_score, grade, freshness, metadata, accessibility, completeness, usability,
@@ -335,9 +334,8 @@ def q_supplement(spark, sf):
 
 @register("head_dictionary", cat_sql(f"""SELECT d.page_id, d.name, t.column_no, t.column_name, t.type, t.description
 FROM (SELECT page_id, name FROM ds ORDER BY page_id LIMIT 3) d LEFT JOIN (
-  SELECT * FROM (SELECT r.name, row_number() OVER (PARTITION BY r.name ORDER BY r.rpos, f.fpos) AS column_no, {_FIELD_COLS}
-                 FROM res r JOIN {_FIELDS} f ON r.page_id = f.page_id
-                 WHERE r.rpos % 2 = 0 AND {_CSV_RES.replace('format', 'r.format')} AND coalesce(r.id, '') <> '')
+  SELECT * FROM (SELECT f.name, row_number() OVER (PARTITION BY f.name ORDER BY f.rpos, f.fpos) AS column_no, {_FIELD_COLS}
+                 FROM {_FIELDS} f WHERE {_CSV_FIELD})
   WHERE column_no <= 3) t ON d.name = t.name"""))
 def q_head_dictionary(spark, sf):
     """First three datasets with the first three columns of their dictionaries."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..operators import web as W
 from ..registry import register
-from ..schema import CARD_LABELS, QUALITY_LABELS
+from ..schema import CARD_LABELS, FILENAME_PATTERN_DATASET, QUALITY_LABELS
 from ..session import read_table
 
 
@@ -17,8 +17,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# The SQL states the page rules in its own terms: tags and comments as a parser sees them, hrefs
+# against the site root, text between tags decoded after the tags are cut.
 def _decode(e: str) -> str:
-    for ent, ch in H.ENTITIES:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&amp;", "&")):
         e = f"replace({e}, {q(ent)}, {q(ch)})"
     return e
 
@@ -28,30 +31,41 @@ def _strip(e: str) -> str:
 
 
 def _text_of(e: str) -> str:
-    return (f"array_to_string(list_transform(regexp_split_to_array({_decode(e)}, {q(H.TAG)}), "
-            f"lambda x: {_strip('x')}), '')")
+    return f"array_to_string(list_transform(regexp_split_to_array({e}, '<[^>]*>'), lambda x: {_strip(_decode('x'))}), '')"
+
+
+_SCHEME = "'^[A-Za-z][A-Za-z0-9+.-]*:'"
+
+
+def _root(u: str) -> str:
+    return f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+
+
+def _fold(path: str) -> str:
+    """Dot segments folded: a stack of segments."""
+    return (f"'/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(({path})[2:], '/'), lambda s: [s])), "
+            f"lambda a, s: CASE s[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, s) END), '/')")
 
 
 def _resolve(b: str, h: str) -> str:
-    origin = f"regexp_extract({b}, {q(H.ORIGIN)}, 1)"
-    no_query = f"regexp_replace({b}, '[?#].*$', '')"
-    directory = f"regexp_extract({no_query}, '^(.*/)', 1)"
-    return (f"CASE WHEN regexp_matches({h}, {q(H.SCHEME)}) THEN {h} "
-            f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, {q(H.SCHEME)}, 1) || {h} "
-            f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
-            f"WHEN {h} = '' THEN {b} "
-            f"WHEN starts_with({h}, '#') THEN {no_query} || {h} "
-            f"WHEN starts_with({h}, '?') THEN {no_query} || {h} "
-            f"ELSE CASE WHEN {directory} = '' THEN {origin} || '/' ELSE {directory} END || {h} END")
+    """``b``: the page's root."""
+    path = f"regexp_replace({h}, '[?#].*$', '')"
+    rooted = f"CASE WHEN starts_with({path}, '/') THEN {path} ELSE '/' || {path} END"
+    return (f"CASE WHEN regexp_matches({h}, {_SCHEME}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, {_SCHEME}) || {h} "
+            f"WHEN {h} = '' THEN {b} WHEN left({h}, 1) IN ('#', '?') THEN {b} || {h} "
+            f"ELSE {b} || CASE WHEN contains({path}, './') THEN {_fold(rooted)} ELSE {rooted} END || regexp_extract({h}, '[?#].*$') END")
+
 
+ANCHORS = r"""regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<a\s[^>]*href\s*=.*?</a>')"""
+_HREF = "trim(regexp_extract({0}, " + q(r"""(?is)^<a\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""") + ", 1), chr(34) || chr(39))"
+_INNER = r"regexp_extract({0}, '(?is)^<a[^>]*>(.*)</a>$', 1)"
 
 LINKS_SQL = f"""links AS (
-  SELECT page_id, base, {_decode('href0')} AS href, {_resolve('base', _decode('href0'))} AS url,
-         {_text_of("inner_html")} AS text, pos
-  FROM (SELECT page_id, base, unnest(hrefs) AS href0, unnest(inners) AS inner_html,
-               CAST(generate_subscripts(hrefs, 1) - 1 AS BIGINT) AS pos
-        FROM (SELECT page_id, url AS base, regexp_extract_all(html, {q(H.ANCHOR)}, 1) AS hrefs,
-                     regexp_extract_all(html, {q(H.ANCHOR)}, 2) AS inners FROM pages)))"""
+  SELECT page_id, base, {_decode('href0')} AS href, {_resolve('base', _decode('href0'))} AS url, {_text_of("inner_html")} AS text, pos
+  FROM (SELECT page_id, base, {_HREF.format('m')} AS href0, {_INNER.format('m')} AS inner_html, pos
+        FROM (SELECT page_id, {_root('url')} AS base, unnest({ANCHORS}) AS m,
+                     CAST(generate_subscripts({ANCHORS}, 1) - 1 AS BIGINT) AS pos FROM pages)))"""
 
 
 def _contains_any(e: str, words) -> str:
@@ -64,20 +78,20 @@ LENIENT = (f"(coalesce(contains(lower(text), 'download') AND ({_contains_any('lo
            f"{_contains_any('lower(href)', ['.' + e for e in H.DATA_EXTENSIONS])})")
 
 
-def _filename(t: str = "text", h: str = "href", exts=("xlsx", "csv", "json")) -> str:
-    name = f"regexp_extract({t}, {q(H.FILENAME_PATTERN)}, 1)"
-    ext = f"'.{H.DEFAULT_EXTENSION}'"
+def _filename(t: str = "text", h: str = "href", exts=("xlsx", "csv", "json"), ends: str = "(?:dataset|in)",
+              clean_url: bool = True) -> str:
+    name = rf"regexp_extract({t}, '(?i)Download\s+(.+?)\s+{ends}', 1)"
+    ext = "'.xlsx'"
     for e in reversed(list(exts)):
         ext = f"CASE WHEN contains(lower({t}), '{e}') THEN '.{e}' ELSE {ext} END"
-    from_text = f"translate(lower({_strip(name)}), ' _', '--') || {ext}"
-    path = f"regexp_replace(regexp_replace({h}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', ''), '[?#].*$', '')"
+    junk = lambda x: rf"regexp_replace({x}, '[^\pL\pN_\-.]', '', 'g')"
+    from_text = junk(f"translate(lower({_strip(name)}), ' _', '--') || {ext}")
+    path = rf"regexp_replace(regexp_replace({h}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*', ''), '[?#].*$', '')"
     base = f"regexp_extract({path}, '([^/]*)$', 1)"
     rid = f"string_split(string_split({h}, '/resource/')[-1], '/')[1]"
     from_url = (f"CASE WHEN {base} <> '' AND contains({base}, '.') THEN {base} "
-                f"WHEN contains({h}, '/resource/') THEN {rid} || '.{H.DEFAULT_EXTENSION}' "
-                f"ELSE 'download.{H.DEFAULT_EXTENSION}' END")
-    raw = f"CASE WHEN {name} <> '' THEN {from_text} ELSE {from_url} END"
-    return f"regexp_replace({raw}, {q(H.FILENAME_JUNK)}, '', 'g')"
+                f"WHEN contains({h}, '/resource/') THEN {rid} || '.xlsx' ELSE 'download.xlsx' END")
+    return f"CASE WHEN {name} <> '' THEN {from_text} ELSE {junk(from_url) if clean_url else from_url} END"
 
 
 def links(spark, sf):
@@ -104,6 +118,14 @@ def q_filename(spark, sf):
     return W.with_filenames(links(spark, sf)).select("page_id", "pos", "text", "href", "filename")
 
 
+@register("derive_filename_dataset", f"""WITH {LINKS_SQL}
+SELECT page_id, pos, text, href, {_filename(ends='dataset', clean_url=False)} AS filename FROM links""")
+def q_filename_dataset(spark, sf):
+    """J2, second form: only "dataset" ends the name, names from the URL stay as they are."""
+    named = W.with_filenames(links(spark, sf), pattern=FILENAME_PATTERN_DATASET, clean_url=False)
+    return named.select("page_id", "pos", "text", "href", "filename")
+
+
 @register("is_download_link", f"WITH {LINKS_SQL} SELECT page_id, pos, {STRICT} AS is_download FROM links")
 def q_is_download(spark, sf):
     """Strict download-link test for every link."""
@@ -203,21 +225,20 @@ def q_table_rows(spark, sf):
 
 def _cards_sql(h: str) -> str:
     head = f"regexp_extract(ctext, {q(rf'(?is)<{h}[^>]*>(.*?)</{h}>')}, 1)"
-    link_href = f"regexp_extract({head}, {q(H.HREF)}, 1)"
-    link_text = f"regexp_extract({head}, {q(r'(?is)<a\s[^>]*>(.*?)</a>')}, 1)"
-    has_link = f"regexp_matches({head}, {q(r'(?is)<a\s[^>]*href')})"
+    link = rf"regexp_extract({head}, '(?is)<a\s[^>]*href\s*=.*?</a>')"
+    href = _HREF.format(link)
     para = f"regexp_extract(ctext, {q(r'(?is)<p(?:\s[^>]*)?>(.*?)</p>')}, 1)"
-    text = _decode(f"regexp_replace(ctext, {q(H.TAG)}, '', 'g')")
+    text = _PAGE_TEXT.replace("html", "ctext")
     labels = []
     for name, label in CARD_LABELS.items():
         pattern = q(label + r"\s*([^\n]*)")
         labels.append(f"{_strip(f'regexp_extract({text}, {pattern}, 1)')} AS {name}")
     return f"""
-SELECT page_id, card, CASE WHEN {has_link} THEN {_text_of(link_text)} ELSE {_text_of(head)} END AS title,
-       CASE WHEN {has_link} AND {link_href} <> '' THEN {_resolve('base', link_href)} ELSE '' END AS url,
+SELECT page_id, card, CASE WHEN {link} <> '' THEN {_text_of(_INNER.format(link))} ELSE {_text_of(head)} END AS title,
+       CASE WHEN {link} <> '' AND {href} <> '' THEN {_resolve('base', _decode(href))} ELSE '' END AS url,
        {_text_of(para)} AS description, {', '.join(labels)}
 FROM (SELECT page_id, base, card, '<{h}' || piece AS ctext FROM (
-  SELECT page_id, url AS base, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS card
+  SELECT page_id, {_root('url')} AS base, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS card
   FROM (SELECT page_id, url, regexp_split_to_array(html, '(?i)<{h}') AS pieces FROM pages)) WHERE card > 0)"""
 
 

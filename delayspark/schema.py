@@ -79,9 +79,15 @@ LENIENT_LINK_WORDS = ["xlsx", "csv", "json", "xml", "dataset", "format", "kb", "
 DATA_EXTENSIONS = ["xlsx", "csv", "json", "xml"]
 DEFAULT_EXTENSION = "xlsx"
 FILENAME_PATTERN = r"(?i)Download\s+(.+?)\s+(?:dataset|in)"
+FILENAME_PATTERN_DATASET = r"(?i)Download\s+(.+?)\s+dataset"
 
 # --- fixed values: quality panel labels --------------------------------------
 QUALITY_LABELS = ["Freshness", "Metadata", "Accessibility", "Completeness", "Usability"]
+OVERALL_LABEL = "Overall score"
+PERCENT_AFTER = r"[:\s]+(\d+)%"
+GRADE = r"Grade[:\s]+([A-Za-z]+)"
+LAST_REFRESHED = r"Last refreshed[:\s]+([^\n]+)"
+FIRST_PERCENT = r"(\d+)%"
 
 # --- fixed values: catalogue card labels --------------------------------------
 CARD_LABELS = {

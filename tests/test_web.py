@@ -23,7 +23,7 @@ def test_extract_links(spark):
     links = W.extract_links(pages(spark)).orderBy("pos").collect()
     assert len(links) == 7
     assert links[0]["url"] == "https://open.example.com/datastore/dump/x.xlsx"
-    assert links[3]["url"] == "https://open.example.com/dataset/ttc-delay/files/data.csv"
+    assert links[3]["url"] == "https://open.example.com/files/data.csv"
     assert links[6]["text"] == "Streetcar &bus"  # entities decoded, pieces stripped and joined
     assert links[1]["url"].startswith("https://ckan.example.org/")
 
@@ -92,3 +92,39 @@ def test_link_manifest_skip_and_collision(spark):
 def test_dataset_slug(spark):
     df = spark.createDataFrame([("https://x.org/dataset/ttc-bus-delay-data/",), ("https://x.org/a",)], "u string")
     assert [r[0] for r in df.select(H.dataset_slug(F.col("u"))).collect()] == ["ttc-bus-delay-data", "https://x.org/a"]
+
+
+def test_escaped_markup_stays_text_and_entities(spark):
+    df = spark.createDataFrame([("Download &lt;csv&gt; set",), ("a&#233;b &#x20AC; &middot; &amp;lt; &copy;",), ("x <b> y </b>",)], "h string")
+    assert [r[0] for r in df.select(H.text_of("h")).collect()] == ["Download <csv> set", "aéb € · &lt; ©", "xy"]
+
+
+def test_anchor_attributes(spark):
+    html = ("<a data-href=\"x.json\" href=\"y.csv\">1</a><a href=\"it's.csv\">2</a><a href=z.csv>3</a><!-- <a href='no'>4</a> -->"
+            "<a name=top>5</a><A HREF='q?a=1&amp;b=2' title=\"a > b\">6</A><abbr href=no>7</abbr><a href=\"\">8</a>")
+    got = [(r["href"], r["text"]) for r in W.extract_links(pages(spark, html)).orderBy("pos").collect()]
+    assert got == [("y.csv", "1"), ("it's.csv", "2"), ("z.csv", "3"), ("q?a=1&b=2", "6"), ("", "8")]
+
+
+def test_links_resolve_against_the_root_and_fold_dots(spark):
+    html = "".join(f'<a href="{h}">t</a>' for h in ("b.csv", "../c.csv", "/x/../y/./z", "#f", "?q=1", "//o.org/a", "http://p.org/../k", "", "d/.."))
+    url = "https://open.example.com/dataset/foo/"
+    root = [r["url"] for r in W.extract_links(pages(spark, html, url)).orderBy("pos").collect()]
+    assert root == [f"https://open.example.com{x}" for x in ("/b.csv", "/c.csv", "/y/z", "#f", "?q=1")] + [
+        "https://o.org/a", "http://p.org/../k", "https://open.example.com", "https://open.example.com/"]
+    page = [r["url"] for r in W.extract_links(pages(spark, html, url), from_root=False).orderBy("pos").collect()]
+    assert page[:3] == [url + "b.csv", "https://open.example.com/dataset/c.csv", "https://open.example.com/y/z"]
+
+
+def test_cards_on_one_line(spark):
+    html = ('<h3><a href="/dataset/a/">A</a></h3><p>About a</p><div>Refresh Rate</div><div>Daily</div><div>Publisher</div><div>City</div>'
+            '<h3><a href="/other/">No</a></h3>')
+    rows = W.catalogue_cards(pages(spark, html)).collect()
+    assert len(rows) == 1 and (rows[0]["title"], rows[0]["url"], rows[0]["description"]) == ("A", "https://open.example.com/dataset/a/", "About a")
+    assert (rows[0]["refresh_rate"], rows[0]["publisher"]) == ("Daily", "City")
+
+
+def test_second_filename_form(spark):
+    df = spark.createDataFrame([("Download a b in CSV", "/p/x~1.csv"), ("Download A b dataset in CSV", "/x")], "t string, h string")
+    from delayspark.schema import FILENAME_PATTERN_DATASET as pattern
+    assert [r[0] for r in df.select(H.derive_filename("t", "h", pattern=pattern, clean_url=False)).collect()] == ["x~1.csv", "a-b.csv"]
