@@ -142,10 +142,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """Accepted documents with their failing lines removed, in the columns of ``docs``
-    (``chars_col``, where there is one, is the new length)."""
-    df, fig, text = _judged(docs, text_col)
-    df = df.filter(_verdict(F.col(fig), F.col(text_col), F.col(text))[2])
-    new = {text_col: F.col(text)}
+    (``chars_col``, where there is one, is the new length).
+
+    The cleaned text of an accepted document is the one element of an exploded array, so figures and
+    lines are judged once (a filter on them would be moved down and judge them again)."""
+    text = F.col(text_col)
+
+    def accepted(judged: Column) -> Column:
+        return F.filter(F.array(judged), lambda j: _verdict(j["figures"], text, j["clean"])[2])
+
+    judged = F.struct(_figures(text).alias("figures"), cleaned_text(text).alias("clean"))
+    row = fresh(docs, "__judged")
+    df = docs.withColumn(row, F.explode(let(judged, accepted)))
+    cleaned = F.col(row)["clean"]
+    new = {text_col: cleaned}
     if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.length(text).cast(docs.schema[chars_col].dataType)
+        new[chars_col] = F.length(cleaned).cast(docs.schema[chars_col].dataType)
     return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
