@@ -145,11 +145,10 @@ def needs_enrichment(enriched: DataFrame) -> DataFrame:
 
 
 def union_distinct(enriched: DataFrame) -> DataFrame:
-    """H2 as written: datasets needing a dictionary united with those needing
-    quality, one row per name."""
-    a = enriched.where(F.col("n_dictionary") == 0)
-    b = enriched.where(~F.col("has_quality"))
-    return a.unionByName(b).dropDuplicates(["name"])
+    """H2: datasets needing a dictionary united with those needing quality,
+    one row per name.  Both lists are filters of one table, so their union is
+    one filter over one plan."""
+    return needs_enrichment(enriched).dropDuplicates(["name"])
 
 
 def resume_remaining(datasets: DataFrame, done: DataFrame, key: str = "name") -> DataFrame:

@@ -59,9 +59,9 @@ def fill_median(df: DataFrame, columns: Sequence[str] = ("Min Delay", "Min Gap")
                 key: str = "Vehicle_Type", approx: bool = False) -> DataFrame:
     """NULL -> interpolated median of the same type; a type with only
     NULLs stays NULL.  Medians are fitted on the input, before any filling;
-    all columns share one fit pass (``approx`` is kept for API symmetry; the
-    per-group state is bounded by distinct values either way)."""
-    return fill_with_group_stats(df, medians=list(columns), key=key)
+    all columns share one fit pass (``approx`` takes the medians from
+    fixed-size sketches instead)."""
+    return fill_with_group_stats(df, medians=list(columns), key=key, approx=approx)
 
 
 def drop_null_date(df: DataFrame, col: str = "Date") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.temporal import parse_date
-from ..schema import INCIDENT_SCHEMA, RAW_RENAMES, RENAMED_TYPES, STANDARD_COLUMNS, YEAR_RANGE
+from ..schema import MISSING_TEXTS, INCIDENT_SCHEMA, RAW_RENAMES, RENAMED_TYPES, STANDARD_COLUMNS, YEAR_RANGE
 
 
 def select_available(df: DataFrame, columns: Sequence[str] = STANDARD_COLUMNS) -> DataFrame:
@@ -50,8 +50,13 @@ def conform(df: DataFrame, vehicle_type: str, typed: bool = False, fallback: boo
 
 
 def cast_standard(df: DataFrame) -> DataFrame:
-    """Cast the present standard columns to the standard types (try_cast)."""
+    """Cast the present standard columns to the standard types (try_cast).
+
+    Texts that mean "no value" (``MISSING_TEXTS``) are NULL in every column, and so are numbers that
+    are not finite."""
     types = {f.name: f.dataType for f in INCIDENT_SCHEMA.fields}
+    text = [f.name for f in df.schema.fields if f.name in types and isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING_TEXTS), F.col(f"`{c}`")) for c in text})
     cols = []
     for f in df.schema.fields:
         want = types.get(f.name)
@@ -66,10 +71,15 @@ def cast_standard(df: DataFrame) -> DataFrame:
             c = F.col(f"`{f.name}`")
             cols.append(F.coalesce(c.try_cast(want), c.try_cast("double").try_cast(want)).alias(f.name))
         else:
-            cols.append(F.col(f"`{f.name}`").try_cast(want).alias(f.name))
+            c = F.col(f"`{f.name}`").try_cast(want)
+            cols.append((_finite(c) if isinstance(want, T.DoubleType) else c).alias(f.name))
     return df.select(*cols)
 
 
+def _finite(c):
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
 def schema_profile(spark, frames: dict[str, DataFrame], standard: Sequence[str] = STANDARD_COLUMNS) -> DataFrame:
     """Column list and type of every source, and the standard name each
     column maps to (NULL when it is dropped).  Built from the frames'

@@ -2,8 +2,8 @@
 
 The big table is aggregated once into (row key, column key, count) - at most
 years x types rows - and every crosstab variant reshapes that small table.
-Column values can be passed explicitly; otherwise they are read from the
-(small) aggregated table, never from the raw rows.
+The wide forms take their column values explicitly (nothing is collected to
+find them); the long form needs none.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ def pair_counts(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Type") -
               .groupBy(rows, cols).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _values(pc: DataFrame, cols: str, values: Sequence[str] | None) -> list[str]:
-    if values is not None:
-        return list(values)
-    return sorted(r[0] for r in pc.select(cols).distinct().collect())
+def _values(values: Sequence[str] | None) -> list[str]:
+    if values is None:
+        raise ValueError("name the column values, or use crosstab_long")
+    return list(values)
 
 
 def crosstab_counts(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Type",
                     values: Sequence[str] | None = None) -> DataFrame:
     """One row per row key, one count column per column value, 0 when empty."""
     pc = pair_counts(df, rows, cols)
-    vals = _values(pc, cols, values)
+    vals = _values(values)
     wide = pc.groupBy(rows).pivot(cols, vals).agg(F.sum("n"))
     return wide.na.fill(0, subset=vals).orderBy(rows)
 
@@ -43,7 +43,7 @@ def crosstab_margins(df: DataFrame, rows: str = "Year", cols: str = "Vehicle_Typ
     """E10 plus an ``All`` column (row sums) and an ``All`` row (column
     sums); the row key becomes text so the margin row can be labelled."""
     pc = pair_counts(df, rows, cols)
-    vals = _values(pc, cols, values)
+    vals = _values(values)
     body = pc.groupBy(F.col(rows).cast("string").alias(rows)).pivot(cols, vals).agg(F.sum("n"))
     total = pc.groupBy().pivot(cols, vals).agg(F.sum("n")).select(F.lit(ALL).alias(rows), *vals)
     out = body.unionByName(total).na.fill(0, subset=vals)

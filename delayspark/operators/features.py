@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions import temporal as tx
+from ..session import cut_lineage
 from .stats import checked_broadcast
 
 
@@ -41,12 +42,19 @@ def add_flags(df: DataFrame) -> DataFrame:
 def category_codes(df: DataFrame, col: str = "Vehicle_Type", alias: str | None = None) -> DataFrame:
     """code of each value in alphabetical order from 0; NULL gets -1.
 
-    The distinct values (a categorical column: bounded and small) are ranked
-    once and joined back through a checked broadcast, so the big table is not
-    shuffled or sorted."""
+    The distinct values are ranked once by a range-partitioned sort (no
+    single-task window over them) and joined back through a checked broadcast,
+    so the big table is not shuffled or sorted."""
     alias = alias or f"{col}_Encoded"
-    codes = (df.select(F.col(col).alias("__cat")).where(F.col("__cat").isNotNull()).distinct()
-               .select("__cat", (F.dense_rank().over(Window.orderBy("__cat")) - 1).alias("__code")))
+    values = cut_lineage(df.select(F.col(col).alias("__cat")).where(F.col("__cat").isNotNull()).distinct()
+                         .sort("__cat").withColumn("__id", F.monotonically_increasing_id()))
+    # the sort is range-partitioned: position in the partition plus the rows of those before
+    part = F.shiftright("__id", 33)
+    before = (values.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__before", F.coalesce(F.sum("__n").over(
+                  Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    codes = (values.withColumn("__part", part).join(F.broadcast(before), "__part")
+             .select("__cat", (F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")).alias("__code")))
     small = checked_broadcast(codes)
     out = df.join(small, F.col(col) == F.col("__cat"), "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns],

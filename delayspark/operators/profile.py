@@ -40,18 +40,18 @@ def value_counts_cat(df: DataFrame, col: str, categories: Sequence[str] = DELAY_
 
 def value_pct_nonnull(df: DataFrame, col: str, alias: str = "pct") -> DataFrame:
     """Share of the non-null rows per value, in percent."""
-    vc = value_counts(df, col, "count")
-    return vc.select(col, "count", (F.col("count") / F.sum("count").over(Window.partitionBy()) * 100.0).alias(alias))
+    total = df.agg(F.count(col)).scalar()
+    return value_counts(df, col, "count").select(col, "count", (F.col("count") / total * 100.0).alias(alias))
 
 
 def value_pct_rows(df: DataFrame, col: str, alias: str = "pct", digits: int = 2) -> DataFrame:
     """Share of *all* rows (NULLs included in the denominator), rounded.
 
-    The NULL group is counted alongside the values, the total is a window
-    over those few count rows, and the NULL group is dropped last.  Rounding
-    is half-to-even on the scaled double, as NumPy's ``round`` does."""
+    The total is a scalar subquery (one map-side combined count), so no task
+    sees all values.  Rounding is half-to-even on the scaled double, as
+    NumPy's ``round`` does."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = df.agg(F.count(F.lit(1))).scalar()
     scale = float(10 ** digits)
     pct = F.col("count") / total * 100.0
     return (counts.select(col, "count", (F.rint(pct * F.lit(scale)) / F.lit(scale)).alias(alias))
@@ -165,9 +165,9 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], long: bool = True
     cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
     va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
     vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
-    # a variance at rounding-noise level (constant column) counts as zero
-    eps = F.lit(1e-12)
-    ok = (n > 0) & (va > eps * (F.lit(1.0) + F.abs(F.col("sa") / n))) & (vb > eps * (F.lit(1.0) + F.abs(F.col("sb") / n)))
+    # a variance within the rounding error of its second moment (constant column) counts as zero
+    eps = F.lit(1e-13)
+    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
     corr = F.when(ok, F.least(F.greatest(cov / F.sqrt(va * vb), F.lit(-1.0)), F.lit(1.0)))
     names = F.array(*[F.lit(f) for f in feats])
     a_idx = (F.col("pos") / k).cast("int")

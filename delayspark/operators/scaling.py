@@ -12,9 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
-from .stats import MAX_GROUP_DISTINCT, exact_quantiles, select_quantiles, stacked_weighted, widest_group
+from .stats import exact_quantiles, select_quantiles, stacked_weighted
 
 
 def log1p(col) -> Column:
@@ -52,47 +50,24 @@ def apply_robust(col: str, p: RobustParams) -> Column:
 
 
 def fit_scalers(df: DataFrame, robust_cols, standard_cols, q_range=(0.25, 0.75)):
-    """Parameters of every scaler from ONE scan of ``df``.
-
-    The columns are stacked into a persisted (column, value, weight) table;
-    the robust columns' quartiles and the standard columns' weighted sums
-    come from one aggregation over it, and the population variance from a
-    second, small one around the fitted mean (no second pass over ``df``).
-    Returns ({col: RobustParams}, {col: StandardParams})."""
+    """Parameters of every scaler: the quartiles of all robust columns from one
+    stacked rank selection, the moments of all standard columns from one
+    aggregation.  Returns ({col: RobustParams}, {col: StandardParams})."""
     lo, hi = q_range
     robust_cols, standard_cols = list(robust_cols), list(standard_cols)
-    wv = stacked_weighted(df, robust_cols + standard_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    w, v, col = F.col("__w"), F.col("__v"), F.col("__col")
-    is_robust = col.isin(robust_cols) if robust_cols else F.lit(False)
-    big = widest_group(wv, ["__col"]) > MAX_GROUP_DISTINCT
-    aggs = [F.sum(w).alias("n"), F.sum(w * v).alias("sv")]
-    if not big:
-        aggs.append(F.percentile(F.when(is_robust, v), F.array(F.lit(lo), F.lit(0.5), F.lit(hi)),
-                                 F.when(is_robust, w).otherwise(F.lit(1))).alias("q"))
-    rows = {r["__col"]: r for r in wv.groupBy("__col").agg(*aggs).collect()}
-    if big and robust_cols:
-        sel = select_quantiles(wv.where(is_robust), "__v", [lo, 0.5, hi], ["__col"]).collect()
-        qs = {r["__col"]: [r["q0"], r["q1"], r["q2"]] for r in sel}
-    else:
-        qs = {c: (rows[c]["q"] if c in rows else None) for c in robust_cols}
-    robust = {}
-    for c in robust_cols:
-        q = qs.get(c)
-        if not q or q[1] is None:
-            robust[c] = RobustParams(None, 1.0)
-        else:
-            iqr = q[2] - q[0]
-            robust[c] = RobustParams(q[1], iqr if iqr != 0 else 1.0)
-    means = {c: rows[c]["sv"] / rows[c]["n"] for c in standard_cols if c in rows}
-    standard = {c: StandardParams(None, 1.0) for c in standard_cols if c not in means}
-    if means:
-        dev = [F.sum(F.when(col == c, w * (v - F.lit(m)) * (v - F.lit(m)))).alias(f"d{i}")
-               for i, (c, m) in enumerate(means.items())]
-        d = wv.where(col.isin(list(means))).agg(*dev).first()
-        for i, (c, m) in enumerate(means.items()):
-            var = d[f"d{i}"] / rows[c]["n"]
-            sd = var ** 0.5 if var is not None and var > 0 else 0.0
-            standard[c] = StandardParams(m, sd if sd != 0 else 1.0)
+    robust = {c: RobustParams(None, 1.0) for c in robust_cols}
+    if robust_cols:
+        rows = select_quantiles(stacked_weighted(df, robust_cols), "__v", [lo, 0.5, hi], ["__col"]).collect()  # one per column
+        for r in rows:
+            iqr = r["q2"] - r["q0"]
+            robust[r["__col"]] = RobustParams(r["q1"], iqr if iqr != 0 else 1.0)
+    standard = {}
+    if standard_cols:
+        row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(standard_cols)
+                       for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        for i, c in enumerate(standard_cols):
+            sd = row[f"s{i}"]
+            standard[c] = StandardParams(row[f"m{i}"], sd if sd not in (None, 0.0) else 1.0)
     return robust, standard
 
 

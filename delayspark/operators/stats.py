@@ -2,40 +2,39 @@
 
 Scale notes
 -----------
-* Exact quantiles: rows are first combined map-side into (group, value,
-  weight) and only then fed to ``percentile(value, p, weight)``.  The state
-  of one group is therefore bounded by its number of *distinct* values (a few
-  hundred for whole-minute delays), not by its number of rows, so a group
-  holding a third of all rows costs no more than a small one.  ``approx=True``
-  switches to the fixed-size ``percentile_approx`` sketch for columns whose
-  distinct-value count is itself unbounded.
-* Modes are two-level aggregations (count per value, then ``min_by``), never a
-  value -> count map inside one task.
+* Exact quantiles are distributed rank selections at every size
+  (:func:`select_quantiles`): values are combined map-side with their weights,
+  range-partitioned by (group, value), and only the partitions that hold a
+  target rank are scanned again.  No task holds the values of a group.
+  ``approx=True`` uses the fixed-size ``percentile_approx`` sketch instead.
+* Modes are two-level aggregations in the column's own type (count per value,
+  then ``min_by``), never a value -> count map inside one task.
 * Statistic tables are joined back with :func:`checked_broadcast`, which
   counts the (already aggregated) table and only broadcasts below a bound.
+  Nothing is cached: small tables are reliable checkpoints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A statistic table above this many rows is joined by shuffle, not broadcast.
+from ..session import cut_lineage
+
+# A statistic table above this many rows or bytes is joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 200_000
-# Above this many distinct values in one group, exact quantiles switch from
-# the in-task value map to distributed rank selection.
-MAX_GROUP_DISTINCT = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Persist an aggregated table, count it, and mark it for broadcast only if
-    it has at most ``max_rows`` rows; larger tables go through a shuffle join."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    """Checkpoint an aggregated table, measure it, and mark it for broadcast only if
+    it has at most ``max_rows`` rows and ``MAX_BROADCAST_BYTES`` (as text); larger tables
+    go through a shuffle join."""
+    small = cut_lineage(small)
+    n, size = small.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(small) if n <= max_rows and (size or 0) <= MAX_BROADCAST_BYTES else small
 
 
 def weighted_values(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -55,38 +54,27 @@ def stacked_weighted(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
                    .groupBy(*by, "__col", "__v").agg(F.count(F.lit(1)).alias("__w")))
 
 
-def multi_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear quantiles of several columns in one pass:
-    (by..., __col, q0..qn)."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    wv = stacked_weighted(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
-    if widest_group(wv, [*by, "__col"]) > MAX_GROUP_DISTINCT:
-        return select_quantiles(wv, "__v", probs, [*by, "__col"])
-    base = wv.groupBy(*by, "__col").agg(F.percentile(F.col("__v"), arr, F.col("__w")).alias("__q"))
-    return base.select(*by, "__col", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
-
-
 def group_fill_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
-                     key: str = "Vehicle_Type") -> DataFrame:
-    """Per group: the median of each ``medians`` column and the mode (ties:
-    smallest) of each ``modes`` column, all from one weighted table - one
-    shuffle for every fit statistic of the cleaning step.  Wide result:
-    (key, <col>__fill ...)."""
-    cols = list(medians) + list(modes)
-    wv = stacked_weighted(df, cols, [key]).persist(StorageLevel.MEMORY_AND_DISK)
-    mode = wv.groupBy(key, "__col").agg(F.min_by(F.col("__v"), F.struct(-F.col("__w"), F.col("__v"))).alias("__mode"))
-    if widest_group(wv, [key, "__col"]) > MAX_GROUP_DISTINCT:
-        med = select_quantiles(wv, "__v", [0.5], [key, "__col"], prefix="__m").withColumnRenamed("__m0", "__median")
-    else:
-        med = wv.groupBy(key, "__col").agg(F.percentile(F.col("__v"), F.lit(0.5), F.col("__w")).alias("__median"))
-    per = mode.join(med, [key, "__col"], "left")
-    fills = [F.max(F.when(F.col("__col") == c, F.col("__median" if c in medians else "__mode"))).alias(f"{c}__fill")
-             for c in cols]
-    return per.groupBy(key).agg(*fills)
+                     key: str = "Vehicle_Type", approx: bool = False) -> DataFrame:
+    """Per group: the median of each ``medians`` column (all from one weighted table) and the mode
+    (ties: smallest, in the column's own type) of each ``modes`` column.
+    Wide result: (key, <col>__fill ...)."""
+    out = df.where(F.col(key).isNotNull()).select(key).distinct()
+    if medians and approx:
+        for c in medians:
+            out = out.join(exact_quantiles(df, c, [0.5], [key], prefix="__m", approx=True)
+                           .withColumnRenamed("__m0", f"{c}__fill"), key, "left")
+    elif medians:
+        med = select_quantiles(stacked_weighted(df, list(medians), [key]), "__v", [0.5], [key, "__col"], prefix="__m")
+        wide = med.groupBy(key).agg(*[F.max(F.when(F.col("__col") == c, F.col("__m0"))).alias(f"{c}__fill") for c in medians])
+        out = out.join(wide, key, "left")
+    for c in modes:
+        out = out.join(group_mode(df, c, [key], f"{c}__fill"), key, "left")
+    return out
 
 
 def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
-                          key: str = "Vehicle_Type", mode_default=0) -> DataFrame:
+                          key: str = "Vehicle_Type", mode_default=0, approx: bool = False) -> DataFrame:
     """D1 for several columns at once: NULL -> the group's median / mode
     (a group without any value: median stays NULL, mode becomes
     ``mode_default``).  One fit pass and one checked-broadcast join."""
@@ -94,7 +82,7 @@ def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Seq
     modes = [c for c in modes if c in df.columns]
     if not medians and not modes:
         return df
-    small = checked_broadcast(group_fill_stats(df, medians, modes, key))
+    small = checked_broadcast(group_fill_stats(df, medians, modes, key, approx))
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -108,11 +96,6 @@ def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Seq
     return df.join(small, key, "left").select(*out)
 
 
-def widest_group(wv: DataFrame, by: Sequence[str] = ()) -> int:
-    """Largest number of distinct values in one group of a weighted table."""
-    return wv.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
 def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                      prefix: str = "q", partitions: int | None = None) -> DataFrame:
     """Exact linear quantiles by distributed rank selection.
@@ -126,7 +109,6 @@ def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequen
     task ever holds more than one range partition; the driver only sees the
     small partition summary.
     """
-    from ..session import cut_lineage
     spark = wv.sparkSession
     by = list(by)
     n_part = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -165,29 +147,17 @@ def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequen
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000,
-                    method: str = "auto") -> DataFrame:
+                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default) per group.
 
     Returns ``by...`` plus one column per probability named ``{prefix}{i}``.
-    Groups whose values are all NULL are absent.  ``method``: ``map`` keeps a
-    value -> weight map per group in one task (fine while distinct values are
-    bounded), ``select`` uses :func:`select_quantiles`, ``auto`` picks
-    ``select`` once a group exceeds ``MAX_GROUP_DISTINCT`` distinct values.
+    Groups whose values are all NULL are absent.  ``approx`` uses the fixed-size sketch.
     """
-    arr = F.array(*[F.lit(float(p)) for p in probs])
     if approx:
-        agg = F.percentile_approx(F.col(col), arr, accuracy)
+        agg = F.percentile_approx(F.col(col), F.array(*[F.lit(float(p)) for p in probs]), accuracy)
         base = df.where(F.col(col).isNotNull()).groupBy(*by).agg(agg.alias("__q"))
         return base.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
-    wv = weighted_values(df, col, by)
-    if method == "auto":
-        wv = wv.persist(StorageLevel.MEMORY_AND_DISK)
-        method = "map" if widest_group(wv, by) <= MAX_GROUP_DISTINCT else "select"
-    if method == "select":
-        return select_quantiles(wv, col, probs, by, prefix)
-    base = wv.groupBy(*by).agg(F.percentile(F.col(col), arr, F.col("__w")).alias("__q"))
-    return base.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
+    return select_quantiles(weighted_values(df, col, by), col, probs, by, prefix)
 
 
 def group_mode(df: DataFrame, col: str, by: Sequence[str], alias: str = "mode") -> DataFrame:

@@ -113,10 +113,8 @@ def cat_sql(final: str, extra: str = "") -> str:
 
 
 def _capture(spark, sf):
-    """The derived capture, parsed from the HTML once per query: the four
-    API tables all read one persisted copy of the search results."""
-    from pyspark import StorageLevel
-    s = CP.search_results(_pages(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    """The derived capture: the four API tables all read the search results."""
+    s = CP.search_results(_pages(spark, sf))
     return s, CP.packages(s), CP.datastore_fields(s), CP.resource_records(s)
 
 

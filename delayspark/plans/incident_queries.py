@@ -49,7 +49,8 @@ def events_processed(spark, sf):
 
 
 def events_raw_features(spark, sf):
-    return add_features(events_unified(spark, sf))
+    """Row-wise features only: no report on them reads the category code."""
+    return add_features(events_unified(spark, sf), encode=False)
 
 
 def order_frames(spark, sf):
@@ -130,7 +131,7 @@ _FEAT_SAVED = [c for c in PROCESSED_COLUMNS if c in O.FEAT_KINDS]
 @register("select_available", sql(["rfeat"], out(O.cols_of(_FEAT_SAVED, O.FEAT_KINDS), "rfeat")))
 def q_select_available(spark, sf):
     """Ordered projection of the saved columns that exist (no scaled ones yet)."""
-    return B.select_available(events_raw_features(spark, sf), PROCESSED_COLUMNS)
+    return B.select_available(add_features(events_unified(spark, sf)), PROCESSED_COLUMNS)
 
 
 # --- E1 / E2: missing values ------------------------------------------------------

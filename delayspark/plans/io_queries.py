@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as CAT
 from ..operators import conform as B
 from ..registry import register
-from ..schema import PROCESSED_COLUMNS, STANDARD_COLUMNS
+from ..schema import PROCESSED_COLUMNS
 from ..session import read_table
 from ..sources import capture as CP
 from ..sources import files as FS
@@ -34,11 +34,9 @@ def q_scan_csv(spark, sf):
 @register("select_files", IQ.sql(["ouni"], IQ.out(IQ.STD_COLS, "ouni",
           'WHERE year("Date") BETWEEN 2018 AND 2020')))
 def q_select_files(spark, sf):
-    """A3: yearly files written one folder per year; only 2018-2020 files are read."""
+    """A3: files named after their year; only those of 2018-2020 are read."""
     path = SK.scratch_path(spark, "yearly_csv")
-    df = IQ.orders_unified(spark, sf).withColumn(
-        "file", F.concat(F.lit("delay-data-"), F.year("Date").cast("string")))
-    df.write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+    SK.land_yearly_csv(IQ.orders_unified(spark, sf), path, "delay-data")
     picked = FS.select_files(FS.scan_csv(spark, path), years=[2018, 2019, 2020])
     return B.cast_standard(B.select_available(picked))
 
@@ -95,11 +93,9 @@ def q_incremental(spark, sf):
     pk, fl, rc = (spark.read.parquet(f"{root}/{n}") for n in ("packages", "fields", "records"))
     # two landing waves; every record lands in exactly one of them
     half = F.abs(F.hash("name")) % 2 == 0
-    INC.land(s.where(half), landing, files=4)
+    INC.land(s.where(half), landing)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=2)
-    INC.land(s.where(~half), landing, files=4)
+    INC.land(s.where(~half), landing)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=2)
     return INC.final_table(spark, output)
 
-
-__all__ = ["STANDARD_COLUMNS"]

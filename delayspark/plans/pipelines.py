@@ -42,8 +42,9 @@ def processed_table(unified: DataFrame, materialize: bool = False, approx: bool
     return cut_lineage(out) if materialize else out
 
 
-def profile(processed: DataFrame, features=NORMALISATION_FEATURES) -> dict[str, DataFrame]:
-    """M5: the reports behind the notebook's charts, each a small DataFrame."""
+def profile(processed: DataFrame, features=NORMALISATION_FEATURES, types=None) -> dict[str, DataFrame]:
+    """M5: the reports behind the notebook's charts, each a small DataFrame
+    (crosstabs in long form, or wide over the given vehicle ``types``)."""
     sizes = P.group_size(processed, "Year")
     corr = P.correlation_matrix(processed, CORR_FEATURES)
     return {
@@ -53,8 +54,8 @@ def profile(processed: DataFrame, features=NORMALISATION_FEATURES) -> dict[str,
         "vehicle_types": P.value_counts(processed, "Vehicle_Type"),
         "vehicle_type_pct": P.value_pct_rows(processed, "Vehicle_Type"),
         "normalisation": P.normalisation_assessment(processed, features),
-        "crosstab": X.crosstab_margins(processed),
-        "crosstab_pct": X.crosstab_row_pct(processed),
+        "crosstab": X.crosstab_margins(processed, values=types) if types else X.crosstab_long(processed),
+        "crosstab_pct": X.crosstab_row_pct(processed, values=types) if types else X.crosstab_long(processed),
         "year_sizes": sizes,
         "extremes": P.extremes_of_counts(sizes),
         "growth": P.yoy_growth(sizes),

@@ -24,6 +24,10 @@ RAW_RENAMES = {
 }
 RENAMED_TYPES = ("bus", "streetcar")
 
+# --- fixed values: texts that mean "no value" in a CSV export ---------------
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # --- fixed values: columns of the saved processed table, in order ----------
 PROCESSED_COLUMNS = [
     "Vehicle_Type", "Date", "Time", "Day", "Line", "Station", "Code", "Bound", "Vehicle",

@@ -26,6 +26,11 @@ from pyspark.sql import types as T
 
 from ..schema import CKAN_DATASET, CKAN_PAGE
 
+# --- fixed values: years in file names
+NAME_YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+WORKBOOK_YEAR = r"(?i)-((?:19|20)\d{2})\.xlsx$"
+
+
 def file_name():
     return F.col("_metadata.file_name")
 
@@ -46,15 +51,18 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str], glob: str | None =
 
 
 def year_of_file(name_col=None):
-    """The 4-digit year in a file's path (NULL when there is none)."""
-    name_col = file_path() if name_col is None else name_col
-    return F.nullif(F.regexp_extract(name_col, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1), F.lit("")).cast("int")
+    """The 4-digit year in a file's name (NULL when there is none); a workbook's name ends in
+    ``-<year>.xlsx``.  Folders are not looked at."""
+    name = file_name() if name_col is None else name_col
+    found = F.when(F.endswith(F.lower(name), F.lit(".xlsx")), F.regexp_extract(name, WORKBOOK_YEAR, 1)) \
+        .otherwise(F.regexp_extract(name, NAME_YEAR, 1))
+    return F.nullif(found, F.lit("")).cast("int")
 
 
 def select_files(df: DataFrame, years: Sequence[int] | None = None, exclude: str | None = "unified",
                  first_only: bool = False) -> DataFrame:
-    """A3: keep rows of files whose path carries one of ``years`` and whose
-    name does not contain ``exclude``; with ``first_only`` only the
+    """A3: keep rows of files whose name carries one of ``years`` and does
+    not contain ``exclude``; with ``first_only`` only the
     alphabetically first matching file is kept (the "first glob match" rule).
     The conditions only touch file metadata; the first match is chosen from
     the file listing (``inputFiles``), without reading any rows."""
@@ -65,14 +73,13 @@ def select_files(df: DataFrame, years: Sequence[int] | None = None, exclude: str
         cond = cond & ~F.lower(file_name()).contains(exclude.lower())
     out = df.where(cond)
     if first_only:
-        pattern = re.compile(r"(?<!\d)((?:19|20)\d{2})(?!\d)")
         listed = []
         for f in df.inputFiles():
             name = f.rsplit("/", 1)[-1]
-            m = pattern.findall(f)
+            m = re.search(WORKBOOK_YEAR if name.lower().endswith(".xlsx") else NAME_YEAR, name)
             if exclude and exclude.lower() in name.lower():
                 continue
-            if years is not None and not any(int(y) in set(years) for y in m[-1:]):
+            if years is not None and not (m and int(m[1]) in set(years)):
                 continue
             listed.append(f)
         first = min(listed) if listed else None
@@ -97,11 +104,6 @@ def scan_codes(spark: SparkSession, path: str) -> DataFrame:
                  .option("encoding", "UTF-8").schema(schema).csv(path))
 
 
-def dedupe_codes(codes: DataFrame) -> DataFrame:
-    """Code lists repeat some codes; keep the row with the smallest _id."""
-    return codes.groupBy("CODE").agg(F.min_by("DESCRIPTION", "_id").alias("DESCRIPTION"), F.min("_id").alias("_id"))
-
-
 def ingest_log(df: DataFrame, corrupt_col: str | None = None) -> DataFrame:
     """Rows (and corrupt rows) per source file."""
     aggs = [F.count(F.lit(1)).alias("rows")]

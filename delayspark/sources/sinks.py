@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.conform import sort_by_date
 from ..schema import PROCESSED_COLUMNS, STANDARD_COLUMNS
 from ..session import checkpoint_dir
 
@@ -33,7 +34,8 @@ def sink_processed(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     out = df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
     w = out.write.mode("overwrite")
     if partition_by and partition_by in out.columns:
-        w = w.partitionBy(partition_by)
+        # one task per partition value, large ones split by size: no task x value small files
+        w = out.hint("rebalance", F.col(partition_by)).write.mode("overwrite").partitionBy(partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
@@ -42,9 +44,28 @@ def sink_processed(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
 
 def sink_unified(df: DataFrame, path: str, date_col: str = "Date") -> None:
     """The 11-column table sorted by date, as headed CSV.  The sort is a
-    range-partitioned global order, so part files are date-ordered."""
+    range-partitioned global order (ties by the other columns, so one busy
+    date is spread over several tasks); part files are date-ordered."""
     out = df.select(*[F.col(f"`{c}`") for c in STANDARD_COLUMNS if c in df.columns])
-    out.orderBy(F.col(date_col).asc_nulls_first()).write.mode("overwrite").option("header", True).csv(path)
+    sort_by_date(out, date_col).write.mode("overwrite").option("header", True).csv(path)
+
+
+def land_yearly_csv(df: DataFrame, path: str, stem: str, date_col: str = "Date") -> None:
+    """Headed CSV files named ``<stem>-<year>-<n>.csv`` in one folder (file system renames only)."""
+    spark, key = df.sparkSession, "__year"
+    df.withColumn(key, F.year(date_col)).hint("rebalance", F.col(key)).write.mode("overwrite") \
+        .partitionBy(key).option("header", True).csv(f"{path}/parts")
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        year = folder.getPath().getName().removeprefix(f"{key}=")
+        if not folder.isDirectory():
+            continue
+        files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        for n, f in enumerate(files):
+            fs.rename(f, jvm.org.apache.hadoop.fs.Path(f"{path}/{stem}-{year}-{n}.csv"))
+    fs.delete(root, True)
 
 
 def sink_catalogue(datasets: DataFrame, path: str, source_url: str = "", api_endpoint: str = "") -> None:

@@ -22,9 +22,10 @@ from ..operators.catalogue import enrich
 from ..operators.stats import checked_broadcast
 
 
-def land(df: DataFrame, path: str, files: int = 8, mode: str = "append") -> None:
-    """Write dataset records into the landing folder (new files each call)."""
-    df.repartition(files).write.mode(mode).parquet(path)
+def land(df: DataFrame, path: str, records_per_file: int = 1000, mode: str = "append") -> None:
+    """Write dataset records into the landing folder (new files each call), as many files as they
+    need at ``records_per_file`` records."""
+    df.write.mode(mode).option("maxRecordsPerFile", records_per_file).parquet(path)
 
 
 def run_incremental_enrich(spark: SparkSession, landing: str, output: str, checkpoint: str,

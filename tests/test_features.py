@@ -185,3 +185,16 @@ def test_histogram_matches_numpy(spark):
     assert got == list(want)
     lo = [r["bin_lo"] for r in P.histogram(df, "x", bins=50).collect()]
     assert np.allclose(lo, edges[:-1])
+
+
+def test_texts_for_no_value_and_infinities_are_null(spark):
+    raw = spark.createDataFrame([("2019-01-01", "NaN", "N/A", "inf", " "), ("2019-01-02", "4", "7", "-Infinity", "YU")],
+                                "Date string, `Min Delay` string, Vehicle string, `Min Gap` string, Line string")
+    rows = B.conform(raw, "subway", typed=True).orderBy("Date").collect()
+    assert [(r["Min Delay"], r["Vehicle"], r["Min Gap"], r["Line"]) for r in rows] == [(None, None, None, None), (4.0, 7, None, "YU")]
+
+
+def test_correlation_of_small_scales_and_constants(spark):
+    df = spark.createDataFrame([(i * 1e-7, float(i), 0.1) for i in range(50)], "a double, b double, c double")
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in P.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert abs(got["a", "b"] - 1.0) < 1e-9 and got["a", "c"] is None and got["c", "c"] is None

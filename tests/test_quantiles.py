@@ -3,23 +3,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from delayspark.operators.stats import exact_quantiles, multi_quantiles, weighted_values, select_quantiles
+from delayspark.operators.stats import exact_quantiles, group_mode, select_quantiles, weighted_values
 
 
 @pytest.mark.parametrize("probs", [[0.25, 0.5, 0.75], [0.0, 1.0, 0.1, 0.99]])
-def test_select_equals_map_and_numpy(spark, probs):
+def test_selection_equals_numpy(spark, probs):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(700, 2.5), rng.integers(0, 5, 300)])
     groups = ["hot"] * 3000 + ["hot"] * 700 + ["cold"] * 300
     pdf = [(g, float(v)) for g, v in zip(groups, vals)] + [("cold", None)]
     df = spark.createDataFrame(pdf, "g string, v double")
     a = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
-         for r in exact_quantiles(df, "v", probs, ["g"], method="select").collect()}
-    b = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
-         for r in exact_quantiles(df, "v", probs, ["g"], method="map").collect()}
+         for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
     for g in ("hot", "cold"):
         want = np.quantile(np.array([v for gg, v in pdf if gg == g and v is not None]), probs)
-        assert np.allclose(a[g], want) and np.allclose(b[g], want)
+        assert np.allclose(a[g], want)
 
 
 def test_global_select_quantiles(spark):
@@ -29,10 +27,16 @@ def test_global_select_quantiles(spark):
     assert (r["q0"], r["q1"], r["q2"]) == (1250.0, 2500.0, 3750.0)
 
 
-def test_multi_quantiles(spark):
-    df = spark.createDataFrame([(float(i), float(i * i)) for i in range(11)], "a double, b double")
-    got = {r["__col"]: r["q1"] for r in multi_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75]).collect()}
-    assert got == {"a": 5.0, "b": 25.0}
+def test_mode_of_large_integers_and_approximate_medians(spark):
+    from delayspark.operators import clean as C
+    big = 1 << 53
+    df = spark.createDataFrame([("A", big, 1.0, None), ("A", big + 1, 2.0, 3.0), ("A", big + 1, 9.0, 3.0), ("A", None, None, 5.0)],
+                               "Vehicle_Type string, Vehicle long, `Min Delay` double, `Min Gap` double")
+    assert group_mode(df, "Vehicle", ["Vehicle_Type"]).first()["mode"] == big + 1
+    assert sorted(r["Vehicle"] for r in C.fill_vehicle_mode(df).collect()) == [big, big + 1, big + 1, big + 1]
+    for approx in (False, True):
+        rows = C.fill_median(df, approx=approx).collect()
+        assert sorted(r["Min Delay"] for r in rows) == [1.0, 2.0, 2.0, 9.0] and {r["Min Gap"] for r in rows} == {3.0, 5.0}
 
 
 def test_approx_quantiles_close(spark):

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """Sources: workbooks, code lists, permissive CSV, file selection, catalogue documents."""
 import io
 import json
@@ -105,6 +106,18 @@ def test_select_files_by_year_and_name(spark, tmpdir_shared):
     assert [r[0] for r in first] == ["ttc-subway-delay-data-2019.csv"]
 
 
+def test_folders_do_not_choose_files(spark, tmpdir_shared):
+    root = os.path.join(tmpdir_shared, "a2020f", "land", "2024", "delay-2018")
+    os.makedirs(root)
+    with open(os.path.join(root, "delay-2019.csv"), "w") as f:
+        f.write("Date,Line\n2019-01-01,YU\n")
+    df = FS.scan_csv(spark, root)
+    assert FS.select_files(df, years=[2019]).count() == 1 and FS.select_files(df, years=[2019], first_only=True).count() == 1
+    assert FS.select_files(df, years=[2018, 2020, 2024]).count() == 0
+    names = spark.createDataFrame([("x-2019.xlsx",), ("x-2019-v2.xlsx",), ("x 2019 b.csv",), ("x12019.csv",)], "n string")
+    assert [r[0] for r in names.select(FS.year_of_file(F.col("n"))).collect()] == [2019, None, 2019, None]
+
+
 def test_catalogue_document_and_lines(spark, tmpdir_shared):
     os.makedirs(tmpdir_shared, exist_ok=True)
     doc = {"total_datasets": 2, "scraped_at": "2026-01-26", "source_url": "x", "api_endpoint": "y",
