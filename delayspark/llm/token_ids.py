@@ -24,7 +24,6 @@ by token count and checksum; an empty table writes only the rank table; extra co
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -50,8 +49,6 @@ MAGIC = b"FRVB"
 HEADER = struct.Struct("<4s6Q")
 
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)  # control byte -> four lengths
-_ONE_WORD = re.compile(r" \S+")
-_SOLID = re.compile(r"\S+")
 _STATE: dict = {}
 
 
@@ -67,11 +64,13 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)  # ASCII marks that end a word: no letter, digit, white space or apostrophe
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 # lead bytes of characters that may be white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 on, U+3000
-_DOUBTFUL = [0xC2, 0xE1, 0xE2, 0xE3]
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """First bytes of the pieces of some texts that lie one after the other.
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the pieces of some texts that lie one after the other, and which bytes are
+    surely no white space.
 
     A piece may begin (all exact, as the pre-tokenizer's pattern never looks back and never matches
     across these places): at a text's start; at a space or line feed behind a character that is
@@ -82,9 +81,10 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     solid = ~_WHITE[data]
+    doubtful = np.flatnonzero(_DOUBTFUL[data])
     for k in range(3):  # all bytes of doubtful characters
-        lead = np.isin(data[:n - k], _DOUBTFUL) & ((data[:n - k] >= 0xE0) | (k < 2))
-        solid[k:][lead] = False
+        at = doubtful[(data[doubtful] >= 0xE0) | (k < 2)] + k
+        solid[at[at < n]] = False
     letter = _LETTER[data]
     letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
     cut = edge[:-1].copy()
@@ -92,7 +92,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[1:] |= letter[:-1] & _MARK[data[1:]]
     if n > 2:
         cut[2:] |= (data[1:-1] == 10) & solid[:-2] & solid[2:] & ~edge[1:-2] & ~edge[2:-1]
-    return np.flatnonzero(cut)
+    return np.flatnonzero(cut), solid
 
 
 class PieceTokenizer:
@@ -163,9 +163,8 @@ class PieceTokenizer:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return (np.fromiter((x for y in ids for x in y), self.code), np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """New pieces (keys sorted) into the cache."""
-        kind = np.array([0 if _ONE_WORD.fullmatch(p) else 1 if _SOLID.fullmatch(p) else 2 for p in pieces], np.int8)
+    def _learn(self, keys: np.ndarray, pieces: list[str], kind: np.ndarray) -> None:
+        """New pieces (keys sorted) into the cache; ``kind``: 0 a space and a word, 1 no white space, 2 other."""
         start, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         for k, encode in ((0, lambda g: self._joined(g, "", self.opens)), (1, lambda g: self._joined(g, "\n", self.feed)),
                           (2, self._alone)):
@@ -185,7 +184,8 @@ class PieceTokenizer:
             if len(self.keys) > CACHE_PIECES:
                 self._empty()
             raw = data.tobytes()
-            starts = self._whole(raw, offsets, cut_points(data, offsets))
+            starts, solid = cut_points(data, offsets)
+            starts = self._whole(raw, offsets, starts)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             names = span_hashes(data, starts, ends)
             keys, where, back = np.unique(names, return_index=True, return_inverse=True)
@@ -194,8 +194,12 @@ class PieceTokenizer:
             known[known] = self.keys[at[known]] == keys[known]
             new = np.flatnonzero(~known)
             if len(new):
-                spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-                self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+                first, last = starts[where[new]], ends[where[new]]
+                white = np.concatenate(([0], np.cumsum(~solid)))
+                white = white[last] - white[first]
+                kind = np.where((white == 1) & (data[first] == 32) & (last - first > 1), 0, np.where(white == 0, 1, 2))
+                self._learn(keys[new], [raw[a:b].decode("utf-8", "replace")
+                                        for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind)
                 at = np.searchsorted(self.keys, keys)
             count = self.count[at][back]
             begin = np.cumsum(count) - count
