@@ -112,18 +112,48 @@ def enrich(datasets: DataFrame, packages: DataFrame, fields: DataFrame, records:
            policy: str = "first") -> DataFrame:
     """Per dataset the number of detailed resources, dictionary
     columns and the quality facts (first/last policy), left-joined so a
-    dataset whose lookups fail is kept with empty values."""
-    n_res = resource_rows(packages, csv_only=(policy == "first")).groupBy("name").agg(F.count(F.lit(1)).alias("n_resources"))
-    n_dict = dictionary_rows(packages, fields).groupBy("name").agg(F.count(F.lit(1)).alias("n_dictionary"))
-    q = quality_first(packages, records) if policy == "first" else quality_last(packages, records)
-    q = q.withColumn("__found", F.lit(True))
+    dataset whose lookups fail is kept with empty values.
+
+    Resources are exploded once; fields are counted by the size of their
+    arrays; both lookups join on the resource id and one aggregation per
+    dataset gives every figure."""
+    first = policy == "first"
+    res = packages.select("name", F.posexplode("resources").alias("rpos", "r")).select(
+        "name", "rpos", F.col("r.id").alias("rid"),
+        F.upper(F.coalesce(F.col("r.format"), F.lit(""))).contains("CSV").alias("csv"))
+    if first:
+        res = res.where("csv")
+    sizes = (fields.where(F.coalesce("resource_id", F.lit("")) != "").groupBy(F.col("resource_id").alias("rid"))
+             .agg(F.sum(F.greatest(F.size("fields"), F.lit(0))).alias("__n")))
+    facts = records.groupBy(F.col("resource_id").alias("rid")).agg(
+        F.min(F.struct("last_modified", "created", "format", "size")).alias("__q"))
+    pick = F.min_by if first else F.max_by
+    rpos = F.when(F.col("__q").isNotNull(), F.col("rpos"))
+    per = res.join(sizes, "rid", "left").join(facts, "rid", "left").groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_resources"), F.sum(F.when(F.col("csv"), F.col("__n"))).alias("n_dictionary"),
+        pick(F.col("__q"), rpos).alias("__q"))
     base = datasets.select(*[c for c in ("page_id",) if c in datasets.columns], "name")
-    return (base.join(n_res, "name", "left").join(n_dict, "name", "left").join(q, "name", "left")
-                .select(*base.columns,
-                        F.coalesce("n_resources", F.lit(0)).alias("n_resources"),
-                        F.coalesce("n_dictionary", F.lit(0)).alias("n_dictionary"),
-                        F.coalesce(F.col("__found"), F.lit(False)).alias("has_quality"),
-                        "last_modified", "created", "format", "size"))
+    return base.join(per, "name", "left").select(
+        *base.columns, F.coalesce("n_resources", F.lit(0)).alias("n_resources"),
+        F.coalesce("n_dictionary", F.lit(0)).alias("n_dictionary"), F.col("__q").isNotNull().alias("has_quality"), "__q.*")
+
+
+def catalogue_documents(datasets: DataFrame, packages: DataFrame, fields: DataFrame, records: DataFrame) -> DataFrame:
+    """The nested form of D2 for the JSON sink (A12): per dataset its columns, the ``dictionary`` and
+    ``resources_detail`` lists and the ``quality`` facts of the first CSV resource with a record.
+
+    Lists are as long as one dataset's own resources; jobs work on the long tables
+    (:func:`resource_rows`, :func:`dictionary_rows`, :func:`quality_first`)."""
+    details = resource_rows(packages, csv_only=True).groupBy("name").agg(
+        F.array_sort(F.collect_list(F.struct("rpos", "detail"))).alias("d")).select(
+        "name", F.transform("d", lambda x: x["detail"]).alias("resources_detail"))
+    quality = quality_first(packages, records).select("name", F.struct(
+        "last_modified", "created", "format", F.col("size").cast("string").alias("size")).alias("quality"))
+    none = F.array().cast("array<struct<column_name:string,type:string,description:string>>")
+    out = (datasets.join(dictionary_lists(dictionary_rows(packages, fields)), "name", "left")
+           .join(details, "name", "left").join(quality, "name", "left"))
+    return out.select(*datasets.columns, F.coalesce("dictionary", none).alias("dictionary"), "quality",
+                      F.coalesce("resources_detail", F.array().cast(details.schema["resources_detail"].dataType)).alias("resources_detail"))
 
 
 def enrichment_coverage(enriched: DataFrame) -> DataFrame:

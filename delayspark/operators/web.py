@@ -84,19 +84,37 @@ def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
     return out
 
 
+def table_row_array(html):
+    """J4 inside a row: array<struct<row, column_name, type, description>> of the first table's rows
+    after the header with at least two cells and a name."""
+    table = F.regexp_extract(html, r"(?is)<table[^>]*>(.*?)</table>", 1)
+    cells = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda tr, i: F.struct(
+        i.alias("row"), F.transform(F.regexp_extract_all(tr, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), H.text_of).alias("td")))
+    rows = F.transform(F.filter(cells, lambda x: (x["row"] > 0) & (F.size(x["td"]) >= 2)), lambda x: F.struct(
+        x["row"].alias("row"), x["td"][0].alias("column_name"), x["td"][1].alias("type"),
+        F.coalesce(F.get(x["td"], F.lit(2)), F.lit("")).alias("description")))
+    return F.filter(rows, lambda x: x["column_name"] != "")
+
+
+def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Every other column of ``pages`` with ``rows`` (J4) and ``figures`` (J5, a struct of the eight
+    quality figures): all that later steps need of a page, so its markup is never shuffled."""
+    rest = [c for c in pages.columns if c != html]
+    narrow = pages.select(*rest, table_row_array(F.col(html)).alias("rows"), H.visible_text(F.col(html)).alias("__text"))
+    figures = quality_columns(F.col("__text"))
+    return narrow.select(*rest, "rows", F.struct(*figures).alias("figures"))
+
+
 def page_text(html: str = "html"):
     """Visible text of a page (scripts and styles dropped, block elements on
     their own lines)."""
     return H.visible_text(F.col(html))
 
 
-def quality_metrics(pages: DataFrame, key: str = "page_id", text=None) -> DataFrame:
-    """Quality panel figures found anywhere in the text, any case.
-
-    Columns overall_score, grade, freshness, metadata, accessibility,
+def quality_columns(t) -> list:
+    """J5 over a text: overall_score, grade, freshness, metadata, accessibility,
     completeness, usability (``N%`` strings) and last_refreshed; absent ones
     are NULL."""
-    t = text if text is not None else page_text()
     pct = lambda label: F.nullif(F.regexp_extract(t, rf"(?i){label}{PERCENT_AFTER}", 1), F.lit(""))
     with_pct = lambda c: F.when(c.isNotNull(), F.concat(c, F.lit("%")))
     cols = [with_pct(pct(OVERALL_LABEL)).alias("overall_score"),
@@ -104,7 +122,13 @@ def quality_metrics(pages: DataFrame, key: str = "page_id", text=None) -> DataFr
     cols += [with_pct(pct(m)).alias(m.lower()) for m in QUALITY_LABELS]
     cols.append(F.nullif(H.strip_ws(F.regexp_extract(t, f"(?i){LAST_REFRESHED}", 1)),
                          F.lit("")).alias("last_refreshed"))
-    return pages.select(F.col(key), *cols)
+    return cols
+
+
+def quality_metrics(pages: DataFrame, key: str = "page_id", text=None) -> DataFrame:
+    """Quality panel figures found anywhere in the text, any case
+    (:func:`quality_columns`)."""
+    return pages.select(F.col(key), *quality_columns(text if text is not None else page_text()))
 
 
 def quality_metrics_strict(pages: DataFrame, key: str = "page_id", text=None,

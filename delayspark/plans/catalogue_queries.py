@@ -293,41 +293,70 @@ def q_size_label(spark, sf):
 
 # --- M9: supplement from captured pages ---------------------------------------------------
 _PAGE_ROWS = f"""page_rows AS (
-  SELECT page_id, count(*) AS n FROM (
+  SELECT * FROM (SELECT page_id, row, {_text_of('tds[1]')} AS column_name, {_text_of('tds[2]')} AS type,
+                        CASE WHEN len(tds) > 2 THEN {_text_of('tds[3]')} ELSE '' END AS description FROM (
     SELECT page_id, row, regexp_extract_all(tr, '(?is)<td[^>]*>(.*?)</td>', 1) AS tds FROM (
-      SELECT page_id, unnest(trs) AS tr, generate_subscripts(trs, 1) - 1 AS row FROM (
+      SELECT page_id, unnest(trs) AS tr, CAST(generate_subscripts(trs, 1) - 1 AS BIGINT) AS row FROM (
         SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<table[^>]*>(.*?)</table>', 1),
                                            '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM pages)))
-  WHERE row > 0 AND len(tds) >= 2 AND {_text_of('tds[1]')} <> '' GROUP BY page_id)"""
+    WHERE row > 0 AND len(tds) >= 2) WHERE column_name <> '')"""
 
 _PAGE_Q = f"""page_q AS (
   SELECT * FROM (SELECT page_id, {_QUALITY_COLS} FROM (SELECT page_id, {_PAGE_TEXT} AS t FROM pages))
   WHERE coalesce(overall_score, grade, freshness, metadata, accessibility, completeness, usability,
                  last_refreshed) IS NOT NULL)"""
 
+# a dataset's resource pages: its own page and the next one
+_RES_PAGES = """res_pages AS (
+  SELECT name, rpos, page_id FROM (
+    SELECT 'ds-' || CAST(page_id AS VARCHAR) AS name, 0 AS rpos, page_id, title FROM ds
+    UNION ALL SELECT 'ds-' || CAST(page_id - 1 AS VARCHAR), 1, page_id, title FROM ds)
+  WHERE trim(coalesce(title, '')) <> '' AND NOT contains(lower(title), 'readme'))"""
+
+_FIRST = """first_rows AS (SELECT name, rpos, page_id FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY name ORDER BY rpos) AS k FROM res_pages p
+  WHERE page_id IN (SELECT page_id FROM page_rows)) WHERE k = 1),
+first_q AS (SELECT name, rpos, page_id FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY name ORDER BY rpos) AS k FROM res_pages p
+  WHERE page_id IN (SELECT page_id FROM page_q)) WHERE k = 1)"""
+
+_FIGS = ["overall_score", "grade", "freshness", "metadata", "accessibility", "completeness", "usability", "last_refreshed"]
+_FIG_COLS = ", ".join(f"CASE WHEN NOT e.has_quality THEN q.{c} END AS {c}" for c in _FIGS)
+
 _SUPPLEMENT = f"""SELECT e.name,
-  CASE WHEN e.n_dictionary = 0 THEN coalesce(r.n, 0) ELSE 0 END AS dictionary_columns,
-  CAST(CASE WHEN e.n_dictionary = 0 AND r.n IS NOT NULL THEN 0 END AS BIGINT) AS dictionary_rpos,
-  CAST(CASE WHEN NOT e.has_quality AND q.page_id IS NOT NULL THEN 0 END AS BIGINT) AS quality_rpos,
-  CASE WHEN NOT e.has_quality THEN q.overall_score END AS overall_score,
-  CASE WHEN NOT e.has_quality THEN q.grade END AS grade,
-  CASE WHEN NOT e.has_quality THEN q.freshness END AS freshness
-FROM enriched e JOIN ds d ON e.name = d.name
-LEFT JOIN page_rows r ON r.page_id = e.page_id AND trim(coalesce(d.title, '')) <> '' AND NOT contains(lower(d.title), 'readme')
-LEFT JOIN page_q q ON q.page_id = e.page_id AND trim(coalesce(d.title, '')) <> '' AND NOT contains(lower(d.title), 'readme')
+  CASE WHEN e.n_dictionary = 0 THEN (SELECT count(*) FROM page_rows r WHERE r.page_id = fr.page_id) ELSE 0 END AS dictionary_columns,
+  CAST(CASE WHEN e.n_dictionary = 0 THEN fr.rpos END AS BIGINT) AS dictionary_rpos,
+  CAST(CASE WHEN NOT e.has_quality THEN fq.rpos END AS BIGINT) AS quality_rpos, {_FIG_COLS}
+FROM enriched e LEFT JOIN first_rows fr ON e.name = fr.name
+LEFT JOIN first_q fq ON e.name = fq.name LEFT JOIN page_q q ON q.page_id = fq.page_id
 WHERE e.n_dictionary = 0 OR NOT e.has_quality"""
+_SUPP_CTES = ",\n".join([_ENRICHED, _PAGE_ROWS, _PAGE_Q, _RES_PAGES, _FIRST])
 
 
-@register("supplement", cat_sql(_SUPPLEMENT, ",\n".join([_ENRICHED, _PAGE_ROWS, _PAGE_Q])))
-def q_supplement(spark, sf):
-    """M9 (C5, C6, J4, J5): datasets still missing a dictionary or quality,
-    filled from their captured page (first resource that yields wins)."""
+def _supplemented(spark, sf):
+    from ..operators import web as W
     from .pipelines import supplement
-    pages = _pages(spark, sf)
-    s = CP.search_results(pages)
-    resource_pages = s.select("name", F.lit(0).alias("rpos"), "title").join(
-        pages.select(F.concat(F.lit("ds-"), F.col("page_id").cast("string")).alias("name"), "html"), "name")
-    return supplement(_enriched(spark, sf), resource_pages)
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    facts = W.page_facts(_pages(spark, sf).select("page_id", title.alias("title"), "html"))
+    name = lambda back: F.concat(F.lit("ds-"), (F.col("page_id") - back).cast("string"))
+    pages = facts.withColumn("at", F.explode(F.array(
+        F.struct(name(0).alias("name"), F.lit(0).alias("rpos")), F.struct(name(1).alias("name"), F.lit(1).alias("rpos"))))).select(
+        "at.*", "title", "rows", "figures")
+    return supplement(_enriched(spark, sf), pages)
+
+
+@register("supplement", cat_sql(_SUPPLEMENT, _SUPP_CTES))
+def q_supplement(spark, sf):
+    """M9 (C5, C6, J4, J5): datasets still missing a dictionary or quality, filled from the first of
+    their captured pages (their own, then the next) that yields one."""
+    return _supplemented(spark, sf).drop("dictionary")
+
+
+@register("supplement_dictionary", cat_sql("""SELECT e.name, r.row, r.column_name, r.type, r.description
+FROM enriched e JOIN first_rows fr ON e.name = fr.name JOIN page_rows r ON r.page_id = fr.page_id WHERE e.n_dictionary = 0""", _SUPP_CTES))
+def q_supplement_dictionary(spark, sf):
+    """M9: the dictionary rows that supplement the datasets without one."""
+    return _supplemented(spark, sf).select("name", F.explode("dictionary").alias("d")).select("name", "d.*")
 
 
 @register("head_dictionary", cat_sql(f"""SELECT d.page_id, d.name, t.column_no, t.column_name, t.type, t.description

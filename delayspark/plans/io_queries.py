@@ -63,6 +63,27 @@ def q_catalogue_roundtrip(spark, sf):
     return back.select(*CAT.DATASET_FIELDS)
 
 
+@register("enriched_catalogue", CQ.cat_sql(f"""SELECT d.name, 'dictionary' AS part, t.k AS pos, t.column_name AS a, t.type AS b, t.description AS c
+FROM ds d JOIN (SELECT f.name, row_number() OVER (PARTITION BY f.name ORDER BY f.rpos, f.fpos) - 1 AS k, {CQ._FIELD_COLS}
+                FROM {CQ._FIELDS} f WHERE {CQ._CSV_FIELD}) t ON d.name = t.name
+UNION ALL SELECT name, 'resource', row_number() OVER (PARTITION BY name ORDER BY rpos) - 1, rname, format, id FROM res WHERE {CQ._CSV_RES}
+UNION ALL SELECT name, 'quality', 0, last_modified, format, CAST(size AS VARCHAR) FROM enriched WHERE has_quality""", CQ._ENRICHED))
+def q_enriched_catalogue(spark, sf):
+    """D2 + A12: enriched datasets written as JSON documents with their dictionary, resource and
+    quality parts, and read back as rows."""
+    path = SK.scratch_path(spark, "enriched")
+    s, pk, fl, rc = CQ._capture(spark, sf)
+    SK.sink_catalogue(CAT.catalogue_documents(s.select("name", "title"), pk, fl, rc), path)
+    docs = spark.read.schema(FS.DOCUMENT_SCHEMA).json(f"{path}/datasets")
+    part = lambda kind, pos, *v: docs.select("name", F.lit(kind).alias("part"), pos, *[x.alias(n) for x, n in zip(v, "abc", strict=True)])
+    row = lambda kind, col, *names: docs.select("name", F.lit(kind).alias("part"), F.posexplode(col).alias("pos", "x")).select(
+        "name", "part", "pos", *[F.col(f"x.{n}").alias(a) for n, a in zip(names, "abc", strict=True)])
+    quality = part("quality", F.lit(0).alias("pos"), F.col("quality.last_modified"), F.col("quality.format"), F.col("quality.size"))
+    return (row("dictionary", "dictionary", "column_name", "type", "description")
+            .unionByName(row("resource", "resources_detail", "name", "format", "id"))
+            .unionByName(quality.where("c is not null or a is not null or b is not null")))
+
+
 @register("scan_ckan_search", _INFO_NO_KEY)
 def q_scan_ckan_search(spark, sf):
     """Search results landed as API pages of at most 100 records, read

@@ -90,35 +90,36 @@ def link_manifest(pages: DataFrame, existing: DataFrame | None = None, lenient:
     return W.link_manifest(pages, existing, lenient=lenient)
 
 
+FIGURES = ["overall_score", "grade", "freshness", "metadata", "accessibility", "completeness", "usability",
+           "last_refreshed"]
+
+
 def supplement(enriched: DataFrame, resource_pages: DataFrame) -> DataFrame:
     """M9: fill what enrichment left empty from captured resource pages.
 
     ``resource_pages``: (name, rpos, title, html) - a captured page per
-    resource.  Readme and blank headings are skipped (C6); for a dataset
-    still missing a dictionary, the first resource whose page has table rows
-    (J4) supplies it; for one missing quality, the first page with any
-    quality figure (J5) does.  Output: (name, dictionary_columns,
-    dictionary_rpos, quality_rpos, overall_score, grade, freshness)."""
+    resource - or, instead of html, the ``rows`` and ``figures`` of
+    :func:`web.page_facts`.  Readme and blank headings are skipped (C6); for a
+    dataset still missing a dictionary, the first resource whose page has
+    table rows (J4) supplies it; for one missing quality, the first page with
+    any quality figure (J5) does.  Markup is read inside each row; only rows
+    and figures are shuffled.  Output: name, dictionary (list of row,
+    column_name, type, description), dictionary_columns, dictionary_rpos,
+    quality_rpos and the eight figures."""
     needing = CAT.needs_enrichment(enriched).select("name", "n_dictionary", "has_quality")
-    pages = CAT.not_readme(resource_pages, "title").join(needing.select("name"), "name", "left_semi")
-    pages = pages.withColumn("page_id", F.struct("name", "rpos"))
-    rows = W.table_rows(pages, key="page_id", drop_empty_names=True)
-    dict_first = (rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-                      .select(F.col("page_id.name").alias("name"), F.col("page_id.rpos").alias("rpos"), "n")
-                      .groupBy("name").agg(F.min_by("n", "rpos").alias("dictionary_columns"),
-                                           F.min("rpos").alias("dictionary_rpos")))
-    q = W.quality_metrics(pages, key="page_id")
-    found = F.coalesce(*[F.col(c) for c in q.columns if c != "page_id"]).isNotNull()  # any figure found
-    q_first = (q.where(found).select(F.col("page_id.name").alias("name"), F.col("page_id.rpos").alias("rpos"),
-                                     F.struct("overall_score", "grade", "freshness").alias("qv"))
-                .groupBy("name").agg(F.min_by("qv", "rpos").alias("qv"), F.min("rpos").alias("quality_rpos")))
-    out = needing.join(dict_first, "name", "left").join(q_first, "name", "left")
+    pages = CAT.not_readme(resource_pages, "title")
+    facts = W.page_facts(pages) if "html" in pages.columns else pages
+    any_figure = F.coalesce(*[F.col(f"figures.{c}") for c in FIGURES]).isNotNull()
+    with_rows = F.when(F.size("rows") > 0, F.col("rpos"))
+    with_figure = F.when(any_figure, F.col("rpos"))
+    best = (facts.select("name", "rpos", "rows", "figures").where((F.size("rows") > 0) | any_figure)
+            .groupBy("name").agg(F.min_by("rows", with_rows).alias("rows"), F.min(with_rows).alias("dictionary_rpos"),
+                                 F.min_by("figures", with_figure).alias("figures"), F.min(with_figure).alias("quality_rpos")))
+    out = needing.join(best, "name", "left")
+    no_dict, no_quality = F.col("n_dictionary") == 0, ~F.col("has_quality")
     return out.select(
-        "name",
-        F.when(F.col("n_dictionary") == 0, F.coalesce("dictionary_columns", F.lit(0))).otherwise(F.lit(0))
-         .alias("dictionary_columns"),
-        F.when(F.col("n_dictionary") == 0, F.col("dictionary_rpos")).alias("dictionary_rpos"),
-        F.when(~F.col("has_quality"), F.col("quality_rpos")).alias("quality_rpos"),
-        F.when(~F.col("has_quality"), F.col("qv.overall_score")).alias("overall_score"),
-        F.when(~F.col("has_quality"), F.col("qv.grade")).alias("grade"),
-        F.when(~F.col("has_quality"), F.col("qv.freshness")).alias("freshness"))
+        "name", F.when(no_dict, F.col("rows")).alias("dictionary"),
+        F.when(no_dict & F.col("rows").isNotNull(), F.size("rows")).otherwise(F.lit(0)).alias("dictionary_columns"),
+        F.when(no_dict, F.col("dictionary_rpos")).alias("dictionary_rpos"),
+        F.when(no_quality, F.col("quality_rpos")).alias("quality_rpos"),
+        *[F.when(no_quality, F.col(f"figures.{c}")).alias(c) for c in FIGURES])

@@ -299,3 +299,9 @@ def scan_ckan_search(spark: SparkSession, path: str, multi_line: bool = True) ->
 __all__ = ["scan_csv", "select_files", "scan_sample", "scan_codes", "dedupe_codes", "ingest_log",
            "scan_csv_permissive", "scan_workbook", "scan_workbook_cells", "workbook_frame",
            "scan_catalogue", "scan_ckan_search", "CKAN_DATASET"]
+
+
+# One enriched dataset as the JSON sink writes it.
+DOCUMENT_SCHEMA = ("name string, title string, dictionary array<struct<column_name:string,type:string,description:string>>, "
+                   "quality struct<last_modified:string,created:string,format:string,size:string>, "
+                   "resources_detail array<struct<name:string,format:string,url:string,size:bigint,last_modified:string,created:string,id:string>>")

@@ -21,7 +21,8 @@ def test_unify_process_profile(spark):
     assert processed.columns == [c for c in PROCESSED_COLUMNS if c in processed.columns]
     assert len(processed.columns) == 37
     assert processed.where("Bound IS NULL OR Line IS NULL OR Station IS NULL OR Vehicle IS NULL").count() == 0
-    reports = PL.profile(processed)
+    assert PL.profile(processed)["crosstab"].columns == ["Year", "Vehicle_Type", "count", "row_pct"]
+    reports = PL.profile(processed, types=["BUS", "STREETCAR", "SUBWAY"])
     assert len(reports) == 22
     for name, df in reports.items():
         assert df.count() >= 0, name
@@ -58,6 +59,15 @@ def test_supplement_fills_from_first_yielding_page(spark):
     a = out["a"]
     assert (a["dictionary_columns"], a["dictionary_rpos"], a["quality_rpos"]) == (2, 2, 2)
     assert (a["overall_score"], a["grade"]) == ("87%", "Gold")
+    assert [(d["row"], d["column_name"], d["type"], d["description"]) for d in a["dictionary"]] == [(1, "id", "int", ""), (2, "x", "text", "")]
+    assert out["b"]["dictionary"] is None and out["b"]["freshness"] == "50%"
+
+
+def test_supplement_shuffles_no_markup(spark):
+    pages = read_table(spark, SF, "pages").selectExpr("concat('ds-', page_id) as name", "0 as rpos", "'t' as title", "html")
+    enriched = spark.createDataFrame([("ds-1", 0, False)], "name string, n_dictionary long, has_quality boolean")
+    plan = PL.supplement(enriched, pages)._jdf.queryExecution().executedPlan().toString()
+    assert not any("html" in line for line in plan.splitlines() if "Exchange" in line)
     b = out["b"]
     assert (b["dictionary_columns"], b["dictionary_rpos"]) == (0, None)  # b already has a dictionary
     assert (b["quality_rpos"], b["freshness"]) == (0, "50%")
