@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import span_hashes, text_chunks, written
 
 END_ID = 2
-CACHE_PIECES = 2_000_000   # distinct pieces whose ids a worker keeps (about 30 bytes each)
+CACHE_PIECES = 1_500_000   # distinct pieces whose ids a worker keeps (about 30 bytes each)
+SLOT_BITS = 21
 JOINED = 100               # new pieces encoded at once
 BATCH_ROWS = 500           # documents handed back to Spark at a time
 BLOCK_IDS = 1_000_000      # a block ends with the document that reaches this many ids
@@ -133,10 +134,14 @@ class PieceTokenizer:
         return starts[~np.isin(row, list(rows)) | np.isin(starts, offsets)]
 
     def _empty(self) -> None:
+        """Cached pieces in the order of learning: hash, first id in ``flat``, ids.  ``slot`` has the
+        piece of each value of a hash's top bits; pieces whose slot was taken are kept sorted apart."""
         self.keys = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.start = np.empty(0, np.int32)
+        self.count = np.empty(0, np.int32)
         self.flat = np.empty(0, self.code)
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.other_keys, self.other = np.empty(0, np.uint64), np.empty(0, np.int32)
 
     def _joined(self, pieces: list[str], glue: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each piece) of pieces encoded many at a time; ``first`` marks the ids that open
@@ -164,7 +169,7 @@ class PieceTokenizer:
         return (np.fromiter((x for y in ids for x in y), self.code), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, keys: np.ndarray, pieces: list[str], kind: np.ndarray) -> None:
-        """New pieces (keys sorted) into the cache; ``kind``: 0 a space and a word, 1 no white space, 2 other."""
+        """New pieces into the cache; ``kind``: 0 a space and a word, 1 no white space, 2 other."""
         start, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
         for k, encode in ((0, lambda g: self._joined(g, "", self.opens)), (1, lambda g: self._joined(g, "\n", self.feed)),
                           (2, self._alone)):
@@ -174,9 +179,30 @@ class PieceTokenizer:
                 count[at] = n
                 start[at] = np.cumsum(n) - n + len(self.flat)
                 self.flat = np.concatenate([self.flat, ids])
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.start, self.count = np.insert(self.start, at, start), np.insert(self.count, at, count)
+        piece = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        self.keys = np.concatenate([self.keys, keys])
+        self.start = np.concatenate([self.start, start.astype(np.int32)])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
+        place = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        free = self.slot[place] < 0
+        self.slot[place[free]] = piece[free]
+        late = np.flatnonzero(self.slot[place] != piece)
+        both, of = np.concatenate([self.other_keys, keys[late]]), np.concatenate([self.other, piece[late]])
+        order = np.argsort(both, kind="stable")
+        self.other_keys, self.other = both[order], of[order]
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """Cached piece of each hash, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(names), -1, np.int32)
+        piece = self.slot[(names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        miss = np.flatnonzero((piece < 0) | (self.keys[piece] != names))
+        piece[miss] = -1
+        if len(miss) and len(self.other_keys):
+            at = np.minimum(np.searchsorted(self.other_keys, names[miss]), len(self.other_keys) - 1)
+            hit = self.other_keys[at] == names[miss]
+            piece[miss[hit]] = self.other[at[hit]]
+        return piece
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text."""
@@ -188,23 +214,23 @@ class PieceTokenizer:
             starts = self._whole(raw, offsets, starts)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             names = span_hashes(data, starts, ends)
-            keys, where, back = np.unique(names, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            known = at < len(self.keys)
-            known[known] = self.keys[at[known]] == keys[known]
-            new = np.flatnonzero(~known)
-            if len(new):
-                first, last = starts[where[new]], ends[where[new]]
+            piece = self._find(names)
+            unknown = np.flatnonzero(piece < 0)
+            if len(unknown):
+                keys, where, back = np.unique(names[unknown], return_index=True, return_inverse=True)
+                first, last = starts[unknown[where]], ends[unknown[where]]
                 white = np.concatenate(([0], np.cumsum(~solid)))
                 white = white[last] - white[first]
                 kind = np.where((white == 1) & (data[first] == 32) & (last - first > 1), 0, np.where(white == 0, 1, 2))
-                self._learn(keys[new], [raw[a:b].decode("utf-8", "replace")
-                                        for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind)
-                at = np.searchsorted(self.keys, keys)
-            count = self.count[at][back]
-            begin = np.cumsum(count) - count
-            total = int(count.sum())
-            ids = self.flat[np.repeat(self.start[at][back] - begin, count) + np.arange(total)] if total else self.flat[:0]
+                had = len(self.keys)
+                self._learn(keys, [raw[a:b].decode("utf-8", "replace")
+                                   for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind)
+                piece[unknown] = had + back
+            count = self.count[piece]
+            upto = np.cumsum(count, dtype=np.int64)
+            begin, total = upto - count, int(upto[-1]) if len(upto) else 0
+            shift = (self.start[piece] - begin).astype(np.int32 if total < 1 << 31 else np.int64)
+            ids = self.flat[np.repeat(shift, count) + np.arange(total, dtype=shift.dtype)]
             edges = np.append(begin, total)[np.searchsorted(starts, offsets)]
             yield from (ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
 
@@ -267,8 +293,15 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[:len(r)] = size
     quads = (padded - 1).reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8)[None, :] < size[:, None]
-    return control.astype(np.uint8).tobytes(), r.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    data[start] = r & np.uint32(0xFF)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        data[start[more] + k] = r[more] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
