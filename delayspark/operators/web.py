@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..session import cut_lineage
 from ..schema import (CARD_LABELS, FIRST_PERCENT, GRADE, LAST_REFRESHED, OVERALL_LABEL, PERCENT_AFTER,
                       QUALITY_LABELS)
 
@@ -206,7 +207,8 @@ def link_manifest(pages: DataFrame, existing: DataFrame | None = None, base_dir:
     (A13 rows).  ``existing`` lists files already present."""
     with_slug = pages.withColumn("dataset", H.dataset_slug(F.col("url")))
     dl = download_links(with_slug, lenient, keep=["dataset"])
-    dl = dl.withColumn("path", F.concat_ws("/", F.lit(base_dir), F.col("dataset"), F.col("filename")))
+    # the narrow link rows are written once: the collision aggregate never parses pages again
+    dl = cut_lineage(dl.withColumn("path", F.concat_ws("/", F.lit(base_dir), F.col("dataset"), F.col("filename"))))
     if existing is None:
         existing = dl.sparkSession.createDataFrame([], "dataset string, filename string, size bigint")
     return skip_existing(dl, existing)
