@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 # A word is a run of bytes other than the six ASCII white-space characters.
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
@@ -73,10 +72,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != F.lit(""))
 
 
-def without_spaces(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, "")
-
-
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """``df`` with its 0-based position in ``order``, without a single-task window.
 
