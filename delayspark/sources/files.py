@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CKAN_DATASET, CKAN_PAGE
+from ..schema import CKAN_PAGE
 
 # --- fixed values: years in file names
 NAME_YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
