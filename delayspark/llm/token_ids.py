@@ -39,7 +39,8 @@ from .common import span_hashes, text_chunks, written
 
 END_ID = 2
 CACHE_PIECES = 1_500_000   # distinct pieces whose ids a worker keeps (about 30 bytes each)
-SLOT_BITS = 21
+SLOT_BITS = 22
+CHUNK = 500_000            # bytes of text whose arrays stay in a processor's cache
 JOINED = 100               # new pieces encoded at once
 BATCH_ROWS = 500           # documents handed back to Spark at a time
 BLOCK_IDS = 1_000_000      # a block ends with the document that reaches this many ids
@@ -96,6 +97,15 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(cut), solid
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` values, at least doubled when it grows."""
+    if n <= len(x):
+        return x
+    out = np.empty(max(n, 2 * len(x)), x.dtype)
+    out[:len(x)] = x
+    return out
+
+
 class PieceTokenizer:
     """A tokenizer called once per distinct piece of text, with a bounded cache of pieces' ids.
 
@@ -136,10 +146,11 @@ class PieceTokenizer:
     def _empty(self) -> None:
         """Cached pieces in the order of learning: hash, first id in ``flat``, ids.  ``slot`` has the
         piece of each value of a hash's top bits; pieces whose slot was taken are kept sorted apart."""
-        self.keys = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int32)
-        self.count = np.empty(0, np.int32)
-        self.flat = np.empty(0, self.code)
+        self.size = self.used = 0  # pieces, ids in flat; the arrays have room to grow
+        self.keys = np.empty(1 << 16, np.uint64)
+        self.start = np.empty(1 << 16, np.int32)
+        self.count = np.empty(1 << 16, np.int32)
+        self.flat = np.empty(1 << 18, self.code)
         self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
         self.other_keys, self.other = np.empty(0, np.uint64), np.empty(0, np.int32)
 
@@ -169,32 +180,31 @@ class PieceTokenizer:
         return (np.fromiter((x for y in ids for x in y), self.code), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, keys: np.ndarray, pieces: list[str], kind: np.ndarray) -> None:
-        """New pieces into the cache; ``kind``: 0 a space and a word, 1 no white space, 2 other."""
-        start, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        """New pieces (by rising key) into the cache; ``kind``: 0 a space and a word, 1 no white space, 2 other."""
+        self.keys, self.start, self.count = (_room(x, self.size + len(keys)) for x in (self.keys, self.start, self.count))
+        piece = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        start, count = self.start[self.size:self.size + len(keys)], self.count[self.size:self.size + len(keys)]
         for k, encode in ((0, lambda g: self._joined(g, "", self.opens)), (1, lambda g: self._joined(g, "\n", self.feed)),
                           (2, self._alone)):
             at = np.flatnonzero(kind == k)
             if len(at):
                 ids, n = encode([pieces[i] for i in at.tolist()])
                 count[at] = n
-                start[at] = np.cumsum(n) - n + len(self.flat)
-                self.flat = np.concatenate([self.flat, ids])
-        piece = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
-        self.keys = np.concatenate([self.keys, keys])
-        self.start = np.concatenate([self.start, start.astype(np.int32)])
-        self.count = np.concatenate([self.count, count.astype(np.int32)])
+                start[at] = np.cumsum(n) - n + self.used
+                self.flat = _room(self.flat, self.used + len(ids))
+                self.flat[self.used:self.used + len(ids)] = ids
+                self.used += len(ids)
+        self.keys[self.size:self.size + len(keys)] = keys
+        self.size += len(keys)
         place = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         free = self.slot[place] < 0
         self.slot[place[free]] = piece[free]
-        late = np.flatnonzero(self.slot[place] != piece)
-        both, of = np.concatenate([self.other_keys, keys[late]]), np.concatenate([self.other, piece[late]])
-        order = np.argsort(both, kind="stable")
-        self.other_keys, self.other = both[order], of[order]
+        late = np.flatnonzero(self.slot[place] != piece)  # keys come sorted
+        at = np.searchsorted(self.other_keys, keys[late])
+        self.other_keys, self.other = np.insert(self.other_keys, at, keys[late]), np.insert(self.other, at, piece[late])
 
     def _find(self, names: np.ndarray) -> np.ndarray:
         """Cached piece of each hash, -1 for unknown ones."""
-        if not len(self.keys):
-            return np.full(len(names), -1, np.int32)
         piece = self.slot[(names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
         miss = np.flatnonzero((piece < 0) | (self.keys[piece] != names))
         piece[miss] = -1
@@ -206,8 +216,8 @@ class PieceTokenizer:
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for lo, hi, data, offsets in text_chunks(texts):
-            if len(self.keys) > CACHE_PIECES:
+        for lo, hi, data, offsets in text_chunks(texts, CHUNK):
+            if self.size > CACHE_PIECES:
                 self._empty()
             raw = data.tobytes()
             starts, solid = cut_points(data, offsets)
@@ -222,7 +232,7 @@ class PieceTokenizer:
                 white = np.concatenate(([0], np.cumsum(~solid)))
                 white = white[last] - white[first]
                 kind = np.where((white == 1) & (data[first] == 32) & (last - first > 1), 0, np.where(white == 0, 1, 2))
-                had = len(self.keys)
+                had = self.size
                 self._learn(keys, [raw[a:b].decode("utf-8", "replace")
                                    for a, b in zip(first.tolist(), last.tolist(), strict=True)], kind)
                 piece[unknown] = had + back
