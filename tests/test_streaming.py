@@ -17,11 +17,11 @@ def test_two_runs_equal_one(spark):
     root = scratch_path(spark, "stream-test")
     landing, output, ckpt = f"{root}/landing", f"{root}/out", f"{root}/ckpt"
     first = F.abs(F.hash("name")) % 3 == 0
-    INC.land(s.where(first), landing, files=3)
+    INC.land(s.where(first), landing, records_per_file=5)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=1)
     batches_1 = spark.read.parquet(output).select("batch").distinct().count()
     # a "restart": same checkpoint, new files landed meanwhile
-    INC.land(s.where(~first), landing, files=3)
+    INC.land(s.where(~first), landing, records_per_file=5)
     INC.run_incremental_enrich(spark, landing, output, ckpt, s.schema, pk, fl, rc, files_per_batch=1)
     batches_2 = spark.read.parquet(output).select("batch").distinct().count()
     assert batches_1 >= 1 and batches_2 > batches_1
