@@ -85,7 +85,7 @@ STD_COLS = O.cols_of(STD, O.STD_KINDS)
 # --- E17 / D5: mean delay by key -----------------------------------------------
 def _mean_by_sql(key, kind, src="proc"):
     return sql([src], out([(key, kind), ("mean_delay", "d")],
-                          f'(SELECT "{key}", avg("Min Delay") AS mean_delay FROM {src} '
+                          f'(SELECT "{key}", round(avg("Min Delay"), 9) AS mean_delay FROM {src} '
                           f'WHERE "{key}" IS NOT NULL GROUP BY 1)'))
 
 
@@ -111,7 +111,7 @@ _DAYS = ", ".join(f"('{d}', {i})" for i, d in enumerate(
 
 @register("reindex_days", sql(["proc"], out([("DayName", "s"), ("mean_delay", "d")],
           f'(SELECT d."DayName", m.mean_delay FROM (VALUES {_DAYS}) d("DayName", o) LEFT JOIN '
-          f'(SELECT "DayName", avg("Min Delay") AS mean_delay FROM proc WHERE "DayName" IS NOT NULL '
+          f'(SELECT "DayName", round(avg("Min Delay"), 9) AS mean_delay FROM proc WHERE "DayName" IS NOT NULL '
           f'GROUP BY 1) m ON d."DayName" = m."DayName")')))
 def q_reindex_days(spark, sf):
     """D5 (+E17): mean delay Monday..Sunday; absent days NULL."""
