@@ -6,12 +6,17 @@ at the price of a few steps, so a small edit distance becomes a small Hamming di
 words.  All windows of a chunk of documents walk at once (one gather and one addition a step).
 
 Hashing.  A key is a fixed choice of steps of the walk (``SAMPLES``); several choices repeat the
-trial.  Every item is cut into windows at all its offsets, so an item of m words gets about
-``len(SAMPLES) * (m - WINDOW + 1)`` trials; a copy with a fifth of its words edited leaves many
-windows untouched where an untouched window collides in every sample.  Measured recall of copies with
-the largest allowed number of random edits is tested to be at least ``TARGET_RECALL``.
+trial.  Every item of ``LONG`` words or more is cut into windows at all its offsets, so an item of m words
+gets about ``len(SAMPLES) * (m - WINDOW + 1)`` trials; a copy with a fifth of its words edited leaves many
+windows untouched where an untouched window collides in every sample.
 
-Verification.  Colliding windows must agree in ``MIN_AGREE`` of all steps of the walk; what is left is aligned
+Shorter items have too few such windows.  They are cut into one piece more than they may have edits, so
+every allowed copy holds a piece word for word (pigeonholes), and the key is that run of words: nothing is lost.
+Recall of copies with the largest allowed number of random edits is tested at each item length to be at
+least ``TARGET_RECALL``.
+
+Verification.  Colliding windows must agree in ``MIN_AGREE`` of all steps of the walk; the text around a
+colliding piece must hold as many of the item's words as an allowed copy keeps.  What is left is aligned
 exactly: the item against the item-sized stretch of the document around the window (bit-parallel
 dynamic programming, free ends in the document).  A match has an edit distance in words of at most
 ``1 - SIMILARITY`` of the item's words.
@@ -43,8 +48,8 @@ TARGET_RECALL = 0.98
 STEPS = 24
 SAMPLES = [(0, 4, 8, 12), (1, 7, 13, 19), (2, 8, 14, 20), (0, 6, 12, 18), (3, 9, 16, 23), (0, 3, 6, 9)]
 WINDOW = 13           # the first sample never leaves this many words
+LONG = 24             # items of fewer words are searched by pieces
 SHORT = 5             # items of fewer words must match exactly
-SHORT_SAMPLE = (0, 2, 4)  # for items of SHORT to WINDOW - 1 words
 MIN_AGREE = 0.35      # of the steps that an item's window makes inside the item
 BLOCK_ITEMS = 5000
 _BITS = 20            # of the first look-up table
@@ -82,10 +87,22 @@ def _key(written: dict[int, np.ndarray], sample: tuple[int, ...]) -> np.ndarray:
     return mix64(k)
 
 
+def run_keys(names: np.ndarray, at: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
+    """Keys of the runs of so many words that start at ``at``; a run over a stop has no item's key."""
+    out, k = {}, np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(max(lengths, default=0)):
+            k = (k + names[np.minimum(at + j, len(names) - 1)]) * _FACTORS[j]
+            if j + 1 in lengths:
+                out[j + 1] = mix64(k)
+    return out
+
+
 @dataclass
 class Table:
-    """Keys of one sample: sorted, with the item windows that have them."""
+    """Keys of one sample (or, without one, of runs of ``run`` words): sorted, with the item windows that have them."""
     sample: tuple[int, ...]
+    run: int
     keys: np.ndarray
     window: np.ndarray
     first: np.ndarray  # whether the top bits of a key occur
@@ -123,46 +140,78 @@ class Items:
                 masks[x] = masks.get(x, 0) | 1 << i
 
     def _windows(self) -> None:
-        item, offset = [], []
-        for i, n in enumerate(self.size.tolist()):
-            many = n - min(n, WINDOW if n >= WINDOW else SHORT if n >= SHORT else n) + 1
-            item += [i] * many
-            offset += range(many)
-        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
+        item, offset, run = [], [], []
+        for i, (n, most) in enumerate(zip(self.size.tolist(), self.most.tolist(), strict=True)):
+            if n >= LONG:
+                at = list(range(n - WINDOW + 1))
+                run += [0] * len(at)
+            else:
+                pieces = min(most + 1, n)
+                cut = [n * k // pieces for k in range(pieces + 1)]
+                at = cut[:-1]
+                run += np.diff(cut).tolist()
+            item += [i] * len(at)
+            offset += at
+        self.item, self.offset, run = (np.array(x, np.int64) for x in (item, offset, run))
         names = np.concatenate([np.append(w, _U(0)) for w in self.words]) if self.words else np.zeros(1, np.uint64)
         base = np.concatenate(([0], np.cumsum(self.size + 1)[:-1])) if self.words else np.zeros(0, np.int64)
         start = base[self.item] + self.offset if len(item) else np.zeros(0, np.int64)
         written = walk(names, start, set(range(STEPS)))
         self.embedded = np.stack([written[j] for j in range(STEPS)], axis=1) if len(item) else np.zeros((0, STEPS), np.uint64)
-        size = self.size[self.item] if len(item) else np.zeros(0, np.int64)
+        self.short = np.zeros((len(self.words), LONG - 1), np.uint64)  # words of the items that are searched by pieces
+        for i in np.flatnonzero(self.size < LONG).tolist():
+            self.short[i, :self.size[i]] = self.words[i]
         self.tables = []
-        for sample, of in [*((s, size >= WINDOW) for s in SAMPLES), (SHORT_SAMPLE, (size >= SHORT) & (size < WINDOW)),
-                           ((0,), size < SHORT)]:
+        for sample in SAMPLES:
             # a walk that has left the item cannot collide
-            use = np.flatnonzero(of & (written[sample[-1]] != 0)) if len(item) else np.zeros(0, np.int64)
-            if len(use):
-                keys = _key({j: written[j][use] for j in sample}, sample)
-                order = np.argsort(keys, kind="stable")
-                first = np.zeros(1 << _BITS, bool)
-                first[(keys >> _U(64 - _BITS)).astype(np.int64)] = True
-                self.tables.append(Table(sample, keys[order], use[order], first))
+            use = np.flatnonzero((run == 0) & (written[sample[-1]] != 0)) if len(item) else np.zeros(0, np.int64)
+            self._add(sample, 0, use, _key({j: written[j][use] for j in sample}, sample))
+        for n in sorted(set(run.tolist()) - {0}):
+            use = np.flatnonzero(run == n)
+            self._add((), n, use, run_keys(names, start[use], {n})[n])
+
+    def _add(self, sample: tuple[int, ...], run: int, use: np.ndarray, keys: np.ndarray) -> None:
+        if len(use):
+            order = np.argsort(keys, kind="stable")
+            first = np.zeros(1 << _BITS, bool)
+            first[(keys >> _U(64 - _BITS)).astype(np.int64)] = True
+            self.tables.append(Table(sample, run, keys[order], use[order], first))
+
+    def _agree(self, names: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Whether the walks from ``at`` agree with those of the windows in enough steps."""
+        own = walk(names, at, set(range(STEPS)))
+        theirs = self.embedded[window]
+        same = sum((own[j] == theirs[:, j]) & (theirs[:, j] != 0) for j in range(STEPS))
+        return same >= MIN_AGREE * (theirs != 0).sum(axis=1)
+
+    def _hold(self, names: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Whether the text that a copy with a piece at ``at`` can cover holds the words that the copy must keep."""
+        item = self.item[window]
+        size, most = self.size[item], self.most[item]
+        span = np.arange((size + 2 * most).max())
+        places = (at - self.offset[window] - most)[:, None] + span
+        text = np.where(span < (size + 2 * most)[:, None], names[np.clip(places, 0, len(names) - 1)], _U(0))
+        held = np.zeros(len(at), np.int64)
+        for j in range(size.max()):
+            word = self.short[item, j]
+            held += (word != 0) & (text == word[:, None]).any(axis=1)
+        return held >= size - most
 
     def candidates(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place in ``names`` where it should start) of windows that pass both hash tests."""
+        """(item, place in ``names`` where it should start) of windows and pieces that pass both tests."""
         if not len(names) or not self.tables:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places = np.arange(len(names))
         steps = {j for t in self.tables for j in t.sample}
-        written = walk(names, np.arange(len(names)), steps)
+        written = walk(names, places, steps) if steps else {}
+        runs = run_keys(names, places, {t.run for t in self.tables if t.run})
         found = []
         for t in self.tables:
-            at, window = t.lookup(_key({j: written[j] for j in t.sample}, t.sample))
-            for lo in range(0, len(at), 200_000):
-                a, w = at[lo:lo + 200_000], window[lo:lo + 200_000]
-                own = walk(names, a, set(range(STEPS)))
-                theirs = self.embedded[w]
-                same = sum((own[j] == theirs[:, j]) & (theirs[:, j] != 0) for j in range(STEPS))
-                inside = (theirs != 0).sum(axis=1)
-                ok = same >= MIN_AGREE * inside
+            at, window = t.lookup(runs[t.run] if t.run else _key({j: written[j] for j in t.sample}, t.sample))
+            much = 20_000 if t.run else 200_000
+            for lo in range(0, len(at), much):
+                a, w = at[lo:lo + much], window[lo:lo + much]
+                ok = self._hold(names, a, w) if t.run else self._agree(names, a, w)
                 found.append(np.stack([self.item[w[ok]], a[ok] - self.offset[w[ok]]], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         if not len(pairs):

@@ -58,6 +58,19 @@ def test_recall_and_distance_of_edited_copies(bench, vocabulary):
     assert found / total >= D.TARGET_RECALL
 
 
+@pytest.mark.parametrize("size", [*range(5, 31), 39, 59])
+def test_recall_of_each_item_length(size, vocabulary):
+    rnd, many = random.Random(size), 150
+    words = [[rnd.choice(vocabulary) for _ in range(size)] for _ in range(many)]
+    items = D.Items(list(range(many)), [" ".join(w) for w in words])
+    docs = [" ".join([rnd.choice(vocabulary) for _ in range(rnd.randrange(30))] + edited(rnd, w, size // 5, vocabulary)
+                     + [rnd.choice(vocabulary) for _ in range(rnd.randrange(30))]) for w in words]
+    got = {m[:2]: m[2] for m in D.search(items, pa.array(docs))}
+    found = [i for i in range(many) if (i, i) in got]
+    assert all(got[i, i] == distance(words[i], docs[i].split()) for i in found)
+    assert len(found) / many >= (1 if size < 24 else D.TARGET_RECALL)
+
+
 def test_exact_copies_are_always_found_and_others_never(bench, vocabulary):
     rnd = random.Random(3)
     texts = [t for _, t in bench] + ["alpha beta gamma", "one", "p q r s t u v", " ", None]
