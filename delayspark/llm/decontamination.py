@@ -197,10 +197,12 @@ class Items:
             held += (word != 0) & (text == word[:, None]).any(axis=1)
         return held >= size - most
 
-    def candidates(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place in ``names`` where it should start) of windows and pieces that pass both tests."""
+    def candidates(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, row, place in ``names`` where it should start) of windows and pieces that pass both tests.
+
+        The row is that of the colliding word: a copy without its first words should start before its row."""
         if not len(names) or not self.tables:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         places = np.arange(len(names))
         steps = {j for t in self.tables for j in t.sample}
         written = walk(names, places, steps) if steps else {}
@@ -212,14 +214,16 @@ class Items:
             for lo in range(0, len(at), much):
                 a, w = at[lo:lo + much], window[lo:lo + much]
                 ok = self._hold(names, a, w) if t.run else self._agree(names, a, w)
-                found.append(np.stack([self.item[w[ok]], a[ok] - self.offset[w[ok]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        if not len(pairs):
-            return pairs[:, 0], pairs[:, 1]
-        # starts of one item within its slack are verified together
-        slack = np.maximum(1, self.most[pairs[:, 0]])
-        pairs = pairs[np.unique(np.stack([pairs[:, 0], pairs[:, 1] // slack], axis=1), axis=0, return_index=True)[1]]
-        return pairs[:, 0], pairs[:, 1]
+                a, w = a[ok], w[ok]
+                row = np.searchsorted(first, a, "right") - 1
+                found.append(np.stack([self.item[w], row, a - self.offset[w]], axis=1))
+        got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        if len(got):
+            # starts of one item in one row within its slack are verified together
+            slack = np.maximum(1, self.most[got[:, 0]])
+            near = np.stack([got[:, 0], got[:, 1], got[:, 2] // slack], axis=1)
+            got = got[np.unique(near, axis=0, return_index=True)[1]]
+        return got[:, 0], got[:, 1], got[:, 2]
 
     def align(self, item: int, words: list[int], start: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(distance, first word, words) of the best alignment of the item near ``start`` in
@@ -264,22 +268,16 @@ def search(items: Items, col: pa.Array) -> Iterator[tuple[int, int, int, int, in
     """(row, item, distance, first word, words) of the best match of each item in each row."""
     for lo, _, data, offsets in text_chunks(pc.utf8_lower(col)):
         names, first = word_names(data, offsets)
-        item, start = items.candidates(names)
-        if not len(item):
-            continue
-        row = np.searchsorted(first, np.clip(start, 0, len(names) - 1), "right") - 1
+        item, row, start = items.candidates(names, first)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         words: dict[int, list[int]] = {}
-        for i, s, r in zip(item.tolist(), start.tolist(), row.tolist(), strict=True):
-            for r2 in {r, min(r + 1, len(offsets) - 2)}:  # a start may lie just before its row
-                a, b = int(first[r2]), int(first[r2 + 1]) - 1
-                if s < a - 2 * items.most[i] - 1 or s >= b:
-                    continue
-                if r2 not in words:
-                    words[r2] = names[a:b].tolist()
-                got = items.align(i, words[r2], s - a, 0, b - a)
-                if got and got < best.get((r2, i), (1 << 30, 0, 0)):
-                    best[r2, i] = got
+        for i, r, s in zip(item.tolist(), row.tolist(), start.tolist(), strict=True):
+            a, b = int(first[r]), int(first[r + 1]) - 1
+            if r not in words:
+                words[r] = names[a:b].tolist()
+            got = items.align(i, words[r], s - a, 0, b - a)
+            if got and got < best.get((r, i), (1 << 30, 0, 0)):
+                best[r, i] = got
         for (r, i), (d, s, n) in sorted(best.items()):
             yield lo + r, i, d, s, n
 

@@ -71,6 +71,16 @@ def test_recall_of_each_item_length(size, vocabulary):
     assert len(found) / many >= (1 if size < 24 else D.TARGET_RECALL)
 
 
+@pytest.mark.parametrize("size", [10, 15, 20, 30, 59])
+@pytest.mark.parametrize("before", [[], ["", None, "", "", None, "", "", "", "", "", "", "", ""], ["a b"] * 5, ["x " * 40]])
+def test_copies_without_their_first_words_whatever_stands_before(size, before):
+    words = [f"w{i}" for i in range(size)]
+    items, most = D.Items([1], [" ".join(words)]), size // 5
+    for cut in range(1, most + 1):
+        docs = [*before, " ".join(words[cut:]), "", "y z"]
+        assert list(D.search(items, pa.array(docs))) == [(len(before), 0, cut, 0, size - cut)]
+
+
 def test_exact_copies_are_always_found_and_others_never(bench, vocabulary):
     rnd = random.Random(3)
     texts = [t for _, t in bench] + ["alpha beta gamma", "one", "p q r s t u v", " ", None]
