@@ -249,7 +249,7 @@ def _settle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows if held is None else np.concatenate([held, rows])
         if not len(rows):
             continue
-        cut = int(np.searchsorted(rows[:, 0] != rows[-1, 0], False)) if rows[0, 0] != rows[-1, 0] else 0
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # rows come sorted
         held = rows[cut:]
         if cut:
             yield _batch(list(settle(rows[:cut]).T), ["key", "packed"])

@@ -47,6 +47,26 @@ def test_odd_texts_match_brute_force(spark, monkeypatch, flush):
     assert Counter(map(tuple, S.remove_repeats(df).collect())) == brute(docs)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_groups_are_settled_before_the_last_batch(size):
+    rnd = np.random.default_rng(1)
+    near = np.sort(rnd.integers(-2**62, 2**62, 60)[rnd.integers(0, 60, 300)])
+    whole = rnd.integers(0, 3, 300)
+    order = np.lexsort((whole, near))
+    rows = np.stack([near, whole[order], np.arange(300), S._pack(np.arange(300), 0, S.SINGLE, 0)], axis=1)
+    got = []
+
+    def batches():
+        for lo in range(0, 300, size):
+            if lo:  # all groups but the one that the rows so far end in
+                assert len(got) == len(S.settle(rows[:lo][near[:lo] < near[lo - 1]]))
+            yield S._batch(list(rows[lo:lo + size].T), ["near", "whole", "key", "packed"])
+
+    for batch in S._settle_task(batches()):
+        got += [tuple(r.values()) for r in batch.to_pylist()]
+    assert Counter(got) == Counter(map(tuple, S.settle(rows).tolist())) and got
+
+
 def test_documents_match_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([tuple(r) for r in df.select("doc_id", "text").collect()])
