@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontamination, language_id, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
+from . import decontamination, language_id, merkle, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -118,3 +118,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules, near-dedup, decontamination, mixing and token-id output over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op11_merkle_manifest", SQL.OP11)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; where 3 divides the id's crc32 the text is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(merkle.lower_az(F.col("text"))))
+    leaves = docs.select(merkle.tree_key(F.col("lang")).alias("tree"), F.col("doc_id").alias("id"),
+                         leaf(F.col("text")).alias("digest"), tampered.alias("tampered"))
+    return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")

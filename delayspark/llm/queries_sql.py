@@ -141,3 +141,66 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IS NOT NULL THEN {_SAID.format('rule')} WHEN allow THEN 'allow' WHEN block THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allow OR block THEN 'alias' ELSE 'default' END AS reason
 FROM u2 LEFT JOIN roots ON node = a LEFT JOIN fc ON coalesce(root, node) = c"""
+
+
+# --- op11 ---------------------------------------------------------------------------------------
+def _crc32(digits: str) -> str:
+    """Unsigned CRC-32 (polynomial 0xEDB88320) of an ASCII string, bit by bit."""
+    def shifted(x: str) -> str:
+        return f"xor({x} >> 1, ({x} & 1) * 3988292384)"
+
+    byte = "xor(a, b)"
+    for k in range(8):
+        byte = f"list_transform([{byte}], lambda x{k}: {shifted(f'x{k}')})[1]"
+    ords = f"list_transform(string_split({digits}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {ords}), lambda a, b: {byte}), 4294967295)"
+
+
+def _hashed(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+
+def _tree_ctes(name: str, src: str, levels: int) -> str:
+    """Levels of the trees of ``src`` (tree, i, n, h): nodes ``{name}0..`` and runs ``{name}r0..``; a root stays as it is."""
+    out = [f"{name}0 AS (SELECT tree, i, n, h FROM {src})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT tree, i // 8 AS r, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY tree, i // 8)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, r AS i, CASE WHEN n = 1 THEN 1 ELSE (n + 7) // 8 END AS n, "
+                   f"CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+    return ",\n".join(out)
+
+
+def _path_ctes(name: str, runs: str, src: str, levels: int, tree: str, at: str) -> str:
+    """Rows of ``src`` carried up the tree ``tree`` from place ``at``: the proof so far and the digest folded so far."""
+    out = [f"{name}0 AS (SELECT * FROM {src})"]
+    for k in range(levels):
+        own = f"(({at} // {8 ** k}) % 8)"
+        left = f"array_to_string(hs[1:{own}], '')"
+        right = f"array_to_string(hs[{own} + 2:], '')"
+        out.append(f"{name}{k + 1} AS (SELECT p.* EXCLUDE (proof, folded), "
+                   f"CASE WHEN r.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof, "
+                   f"CASE WHEN r.n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded "
+                   f"FROM {name}{k} p JOIN {runs}r{k} r ON r.tree = {tree} AND r.r = {at} // {8 ** (k + 1)})")
+    return ",\n".join(out)
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LEVELS, _TOP = 7, 3  # up to 8**7 documents of a language, 8**3 languages
+_HEAD = " || ".join(_hashed(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+OP11 = f"""WITH md AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree,
+  sha256({_HEAD} || {_hashed('text')}) AS leaf,
+  CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0
+       THEN sha256({_HEAD} || {_hashed(f"translate(text, '{_AZ}', '{_AZ.lower()}')")}) END AS tampered FROM documents),
+ml AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY tree) AS n FROM md),
+mb AS (SELECT tree, i, n, leaf AS h FROM ml),
+{_tree_ctes('a', 'mb', _LEVELS)},
+ms AS (SELECT tree AS lang_tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM a{_LEVELS}),
+mt AS (SELECT '' AS tree, i, n, subroot AS h FROM ms),
+{_tree_ctes('b', 'mt', _TOP)},
+mp AS (SELECT ml.doc_id, ml.tree, ml.i, ml.leaf, ms.subroot, ms.i AS j, '' AS proof, coalesce(tampered, leaf) AS folded
+       FROM ml JOIN ms ON ms.lang_tree = ml.tree),
+{_path_ctes('c', 'a', 'mp', _LEVELS, 'p.tree', 'p.i')},
+{_path_ctes('d', 'b', f'c{_LEVELS}', _TOP, "''", 'p.j')}
+SELECT doc_id, leaf, subroot, (SELECT h FROM b{_TOP}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = (SELECT h FROM b{_TOP}) AS verified FROM d{_TOP}"""
