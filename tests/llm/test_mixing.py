@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from delayspark.llm import mixing as M
+from delayspark.llm.common import written
 
 
 def water_fill(sizes, weights, share, cap):
@@ -28,7 +29,7 @@ def corpus(spark, n=3000, seed=1):
 
 
 def test_targets_are_capped_shares_and_are_met(spark):
-    plan = M.plan_mix(corpus(spark), [5, 2, 1]).cache()
+    plan = written(M.plan_mix(corpus(spark), [5, 2, 1]), "test-plan")
     per = {r["source"]: r for r in plan.groupBy("source").agg(
         F.sum("size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
     order = sorted((s for s in per if s is not None)) + [None]

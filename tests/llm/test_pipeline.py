@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from delayspark.llm import quality_rules as Q
 from delayspark.llm import token_ids as K
+from delayspark.llm.common import written
 from tests.llm.conftest import words
 from tests.llm.test_decontamination import distance
 from tests.llm.test_mixing import water_fill
@@ -46,7 +47,7 @@ def test_stages_match_plain_python(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     at = {}
     for name, stage in C.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path)).localCheckpoint()
+        docs = written(stage(spark, docs, str(tmp_path)), "test-stage")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         at[name] = docs.collect()
     verdict = {r["doc_id"]: r["kept"] for r in Q.score(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}

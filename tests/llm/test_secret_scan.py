@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delayspark.llm import secret_scan as X
+from delayspark.llm.common import written
 
 
 def corpus(spark, n=300):
@@ -26,8 +27,8 @@ def corpus(spark, n=300):
 
 def test_forest_separates_findings_it_was_not_trained_on(spark):
     docs, truth = corpus(spark)
-    found = X.candidates(docs).localCheckpoint()
-    rows = X.rule_labels(X.features(found, X.dictionary(docs))).localCheckpoint()
+    found = written(X.candidates(docs), "test-found")
+    rows = written(X.rule_labels(X.features(found, X.dictionary(docs))), "test-rows")
     model = X.fit(rows.withColumn("label", F.when(F.col("doc_id") % 3 != 0, F.col("label"))))
     got = X.score(rows.where("doc_id % 3 = 0"), model).collect()
     right = sum(r["secret"] == truth[r["doc_id"]] for r in got)
