@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontamination, language_id, merkle, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
+from . import decontamination, language_id, lexical_search, merkle, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -129,3 +129,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = docs.select(merkle.tree_key(F.col("lang")).alias("tree"), F.col("doc_id").alias("id"),
                          leaf(F.col("text")).alias("digest"), tampered.alias("tampered"))
     return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
+@register("op12_lexical_search", SQL.OP12)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)

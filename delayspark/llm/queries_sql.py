@@ -204,3 +204,21 @@ mp AS (SELECT ml.doc_id, ml.tree, ml.i, ml.leaf, ms.subroot, ms.i AS j, '' AS pr
 {_path_ctes('d', 'b', f'c{_LEVELS}', _TOP, "''", 'p.j')}
 SELECT doc_id, leaf, subroot, (SELECT h FROM b{_TOP}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
   folded = (SELECT h FROM b{_TOP}) AS verified FROM d{_TOP}"""
+
+
+# --- op12 ---------------------------------------------------------------------------------------
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all(translate(text, '{_AZ}', '{_AZ.lower()}'), '{_TERM}')"
+OP12 = f"""WITH st AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+sd AS (SELECT *, CAST(len(ts) AS BIGINT) AS n FROM st WHERE len(ts) > 0),
+sn AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sd),
+si AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+sq AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT dense_rank() OVER (ORDER BY item_id) AS q, item_id, term FROM si) GROUP BY q, item_id, term),
+sf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM sd) WHERE term IN (SELECT term FROM sq) GROUP BY rid, term),
+sw AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+       FROM (SELECT term, count(*) AS df FROM sf GROUP BY term), sn),
+sv AS (SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))) AS v
+       FROM sf JOIN sw USING (term) JOIN sd USING (rid), sn),
+ss AS (SELECT q, item_id, rid, CAST(sum(c * v) AS BIGINT) AS score FROM sq JOIN sv USING (term) GROUP BY q, item_id, rid),
+sr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM ss JOIN sd USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM sr WHERE rank <= 20"""
