@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontamination, language_id, lexical_search, merkle, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, url_filter, warc
+from . import decontamination, language_id, lexical_search, merkle, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_ids, toxicity, url_filter, warc
 from . import queries_sql as SQL
 from .common import scratch_path, ship, table, written
 
@@ -135,3 +135,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+@register("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and toxic spans of every document, learned from the labels that are not held out."""
+    held = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held())
+    field = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held()))
+    return toxicity.score(docs, field, keep=["doc_id", "held_out"])

@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = [n.split("_")[0] for n in L.QUERIES if n.startswith("op")]
-    assert sorted(numbers) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in L.QUERIES
+    assert sorted(numbers) == sorted(f"op{k}" for k in range(1, 14)) and "pipeline" in L.QUERIES
     assert L.ORACLE.get("pipeline") == corpus_pipeline.ORACLE_SQL
 
 
