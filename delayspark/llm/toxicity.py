@@ -9,11 +9,11 @@ Labels of documents become labels of words: a word form or beginning counts in h
 and clean sample texts it occurs (G2), and the words of a toxic text whose best form reaches ``NEAR`` of the text's
 strongest are labelled toxic; what a longer text shares with it by chance stays below that.  All words of clean texts
 are labelled other.  The field is fitted on segments of ``SEGMENT`` words: those of clean texts, and of toxic texts those
-with a labelled word.  A document's score is a logistic function of its greatest marginal and of the expected number
-of toxic words, fitted on the sample.
+with a labelled word; then once more with the clean segments that this field finds most toxic.  A document's score is
+a logistic function of its greatest marginal and of the expected number of toxic words, fitted on the sample.
 
 Bounded, documented samples: at most ``MAX_FIT`` labelled ids of each label (smallest seeded hashes), ``MAX_SEGMENTS``
-different segments of each kind and ``MAX_CALIBRATE`` scored texts of each label.  These, and at most ``PLACES``
+different segments of each kind and choice and ``MAX_CALIBRATE`` scored texts of each label.  These, and at most ``PLACES``
 counts, are what reaches the driver.  Scoring is one scan of whole texts without a shuffle.
 
 Defined results: null, empty and word-free texts have the score of no toxic word and no span; without
@@ -340,30 +340,36 @@ def label_words(feats: np.ndarray, first: np.ndarray, forms: np.ndarray, toxic:
     return ((toxic[row] == 1) & (strength > 0) & (strength >= NEAR * top[row])).astype(np.int8)
 
 
-def segments(train: DataFrame, forms: dict[int, float], limit: int = MAX_SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` different segments of each kind: clean texts', and toxic texts' with a toxic word."""
+def segments(train: DataFrame, forms: dict[int, float], field: Field | None = None, limit: int = MAX_SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``limit`` different segments of each kind: clean texts', and toxic texts' with a toxic word.
+
+    They are chosen by a seeded hash; with a ``field``, only clean texts' segments are, those that it finds most toxic."""
     table = np.zeros(PLACES + 1)
     for place, g in forms.items():
         table[place] = g
-    shared = train.sparkSession.sparkContext.broadcast(table)
+    shared = train.sparkSession.sparkContext.broadcast((table, field))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, field = shared.value
         held: list[dict[int, tuple[bytes, bytes]]] = [{}, {}]
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
             for lo, hi, _, first, feats in chunks(batch.column("t")):
                 if not len(feats):
                     continue
-                marks = label_words(feats, first, shared.value, toxic[lo:hi])
+                marks = label_words(feats, first, table, toxic[lo:hi])
                 within = np.arange(len(feats)) - np.repeat(first[:-1], np.diff(first))
                 a = np.flatnonzero(within % SEGMENT == 0)
                 b = np.append(a[1:], len(feats))
                 with np.errstate(over="ignore"):
                     named = mix64(feats[:, 0].astype(np.uint64) * _SALT[11] + within.astype(np.uint64) % np.uint64(SEGMENT) * _SALT[12])
                     order = mix64(np.add.reduceat(named, a)).astype(np.int64)
+                if field is not None:
+                    least = np.maximum.reduceat(field.marginals(feats, first[:-1]), a)
+                    order = ((1 - least) * 2**20).astype(np.int64) << 42 | order & (2**42 - 1)
                 kind = toxic[lo:hi][np.repeat(np.arange(hi - lo), np.diff(first))[a]]
                 any_toxic = np.add.reduceat(marks, a, dtype=np.int64) > 0
-                for k in (0, 1):
+                for k in (0, 1) if field is None else (0,):
                     at = np.flatnonzero((kind == k) & (any_toxic if k else True))
                     at = at[np.argsort(order[at], kind="stable")[:limit]]
                     for s in at:
@@ -445,6 +451,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not (marks == 1).any() or not (marks == 0).any():
         return None
     field = fit_field(feats, marks)
+    more = segments(rows, forms, field)
+    field = fit_field(np.concatenate([feats, more[0]]), np.concatenate([marks, more[1]]))
     seen = figures(rows, field, [F.col("toxic")], F.col("t"), spans=False)
     by = F.xxhash64(F.lit(SEED), "greatest", "expected")
     seen = written(seen.withColumn("__by", by), "toxic-seen")
