@@ -70,9 +70,9 @@ CODE_BLOCK = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 
 
 def visible_text(col) -> Column:
-    """Rendered text of a page: scripts and styles dropped, a line break at
+    """Rendered text of a page: comments, scripts and styles dropped, a line break at
     every block element, other tags removed, entities decoded."""
-    no_code = F.regexp_replace(_c(col), CODE_BLOCK, "")
+    no_code = F.regexp_replace(F.regexp_replace(_c(col), COMMENT, ""), CODE_BLOCK, "")
     lines = F.regexp_replace(no_code, BLOCK_TAG, "\n")
     return decode_entities(F.regexp_replace(lines, TAG, ""))
 

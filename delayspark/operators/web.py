@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import markup as M
 from ..session import cut_lineage
 from ..schema import (CARD_LABELS, FIRST_PERCENT, GRADE, LAST_REFRESHED, OVERALL_LABEL, PERCENT_AFTER,
                       QUALITY_LABELS)
@@ -69,17 +70,11 @@ def download_links(pages: DataFrame, lenient: bool = False, key: str = "page_id"
 
 def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
                drop_empty_names: bool = False) -> DataFrame:
-    """(key, row, column_name, type, description) from the first table of
-    each page: rows after the header with at least two cells."""
-    table = F.regexp_extract(F.col(html), r"(?is)<table[^>]*>(.*?)</table>", 1)
-    rows = pages.select(F.col(key), F.posexplode(
-        F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "__tr"))
-    cells = rows.select(key, "row", F.regexp_extract_all(
-        F.col("__tr"), F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("__td"))
-    cell = lambda i: F.when(F.size("__td") > i, H.text_of(F.col("__td")[i])).otherwise(F.lit(""))
-    out = cells.where((F.col("row") > 0) & (F.size("__td") >= 2)).select(
-        key, F.col("row").cast("int").alias("row"), cell(0).alias("column_name"), cell(1).alias("type"),
-        cell(2).alias("description"))
+    """(key, row, column_name, type, description) from the first table of each page, as a parser sees it: rows after
+    the header with at least two cells (:func:`..functions.markup.table_rows`)."""
+    rows = pages.select(F.col(key), F.explode(M.table_rows(F.col(html))).alias("__r"))
+    cell = lambda i: F.coalesce(F.get("__r.c", F.lit(i)), F.lit(""))
+    out = rows.select(key, "__r.row", cell(0).alias("column_name"), cell(1).alias("type"), cell(2).alias("description"))
     if drop_empty_names:
         out = out.where(F.col("column_name") != "")
     return out
@@ -88,12 +83,9 @@ def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html",
 def table_row_array(html):
     """J4 inside a row: array<struct<row, column_name, type, description>> of the first table's rows
     after the header with at least two cells and a name."""
-    table = F.regexp_extract(html, r"(?is)<table[^>]*>(.*?)</table>", 1)
-    cells = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda tr, i: F.struct(
-        i.alias("row"), F.transform(F.regexp_extract_all(tr, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), H.text_of).alias("td")))
-    rows = F.transform(F.filter(cells, lambda x: (x["row"] > 0) & (F.size(x["td"]) >= 2)), lambda x: F.struct(
-        x["row"].alias("row"), x["td"][0].alias("column_name"), x["td"][1].alias("type"),
-        F.coalesce(F.get(x["td"], F.lit(2)), F.lit("")).alias("description")))
+    cell = lambda r, i: F.coalesce(F.get(r["c"], F.lit(i)), F.lit(""))
+    rows = F.transform(M.table_rows(html), lambda r: F.struct(
+        r["row"].alias("row"), cell(r, 0).alias("column_name"), cell(r, 1).alias("type"), cell(r, 2).alias("description")))
     return F.filter(rows, lambda x: x["column_name"] != "")
 
 
@@ -162,9 +154,10 @@ def catalogue_cards(pages: DataFrame, heading: str = "h3", key: str = "page_id",
     label up to the line end; missing values are ''.  With
     ``require_dataset_link`` only headings linking to ``/dataset/`` count."""
     h = heading
-    # split the page at every heading start; each piece after the first is a card
+    # split the page, without comments, at every heading start; each piece after the first is a card
+    shown = F.regexp_replace(F.col(html), H.COMMENT, "")
     pieces = pages.select(F.col(key), F.col(base).alias("__base"),
-                          F.posexplode(F.split(F.col(html), rf"(?i)<{h}")).alias("card", "__piece"))
+                          F.posexplode(F.split(shown, rf"(?i)<{h}\b")).alias("card", "__piece"))
     pieces = pieces.where(F.col("card") > 0).withColumn("__card", F.concat(F.lit(f"<{h}"), F.col("__piece")))
     head = F.regexp_extract(F.col("__card"), rf"(?is)<{h}[^>]*>(.*?)</{h}>", 1)
     attributes = F.regexp_extract(head, H.ANCHOR, 1)

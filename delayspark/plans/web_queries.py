@@ -72,10 +72,9 @@ def _contains_any(e: str, words) -> str:
     return "(" + " OR ".join(f"contains({e}, {q(w)})" for w in words) + ")"
 
 
-STRICT = f"(contains(lower(text), 'download') AND {_contains_any('lower(text)', H.STRICT_LINK_WORDS)})"
-LENIENT = (f"(coalesce(contains(lower(text), 'download') AND ({_contains_any('lower(text)', H.LENIENT_LINK_WORDS)} "
-           f"OR regexp_matches(text, '20\\d{{2}}')), false) OR contains(lower(href), '/resource/') OR "
-           f"{_contains_any('lower(href)', ['.' + e for e in H.DATA_EXTENSIONS])})")
+STRICT = "(regexp_matches(text, '(?i)download') AND regexp_matches(text, '(?i)xlsx|csv|json|xml|dataset'))"
+LENIENT = ("(coalesce(regexp_matches(text, '(?i)download') AND regexp_matches(text, '(?i)xlsx|csv|json|xml|dataset|format|kb|mb|20[0-9][0-9]'), false) "
+           "OR regexp_matches(href, '(?i)/resource/|[.](xlsx|csv|json|xml)'))")
 
 
 def _filename(t: str = "text", h: str = "href", exts=("xlsx", "csv", "json"), ends: str = "(?:dataset|in)",
@@ -166,8 +165,15 @@ def q_slug(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", "url", H.dataset_slug(F.col("url")).alias("dataset"))
 
 
-_PAGE_TEXT = _decode(f"regexp_replace(regexp_replace(regexp_replace(html, {q(H.CODE_BLOCK)}, '', 'g'), "
-                     f"{q(H.BLOCK_TAG)}, chr(10), 'g'), {q(H.TAG)}, '', 'g')")
+def _page_text(html: str) -> str:
+    """Comments, scripts and styles cut out, a line break for each tag of a block, other tags cut out."""
+    blocks = "br|p|div|li|tr|td|th|h1|h2|h3|h4|h5|h6|section|article|ul|ol|table|header|footer|nav|dt|dd"
+    no_code = f"regexp_replace({html}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
+    lines = f"regexp_replace({no_code}, '(?i)</?({blocks})([ \\t\\r\\n][^>]*)?/?>', chr(10), 'g')"
+    return _decode(f"regexp_replace({lines}, '<[^>]*>', '', 'g')")
+
+
+_PAGE_TEXT = _page_text("html")
 
 
 def _pct(label: str, ci: bool = True) -> str:
@@ -204,20 +210,34 @@ def q_quality_strict(spark, sf):
     return W.quality_metrics_strict(read_table(spark, sf, "pages"))
 
 
-_TD = "(?is)<td[^>]*>(.*?)</td>"
-
-
-def _cell(i: int) -> str:
-    return f"CASE WHEN len(tds) > {i} THEN {_text_of(f'tds[{i + 1}]')} ELSE '' END"
-
-
-@register("table_rows", f"""
-SELECT page_id, row, {_cell(0)} AS column_name, {_cell(1)} AS type, {_cell(2)} AS description FROM (
-  SELECT page_id, row, regexp_extract_all(tr, {q(_TD)}, 1) AS tds FROM (
-    SELECT page_id, unnest(trs) AS tr, CAST(generate_subscripts(trs, 1) - 1 AS BIGINT) AS row FROM (
-      SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<table[^>]*>(.*?)</table>', 1),
-                                         '(?is)<tr[^>]*>(.*?)</tr>', 1) AS trs FROM pages)))
-WHERE row > 0 AND len(tds) >= 2""")
+# J4 relationally: tags and texts of a page as numbered rows, each table an instance, a row and a cell from
+# its start to the next token of the instance that ends it.
+_TOKENS = r"""regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)</?[a-z][^>]*>|[^<]+')"""
+_ROW_END = "('tr', '/tr', 'tbody', '/tbody', 'thead', '/thead', 'tfoot', '/tfoot', 'caption', 'colgroup', '/table')"
+_CELL_TEXT = "coalesce((SELECT string_agg({0}, '' ORDER BY x.pos) FROM tx x WHERE x.page_id = c.page_id AND x.pos > c.pos AND x.pos < c.ends AND x.kind = ''), '')"
+TABLE_SQL = f"""
+tk AS (SELECT page_id, unnest({_TOKENS}) AS tok, generate_subscripts({_TOKENS}, 1) AS pos FROM pages WHERE regexp_matches(html, '(?i)<table')),
+tx AS (SELECT page_id, tok, pos, CASE WHEN starts_with(tok, '<') THEN lower(regexp_extract(tok, '^<(/?[A-Za-z0-9]+)', 1)) ELSE '' END AS kind FROM tk),
+td AS (SELECT *, sum(CASE kind WHEN 'table' THEN 1 WHEN '/table' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos)
+                 + CASE kind WHEN '/table' THEN 1 ELSE 0 END AS depth,
+       sum(CASE WHEN kind = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS opened FROM tx),
+tr AS (SELECT page_id, coalesce(min(pos) FILTER (kind = '/table' AND depth = 1 AND opened > 0), max(pos) + 1) AS root_end FROM td GROUP BY page_id),
+ti AS (SELECT d.*, r.root_end, max(CASE WHEN kind = 'table' THEN opened END) OVER (PARTITION BY d.page_id, depth ORDER BY pos) AS inst
+       FROM td d JOIN tr r ON r.page_id = d.page_id WHERE depth > 0 AND pos <= root_end),
+tc AS (SELECT *, lag(kind IN ('tr', 'td', 'th', '/td', '/th')) OVER (PARTITION BY page_id, inst ORDER BY pos) AS in_row
+       FROM ti WHERE kind IN ('table', 'td', 'th', '/td', '/th') OR kind IN {_ROW_END}),
+te AS (SELECT *, kind = 'tr' OR (kind IN ('td', 'th') AND NOT coalesce(in_row, false)) AS starts,
+       coalesce(min(CASE WHEN kind IN {_ROW_END} THEN pos END) OVER w, root_end) AS row_ends,
+       coalesce(min(pos) OVER w, root_end) AS ends FROM tc
+       WINDOW w AS (PARTITION BY page_id, inst ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+rw AS (SELECT page_id, pos, row_ends, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS row FROM te WHERE starts),
+cl AS (SELECT c.page_id, {_CELL_TEXT.format(_strip(_decode('x.tok')))} AS text, c.pos FROM te c WHERE c.kind = 'td'),
+rc AS (SELECT r.page_id, r.row, list(c.text ORDER BY c.pos) AS tds FROM rw r JOIN cl c ON c.page_id = r.page_id AND c.pos >= r.pos AND c.pos < r.row_ends
+       GROUP BY r.page_id, r.row)"""
+
+
+@register("table_rows", f"""WITH {TABLE_SQL}
+SELECT page_id, row, tds[1] AS column_name, tds[2] AS type, coalesce(tds[3], '') AS description FROM rc WHERE row > 0 AND len(tds) >= 2""")
 def q_table_rows(spark, sf):
     """Dictionary rows (name, type, description) from the first table of each page."""
     return W.table_rows(read_table(spark, sf, "pages"))
@@ -228,7 +248,7 @@ def _cards_sql(h: str) -> str:
     link = rf"regexp_extract({head}, '(?is)<a\s[^>]*href\s*=.*?</a>')"
     href = _HREF.format(link)
     para = f"regexp_extract(ctext, {q(r'(?is)<p(?:\s[^>]*)?>(.*?)</p>')}, 1)"
-    text = _PAGE_TEXT.replace("html", "ctext")
+    text = _page_text("ctext")
     labels = []
     for name, label in CARD_LABELS.items():
         pattern = q(label + r"\s*([^\n]*)")
@@ -239,7 +259,7 @@ SELECT page_id, card, CASE WHEN {link} <> '' THEN {_text_of(_INNER.format(link))
        {_text_of(para)} AS description, {', '.join(labels)}
 FROM (SELECT page_id, base, card, '<{h}' || piece AS ctext FROM (
   SELECT page_id, {_root('url')} AS base, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) - 1 AS BIGINT) AS card
-  FROM (SELECT page_id, url, regexp_split_to_array(html, '(?i)<{h}') AS pieces FROM pages)) WHERE card > 0)"""
+  FROM (SELECT page_id, url, regexp_split_to_array(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<{h}') AS pieces FROM pages)) WHERE card > 0)"""
 
 
 @register("catalogue_cards", _cards_sql("h1"))

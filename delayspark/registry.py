@@ -56,4 +56,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (they register on import)."""
-    from .plans import catalogue_queries, incident_queries, io_queries, web_queries  # noqa: F401
+    from .plans import catalogue_queries, incident_queries, io_queries, portal_queries, profile_queries, web_queries  # noqa: F401

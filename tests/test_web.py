@@ -128,3 +128,44 @@ def test_second_filename_form(spark):
     df = spark.createDataFrame([("Download a b in CSV", "/p/x~1.csv"), ("Download A b dataset in CSV", "/x")], "t string, h string")
     from delayspark.schema import FILENAME_PATTERN_DATASET as pattern
     assert [r[0] for r in df.select(H.derive_filename("t", "h", pattern=pattern, clean_url=False)).collect()] == ["x~1.csv", "a-b.csv"]
+
+
+def rows_of(spark, html):
+    return [(r["column_name"], r["type"], r["description"]) for r in W.table_rows(pages(spark, html)).orderBy("row").collect()]
+
+
+def test_nested_table_keeps_the_rows_after_it(spark):
+    html = ("<table><tr><th>c</th></tr><tr><td>a</td><td>int<table><tr><td>x</td></tr></table></td></tr>"
+            "<tr><td>b</td><td>text</td></tr></table><table><tr><td>z</td><td>z</td></tr><tr><td>y</td><td>y</td></tr></table>")
+    assert rows_of(spark, html) == [("a", "intx", "x"), ("b", "text", "")]
+    both = "<table><tr><td>h<tr><td>a<td><table><tr><td>k<td>v<tr><td>l<td>w</table><td>last<tr><td>b<td>c</table>"
+    assert rows_of(spark, both) == [("a", "kvlw", "k"), ("k", "v", ""), ("l", "w", ""), ("b", "c", "")]
+
+
+def test_table_without_end_tags(spark):
+    assert rows_of(spark, "<p>x<table><tr><th>Name<th>Type<tr><td>a<td>int<tr><td> b &amp; c <td>text<td>d</table><td>out<td>out") == [
+        ("a", "int", ""), ("b & c", "text", "d")]
+    assert rows_of(spark, "<TABLE><thead><tr><th>h<tbody><tr><td>a</td><td>b<tfoot><tr><td>f<td>g") == [("a", "b", ""), ("f", "g", "")]
+    assert rows_of(spark, "<table><td>h<td>h</tr><td>a<td>b</table>") == [("a", "b", "")]  # rows implied by their cells
+
+
+def test_table_in_a_comment_or_script_is_none(spark):
+    old = "<table><tr><th>o</th></tr><tr><td>old</td><td>old</td></tr></table>"
+    new = "<table><tr><th>n</th></tr><tr><td>new<!-- <td>no --></td><td title='a > b'>text</td></tr></table>"
+    assert rows_of(spark, f"<!-- {old} --><script>var t = '{old}';</script><track src=x>{new}") == [("new", "text", "")]
+    assert rows_of(spark, f"<!-- {old}") == [] and rows_of(spark, None) == [] and rows_of(spark, "") == []
+    array = pages(spark, f"<!-- {old} -->{new}").select(W.table_row_array(F.col("html")).alias("r")).first()["r"]
+    assert [tuple(r) for r in array] == [(1, "new", "text", "")]
+
+
+def test_cards_and_text_skip_comments(spark):
+    html = '<!-- <h3><a href="/dataset/no/">No</a></h3> --><h3><a href="/dataset/a/">A</a></h3><!-- <p>no</p> --><p>yes</p><h3>plain</h3>'
+    rows = W.catalogue_cards(pages(spark, html)).collect()
+    assert [(r["title"], r["description"]) for r in rows] == [("A", "yes")]
+    df = pages(spark, "<div>Overall score: 10%</div><!-- a > b Grade: Gold -->")
+    assert W.quality_metrics(df).first()["grade"] is None
+
+
+def test_long_tables_stay_in_order(spark):
+    html = "<table><tr><th>c<th>t" + "".join(f"<tr><td>n{i}<td>t{i}<td>d{i}" for i in range(400)) + "</table>"
+    assert rows_of(spark, html) == [(f"n{i}", f"t{i}", f"d{i}") for i in range(400)]
