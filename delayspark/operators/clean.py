@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN, UNKNOWN_FILL_COLUMNS
-from .stats import fill_with_group_stats
+from .stats import fill_maps, fill_with_group_stats
 
 
 def missing_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -69,13 +69,12 @@ def drop_null_date(df: DataFrame, col: str = "Date") -> DataFrame:
     return df.dropna(subset=[col])
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, approx: bool = False, fitted: dict[str, Column] | None = None) -> DataFrame:
     """M2: fill categorical, vehicle and numeric NULLs, then drop undated rows.
 
-    The categorical fills come first; the vehicle mode and the two medians
-    are fitted together in one pass over the input and applied with one
-    join (each statistic only reads its own column, so the order of the
-    reference's fills does not change them); undated rows are dropped last."""
-    out = fill_unknown(df)
-    out = fill_with_group_stats(out, medians=["Min Delay", "Min Gap"], modes=["Vehicle"])
-    return drop_null_date(out)
+    The categorical fills come first; the vehicle mode and the two medians are fitted on the input inside the plan, each
+    reading its own column and the type (the order of the reference's fills does not change them), or taken from ``fitted``
+    (column -> map of types, a fit store); undated rows are dropped last."""
+    columns = {c: [x for x in names if x in df.columns] for c, names in (("medians", ["Min Delay", "Min Gap"]), ("modes", ["Vehicle"]))}
+    fitted = fill_maps(df, **columns, approx=approx) if fitted is None else fitted
+    return fill_with_group_stats(drop_null_date(fill_unknown(df)), **columns, fitted=fitted)

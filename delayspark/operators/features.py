@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions import temporal as tx
 from ..session import cut_lineage
+from . import fits
 from .stats import checked_broadcast
 
 
@@ -39,13 +40,21 @@ def add_flags(df: DataFrame) -> DataFrame:
     })
 
 
-def category_codes(df: DataFrame, col: str = "Vehicle_Type", alias: str | None = None) -> DataFrame:
+def category_code(col: str, values: Column) -> Column:
+    """Place of the value in the sorted ``values``, from 0; NULL gets -1."""
+    return F.coalesce(F.array_position(values, F.col(f"`{col}`")) - 1, F.lit(-1)).cast("int")
+
+
+def category_codes(df: DataFrame, col: str = "Vehicle_Type", alias: str | None = None, lookup: str = "map",
+                   fitted: Column | None = None) -> DataFrame:
     """code of each value in alphabetical order from 0; NULL gets -1.
 
-    The distinct values are ranked once by a range-partitioned sort (no
-    single-task window over them) and joined back through a checked broadcast,
-    so the big table is not shuffled or sorted."""
+    The sorted distinct values are a bounded list of the plan (a scalar subquery, or ``fitted``), so that nothing is
+    fitted for a code that is not read.  With ``lookup="join"``, for any number of values, they are ranked by a
+    range-partitioned sort and joined through a checked broadcast.  The big table is not sorted."""
     alias = alias or f"{col}_Encoded"
+    if lookup == "map":
+        return df.withColumn(alias, category_code(col, fits.sorted_values(df, col) if fitted is None else fitted))
     values = cut_lineage(df.select(F.col(col).alias("__cat")).where(F.col("__cat").isNotNull()).distinct()
                          .sort("__cat").withColumn("__id", F.monotonically_increasing_id()))
     # the sort is range-partitioned: position in the partition plus the rows of those before
@@ -61,14 +70,26 @@ def category_codes(df: DataFrame, col: str = "Vehicle_Type", alias: str | None =
                       F.coalesce(F.col("__code"), F.lit(-1)).cast("int").alias(alias))
 
 
-def add_features(df: DataFrame, include_zero_delay: bool = False, encode: bool = True) -> DataFrame:
+def add_features(df: DataFrame, include_zero_delay: bool = False, encode: bool = True, fitted: Column | None = None) -> DataFrame:
     """M3: temporal, cyclical, flags, Season, Delay_Ratio, Vehicle_Type_Encoded
-    and Delay_Category in one projection (plus one small broadcast join)."""
-    out = add_cyclical(add_temporal(df))
-    out = add_flags(out).withColumns({
-        "Season": fx.season("Month"),
-        "Delay_Ratio": fx.delay_ratio(),
-    })
-    if encode:
-        out = category_codes(out, "Vehicle_Type")
-    return out.withColumn("Delay_Category", fx.delay_category("Min Delay", include_zero_delay))
+    and Delay_Category in one projection, as far as their inputs are there; ``fitted`` gives the sorted
+    vehicle types from elsewhere."""
+    out = add_calendar(df)
+    rows = amount_features(df.columns, include_zero_delay)
+    out = out.withColumns(rows) if rows else out
+    return category_codes(out, "Vehicle_Type", fitted=fitted) if encode else out
+
+
+def add_calendar(df: DataFrame) -> DataFrame:
+    """The features of date and time: calendar parts, cyclical encodings, flags, Season."""
+    return add_flags(add_cyclical(add_temporal(df))).withColumns({"Season": fx.season("Month")})
+
+
+def amount_features(columns, include_zero_delay: bool = False) -> dict[str, Column]:
+    """Delay_Category and Delay_Ratio, as far as their inputs are among ``columns``."""
+    rows = {}
+    if "Min Delay" in columns:
+        rows["Delay_Category"] = fx.delay_category("Min Delay", include_zero_delay)
+        if "Min Gap" in columns:
+            rows["Delay_Ratio"] = fx.delay_ratio()
+    return rows

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal as tx
@@ -39,19 +39,21 @@ def value_counts_cat(df: DataFrame, col: str, categories: Sequence[str] = DELAY_
 
 
 def value_pct_nonnull(df: DataFrame, col: str, alias: str = "pct") -> DataFrame:
-    """Share of the non-null rows per value, in percent."""
-    total = df.agg(F.count(col)).scalar()
-    return value_counts(df, col, "count").select(col, "count", (F.col("count") / total * 100.0).alias(alias))
+    """Share of the non-null rows per value, in percent; the total is the sum of the counts."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    total = counts.agg(F.sum("count")).scalar()
+    return (counts.select(col, "count", (F.col("count") / total * 100.0).alias(alias))
+            .orderBy(F.col("count").desc(), F.col(col)))
 
 
 def value_pct_rows(df: DataFrame, col: str, alias: str = "pct", digits: int = 2) -> DataFrame:
     """Share of *all* rows (NULLs included in the denominator), rounded.
 
-    The total is a scalar subquery (one map-side combined count), so no task
-    sees all values.  Rounding is half-to-even on the scaled double, as
+    The total is the sum of the counts (a scalar subquery over the same exchange), so no task
+    sees all values and no row is read twice.  Rounding is half-to-even on the scaled double, as
     NumPy's ``round`` does."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     scale = float(10 ** digits)
     pct = F.col("count") / total * 100.0
     return (counts.select(col, "count", (F.rint(pct * F.lit(scale)) / F.lit(scale)).alias(alias))
@@ -112,69 +114,36 @@ def reindex_days(means: DataFrame, key: str = "DayName", order: Sequence[str] =
     return dim.join(means, key, "left").orderBy("__ord").drop("__ord")
 
 
-def _pair_moments(shift):
-    """mapInPandas body: per partition, shifted sufficient statistics of every
-    feature pair over the rows where both are present."""
-    import numpy as np
-    import pandas as pd
-
-    sh = np.asarray(shift, dtype=float)
-    k = len(sh)
-
-    def run(batches):
-        n = np.zeros((k, k))
-        s = np.zeros((k, k))
-        q = np.zeros((k, k))
-        p = np.zeros((k, k))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float, na_value=np.nan)
-            m = ~np.isnan(x)
-            z = np.where(m, x - sh, 0.0)
-            mf = m.astype(float)
-            n += mf.T @ mf          # rows where a and b are both present
-            s += z.T @ mf           # sum of a over those rows
-            q += (z * z).T @ mf     # sum of a^2 over those rows
-            p += z.T @ z            # sum of a*b (z is 0 where a value is missing)
-        yield pd.DataFrame({"n": [n.ravel()], "sa": [s.ravel()], "sb": [s.T.ravel()],
-                            "saa": [q.ravel()], "sbb": [q.T.ravel()], "sab": [p.ravel()]})
-    return run
+def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(feature_a, feature_b, corr) of the given pairs, over pairwise-complete rows.
+
+    One native scan: each row is fanned out to its pairs and combined map-side to the moments of each pair, so that the
+    shuffle carries one row per pair and task.  No Python workers and no scan for means; a pair that is constant on
+    either side, or without a row, gives NULL."""
+    listed = ", ".join(f"named_struct('p', {i}, 'x', CAST(`{a}` AS DOUBLE), 'y', CAST(`{b}` AS DOUBLE))" for i, (a, b) in enumerate(pairs))
+    names = ", ".join(f"({i}, {_text(a)}, {_text(b)})" for i, (a, b) in enumerate(pairs))
+    # one statement: Spark checks the subqueries of ``df`` once
+    return df.sparkSession.sql(f"""
+SELECT feature_a, feature_b, corr FROM VALUES {names} AS n(p, feature_a, feature_b) LEFT JOIN (
+  SELECT p, CASE WHEN sx * sy > 0 THEN CASE WHEN same THEN 1.0D ELSE least(greatest(xy / (sx * sy), -1.0D), 1.0D) END END AS corr FROM (
+    SELECT c.p AS p, covar_pop(c.x, c.y) AS xy, stddev_pop(c.x) AS sx, stddev_pop(c.y) AS sy, c.p IN ({', '.join(
+        [str(i) for i, (a, b) in enumerate(pairs) if a == b] or ['-1'])}) AS same
+    FROM (SELECT explode(array({listed})) AS c FROM {{df}}) WHERE c.x IS NOT NULL AND c.y IS NOT NULL GROUP BY c.p)) USING (p)""", df=df)
+
+
+def _text(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str], long: bool = True) -> DataFrame:
     """Pearson correlation of every pair over pairwise-complete rows.
 
-    One scan: each partition reduces its rows to k x k sufficient statistics
-    (counts, sums, squares and cross products of mean-shifted values, with
-    NumPy on Arrow batches), the partials are added element-wise by a tiny
-    aggregation and the correlations follow.  Memory per task is O(k^2)
-    whatever the number of rows.  A column that is constant (on the pair's
-    rows) gives NULL, as pandas gives NaN.  Long format:
-    (feature_a, feature_b, corr).
-    """
+    Each of the k (k + 1) / 2 pairs is aggregated once and listed both ways round.  A column that is constant (on the
+    pair's rows) gives NULL, as pandas gives NaN.  Long format: (feature_a, feature_b, corr)."""
     feats = [f for f in features if f in df.columns]
-    k = len(feats)
-    x = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(feats)])
-    # shift by the column means (one small aggregation) for numerical stability
-    means = x.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
-    shift = [float(m) if m is not None else 0.0 for m in means]
-    parts = x.mapInPandas(_pair_moments(shift),
-                          "n array<double>, sa array<double>, sb array<double>, saa array<double>, "
-                          "sbb array<double>, sab array<double>")
-    cells = parts.select(F.posexplode(F.arrays_zip("n", "sa", "sb", "saa", "sbb", "sab")).alias("pos", "v"))
-    tot = cells.groupBy("pos").agg(*[F.sum(f"v.{c}").alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    n = F.col("n")
-    cov = F.col("sab") / n - (F.col("sa") / n) * (F.col("sb") / n)
-    va = F.col("saa") / n - (F.col("sa") / n) * (F.col("sa") / n)
-    vb = F.col("sbb") / n - (F.col("sb") / n) * (F.col("sb") / n)
-    # a variance within the rounding error of its second moment (constant column) counts as zero
-    eps = F.lit(1e-13)
-    ok = (n > 0) & (va > eps * F.col("saa") / n) & (vb > eps * F.col("sbb") / n)
-    corr = F.when(ok, F.least(F.greatest(cov / F.sqrt(va * vb), F.lit(-1.0)), F.lit(1.0)))
-    names = F.array(*[F.lit(f) for f in feats])
-    a_idx = (F.col("pos") / k).cast("int")
-    b_idx = (F.col("pos") % k).cast("int")
-    out = tot.select(F.element_at(names, a_idx + 1).alias("feature_a"), F.element_at(names, b_idx + 1).alias("feature_b"),
-                     corr.alias("corr"))
+    half = correlation_pairs(df, [(a, b) for i, a in enumerate(feats) for b in feats[i:]])
+    both = F.array(F.struct("feature_a", "feature_b"), F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b")))
+    out = half.select(F.explode(F.array_distinct(both)).alias("p"), "corr").select("p.feature_a", "p.feature_b", "corr")
     if long:
         return out
     return out.groupBy("feature_a").pivot("feature_b", feats).agg(F.first("corr"))
@@ -187,6 +156,12 @@ def correlation_with_target(corr_long: DataFrame, target: str = "Min Delay") ->
                      .orderBy(F.col("corr").desc_nulls_last()))
 
 
+def correlation_target(df: DataFrame, features: Sequence[str], target: str = "Min Delay") -> DataFrame:
+    """E19 alone: only the target's pairs are aggregated."""
+    feats = [f for f in features if f in df.columns]
+    return correlation_with_target(correlation_pairs(df, [(target, f) for f in feats]), target)
+
+
 def date_range(df: DataFrame, col: str = "Date") -> DataFrame:
     """First and last date."""
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"))
@@ -197,28 +172,27 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     closed, empty bins are listed, and a constant column is widened by 0.5 on
     each side (NumPy's rule).
 
-    Two passes like NumPy: a min/max aggregate (two numbers, fitted as
-    literals), then one grouped count of at most ``bins`` rows.
+    Two passes like NumPy, both in the plan: a min/max aggregate (a scalar subquery), then one grouped count
+    of at most ``bins`` rows.  No value gives no row.
     """
-    v = F.col(col).cast("double")
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
     spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, count bigint")
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
+    values = df.select(F.col(f"`{col}`").cast("double").alias("__v"))
+    span = values.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    span = span.select(F.when(F.col("lo") == F.col("hi"), F.struct((F.col("lo") - 0.5).alias("lo"), (F.col("hi") + 0.5).alias("hi")))
+                       .otherwise(F.struct("lo", "hi"))).scalar()
     # NumPy's arithmetic: index from (x - lo) * (n / (hi - lo)), then nudged by
     # comparing with the linspace edges lo + k * (hi - lo) / n (last edge = hi)
-    norm, step = bins / (hi - lo), (hi - lo) / bins
+    v, lo, hi = F.col("__v"), F.col("__r.lo"), F.col("__r.hi")
 
     def edge(k):
-        return F.when(k >= bins, F.lit(hi)).otherwise(F.lit(lo) + k.cast("double") * F.lit(step))
-
-    i0 = F.least(F.floor((v - F.lit(lo)) * F.lit(norm)), F.lit(bins - 1)).cast("int")
-    i1 = F.when(v < edge(i0), i0 - 1).otherwise(i0)
-    b = F.when((v >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+        return F.when(k >= bins, hi).otherwise(lo + k.cast("double") * ((hi - lo) / bins))
+
+    placed = values.withColumn("__r", span)
+    placed = placed.withColumn("__i", F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int"))
+    placed = placed.withColumn("__i", F.when(v < edge(F.col("__i")), F.col("__i") - 1).otherwise(F.col("__i")))
+    placed = placed.withColumn("__i", F.when((v >= edge(F.col("__i") + 1)) & (F.col("__i") != bins - 1), F.col("__i") + 1).otherwise(F.col("__i")))
+    counts = placed.groupBy(F.col("__i").alias("bin")).agg(F.count("__v").alias("count"))
+    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("__r", span).where(lo.isNotNull())
     return (edges.join(counts, "bin", "left")
                  .select("bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"),
                          F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))

@@ -1,8 +1,9 @@
 """Transform and scale numeric columns (M4).
 
-Scalers are split in ``fit`` (one aggregation returning a handful of numbers)
-and ``apply`` (a projection with those numbers as literals), so the parameters
-can be fitted on one slice (e.g. a training period) and applied to another.
+Scalers are split in a fit and ``apply`` (a projection), so the parameters can be fitted on one slice (e.g. a
+training period) and applied to another.  :func:`robust_params` and :func:`standard_params` are scalar subqueries of
+the plan that uses them: no job is run for them, and pruning drops the fit of a column that is not read.
+``fit_*`` run a job and give plain numbers, to be kept or applied elsewhere.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import exact_quantiles, select_quantiles, stacked_weighted
+from . import fits
+from .stats import exact_quantiles
 
 
 def log1p(col) -> Column:
@@ -23,21 +25,40 @@ def log1p(col) -> Column:
 
 @dataclass(frozen=True)
 class RobustParams:
-    center: float | None
-    scale: float
+    center: float | Column | None
+    scale: float | Column
 
 
 @dataclass(frozen=True)
 class StandardParams:
-    mean: float | None
-    scale: float
+    mean: float | Column | None
+    scale: float | Column
+
+
+def robust_fit(df: DataFrame, col: str, q_range=(0.25, 0.75), approx: bool = False) -> Column:
+    """Scalar subquery: the lower, middle and upper quantile."""
+    lo, hi = q_range
+    return exact_quantiles(df, col, [lo, 0.5, hi], approx=approx).select(F.array("q0", "q1", "q2")).scalar()
+
+
+def robust_params(df: DataFrame, col: str, q_range=(0.25, 0.75), approx: bool = False, fitted: Column | None = None) -> RobustParams:
+    """Median and inter-quartile range (0 -> 1) as columns of any plan; ``fitted`` gives the three quantiles from elsewhere."""
+    fitted = robust_fit(df, col, q_range, approx) if fitted is None else fitted
+    iqr = fitted[2] - fitted[0]
+    return RobustParams(fitted[1], F.when(iqr == 0, F.lit(1.0)).otherwise(iqr))
+
+
+def standard_params(df: DataFrame, col: str, fitted: Column | None = None) -> StandardParams:
+    """Mean and population standard deviation (0 or none -> 1) as columns of any plan."""
+    m = fits.moments(df, col) if fitted is None else fitted
+    return StandardParams(m["mean"], F.when(m["std"] != 0, m["std"]).otherwise(F.lit(1.0)))
 
 
 def fit_robust(df: DataFrame, col: str, q_range=(0.25, 0.75), approx: bool = False) -> RobustParams:
     """Median and inter-quartile range with linear quantiles; IQR 0 -> 1."""
     lo, hi = q_range
     row = exact_quantiles(df, col, [lo, 0.5, hi], approx=approx).first()
-    if row is None:
+    if row is None or row["q1"] is None:
         return RobustParams(None, 1.0)
     iqr = row["q2"] - row["q0"]
     return RobustParams(row["q1"], iqr if iqr != 0 else 1.0)
@@ -46,21 +67,21 @@ def fit_robust(df: DataFrame, col: str, q_range=(0.25, 0.75), approx: bool = Fal
 def apply_robust(col: str, p: RobustParams) -> Column:
     if p.center is None:
         return F.lit(None).cast("double")
-    return (F.col(col) - F.lit(p.center)) / F.lit(p.scale)
+    return (F.col(f"`{col}`") - F.lit(p.center)) / F.lit(p.scale)
 
 
 def fit_scalers(df: DataFrame, robust_cols, standard_cols, q_range=(0.25, 0.75)):
-    """Parameters of every scaler: the quartiles of all robust columns from one
-    stacked rank selection, the moments of all standard columns from one
-    aggregation.  Returns ({col: RobustParams}, {col: StandardParams})."""
+    """Parameters of every scaler as numbers: the quartiles of the robust columns, the moments of all
+    standard columns from one aggregation.  Returns ({col: RobustParams}, {col: StandardParams})."""
     lo, hi = q_range
     robust_cols, standard_cols = list(robust_cols), list(standard_cols)
     robust = {c: RobustParams(None, 1.0) for c in robust_cols}
     if robust_cols:
-        rows = select_quantiles(stacked_weighted(df, robust_cols), "__v", [lo, 0.5, hi], ["__col"]).collect()  # one per column
-        for r in rows:
-            iqr = r["q2"] - r["q0"]
-            robust[r["__col"]] = RobustParams(r["q1"], iqr if iqr != 0 else 1.0)
+        row = df.sparkSession.range(1).select(*[fits.quantiles(df, c, [lo, 0.5, hi]).alias(f"c{i}") for i, c in enumerate(robust_cols)]).first()
+        for i, c in enumerate(robust_cols):
+            if row[i] is not None:
+                iqr = row[i][2] - row[i][0]
+                robust[c] = RobustParams(row[i][1], iqr if iqr != 0 else 1.0)
     standard = {}
     if standard_cols:
         row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(standard_cols)
@@ -81,39 +102,36 @@ def fit_standard(df: DataFrame, col: str) -> StandardParams:
 def apply_standard(col: str, p: StandardParams) -> Column:
     if p.mean is None:
         return F.lit(None).cast("double")
-    return (F.col(col).cast("double") - F.lit(p.mean)) / F.lit(p.scale)
+    return (F.col(f"`{col}`").cast("double") - F.lit(p.mean)) / F.lit(p.scale)
 
 
 def robust_scale(df: DataFrame, col: str, out: str | None = None, approx: bool = False) -> DataFrame:
     """(x - median) / IQR."""
-    return df.withColumn(out or f"{col.replace(' ', '_')}_Scaled", apply_robust(col, fit_robust(df, col, approx=approx)))
+    fitted = df.withColumn("__fit", robust_fit(df, col, approx=approx))
+    scaled = apply_robust(col, robust_params(df, col, fitted=F.col("__fit")))
+    return fitted.withColumn(out or f"{col.replace(' ', '_')}_Scaled", scaled).drop("__fit")
 
 
 def standard_scale(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(x - mean) / population std."""
-    return df.withColumn(out or f"{col.replace(' ', '_')}_Scaled", apply_standard(col, fit_standard(df, col)))
+    return df.withColumn(out or f"{col.replace(' ', '_')}_Scaled", apply_standard(col, standard_params(df, col)))
 
 
-def scale(df: DataFrame, approx: bool = False) -> DataFrame:
+def scale(df: DataFrame, approx: bool = False, fitted: dict[str, Column] | None = None) -> DataFrame:
     """M4 (+B6): keep originals, log the target, robust-scale gap and ratio,
-    standard-scale the vehicle number.  All parameters are fitted on ``df``."""
-    robust_cols = ["Min Gap"] + (["Delay_Ratio"] if "Delay_Ratio" in df.columns else [])
-    standard_cols = ["Vehicle"] if "Vehicle" in df.columns else []
-    if approx:
-        fitted = {c: fit_robust(df, c, approx=True) for c in robust_cols}
-        std = {c: fit_standard(df, c) for c in standard_cols}
-    else:
-        fitted, std = fit_scalers(df, robust_cols, standard_cols)
-    gap, ratio = fitted["Min Gap"], fitted.get("Delay_Ratio")
-    veh = std.get("Vehicle")
-    cols = {
-        "Min_Delay_Original": F.col("Min Delay"),
-        "Min_Gap_Original": F.col("Min Gap"),
-        "Min_Delay_Log": log1p("Min Delay"),
-        "Min_Gap_Scaled": apply_robust("Min Gap", gap),
-    }
-    if veh is not None:
-        cols["Vehicle_Scaled"] = apply_standard("Vehicle", veh)
-    if ratio is not None:
-        cols["Delay_Ratio_Scaled"] = apply_robust("Delay_Ratio", ratio)
-    return df.withColumns(cols)
+    standard-scale the vehicle number.  All parameters are fitted on ``df`` inside the plan, or taken from ``fitted``
+    (column -> quartiles or moments, a fit store)."""
+    columns = [c for c in ("Min Gap", "Delay_Ratio", "Vehicle") if c in df.columns]
+    given = {c: (fitted or {}).get(c) for c in columns}
+    fit = lambda c: fits.moments(df, c) if c == "Vehicle" else robust_fit(df, c, approx=approx)
+    # each fit stands in the plan once, as a column that the scaled one reads
+    out = df.withColumns({f"__fit {c}": fit(c) if g is None else g for c, g in given.items()}) if columns else df
+    cols = {}
+    if "Min Delay" in df.columns:
+        cols |= {"Min_Delay_Original": F.col("Min Delay"), "Min_Delay_Log": log1p("Min Delay")}
+    if "Min Gap" in df.columns:
+        cols |= {"Min_Gap_Original": F.col("Min Gap")}
+    for c in columns:
+        params = (standard_params if c == "Vehicle" else robust_params)(df, c, fitted=F.col(f"`__fit {c}`"))
+        cols[f"{c.replace(' ', '_')}_Scaled"] = (apply_standard if c == "Vehicle" else apply_robust)(c, params)
+    return out.withColumns(cols).drop(*[f"__fit {c}" for c in columns])

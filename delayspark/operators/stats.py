@@ -2,26 +2,24 @@
 
 Scale notes
 -----------
-* Exact quantiles are distributed rank selections at every size
-  (:func:`select_quantiles`): values are combined map-side with their weights,
-  range-partitioned by (group, value), and only the partitions that hold a
-  target rank are scanned again.  No task holds the values of a group.
-  ``approx=True`` uses the fixed-size ``percentile_approx`` sketch instead.
+* Exact quantiles are histograms of ordered bits inside the plan (:mod:`.fits`): no job is run to build them and
+  no exchange carries a value.  ``approx=True`` uses the fixed-size ``percentile_approx`` sketch instead.
 * Modes are two-level aggregations in the column's own type (count per value,
   then ``min_by``), never a value -> count map inside one task.
-* Statistic tables are joined back with :func:`checked_broadcast`, which
-  counts the (already aggregated) table and only broadcasts below a bound.
-  Nothing is cached: small tables are reliable checkpoints.
+* Statistics of groups are looked up in a bounded map that the plan itself fits (``lookup="map"``, the default: vehicle
+  types, categories).  ``lookup="join"`` is the way for any number of groups: distributed rank selections
+  (:func:`select_quantiles`) and a join that broadcasts only below a measured bound; it runs jobs when it is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import fits
 
 # A statistic table above this many rows or bytes is joined by shuffle, not broadcast.
 MAX_BROADCAST_ROWS = 200_000
@@ -57,7 +55,7 @@ def stacked_weighted(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
 def group_fill_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
                      key: str = "Vehicle_Type", approx: bool = False) -> DataFrame:
     """Per group: the median of each ``medians`` column (all from one weighted table) and the mode
-    (ties: smallest, in the column's own type) of each ``modes`` column.
+    (ties: smallest, in the column's own type) of each ``modes`` column, for any number of groups.
     Wide result: (key, <col>__fill ...)."""
     out = df.where(F.col(key).isNotNull()).select(key).distinct()
     if medians and approx:
@@ -73,27 +71,46 @@ def group_fill_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence
     return out
 
 
+def fill_maps(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (), key: str = "Vehicle_Type",
+              approx: bool = False) -> dict[str, Column]:
+    """Per column a scalar subquery: group -> fill value."""
+    def median(c: str) -> Column:
+        table = exact_quantiles(df, c, [0.5], [key], prefix="__m", approx=approx)
+        return fits.group_map(table.where(F.col(f"`{key}`").isNotNull()), key, F.col("__m0"))
+
+    return {c: median(c) for c in medians} | {c: fits.group_modes(df, c, key) for c in modes}
+
+
 def fill_with_group_stats(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (),
-                          key: str = "Vehicle_Type", mode_default=0, approx: bool = False) -> DataFrame:
+                          key: str = "Vehicle_Type", mode_default=0, approx: bool = False, lookup: str = "map",
+                          fitted: dict[str, Column] | None = None) -> DataFrame:
     """D1 for several columns at once: NULL -> the group's median / mode
     (a group without any value: median stays NULL, mode becomes
-    ``mode_default``).  One fit pass and one checked-broadcast join."""
+    ``mode_default``).
+
+    With ``lookup="map"`` every fit is a subquery of its column alone, and a column that is not read
+    costs nothing; ``fitted`` gives such maps from elsewhere (a fit store).  ``lookup="join"`` fits all
+    columns at once and joins them, for any number of groups."""
     medians = [c for c in medians if c in df.columns]
     modes = [c for c in modes if c in df.columns]
     if not medians and not modes:
         return df
-    small = checked_broadcast(group_fill_stats(df, medians, modes, key, approx))
+    if lookup == "map":
+        maps = fill_maps(df, medians, modes, key, approx) if fitted is None else fitted
+        source, fill = df, {c: fits.look_up(maps[c], F.col(f"`{key}`")) for c in [*medians, *modes]}
+    else:
+        small = checked_broadcast(group_fill_stats(df, medians, modes, key, approx))
+        source, fill = df.join(small, key, "left"), {c: F.col(f"`{c}__fill`") for c in [*medians, *modes]}
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name in medians:
-            out.append(F.coalesce(c, F.col(f"`{f.name}__fill`").cast(f.dataType)).alias(f.name))
+            out.append(F.coalesce(c, fill[f.name].cast(f.dataType)).alias(f.name))
         elif f.name in modes:
-            out.append(F.coalesce(c, F.col(f"`{f.name}__fill`").cast(f.dataType),
-                                  F.lit(mode_default).cast(f.dataType)).alias(f.name))
+            out.append(F.coalesce(c, fill[f.name].cast(f.dataType), F.lit(mode_default).cast(f.dataType)).alias(f.name))
         else:
             out.append(c)
-    return df.join(small, key, "left").select(*out)
+    return source.select(*out)
 
 
 def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -110,13 +127,15 @@ def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequen
     small partition summary.
     """
     spark = wv.sparkSession
+    if not by:  # one group, so that every join below has a key
+        return select_quantiles(wv.withColumn("__all", F.lit(0)), col, probs, ["__all"], prefix, partitions).drop("__all")
     by = list(by)
     n_part = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     parted = (wv.repartitionByRange(n_part, *[F.col(c) for c in by], F.col(col))
                 .withColumn("__pid", F.spark_partition_id()))
     parted = cut_lineage(parted)
     summ = parted.groupBy("__pid", *by).agg(F.sum("__w").alias("__c"))
-    grp = Window.partitionBy(*by) if by else Window.partitionBy()
+    grp = Window.partitionBy(*by)
     summ = (summ.withColumn("__end", F.sum("__c").over(grp.orderBy("__pid")))
                 .withColumn("__n", F.sum("__c").over(grp))
                 .withColumn("__start", F.col("__end") - F.col("__c")))
@@ -126,8 +145,7 @@ def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequen
     targets = summ.select(*by, "__n").distinct().select(*by, pos).select(*by, "__t.__i", "__t.__pos")
     ranks = targets.select(*by, "__i", "__pos", F.explode(F.array_distinct(F.array(
         F.floor("__pos").cast("long"), F.ceil("__pos").cast("long")))).alias("__r"))
-    loc = ranks.join(summ.select(*by, "__pid", "__start", "__end"), by, "inner") if by else ranks.join(
-        summ.select("__pid", "__start", "__end"), how="inner")
+    loc = ranks.join(summ.select(*by, "__pid", "__start", "__end"), by, "inner")
     loc = loc.where((F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__end")))
     loc = loc.select(*by, "__i", "__pos", "__r", "__pid", (F.col("__r") - F.col("__start")).alias("__local"))
     loc = checked_broadcast(loc)
@@ -147,17 +165,21 @@ def select_quantiles(wv: DataFrame, col: str, probs: Sequence[float], by: Sequen
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+                    prefix: str = "q", approx: bool = False, accuracy: int = 10_000, lookup: str = "map") -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default) per group.
 
     Returns ``by...`` plus one column per probability named ``{prefix}{i}``.
-    Groups whose values are all NULL are absent.  ``approx`` uses the fixed-size sketch.
+    Groups whose values are all NULL are absent.  ``approx`` uses the fixed-size sketch; ``lookup="join"`` is for
+    more than ``fits.MAX_GROUPS`` groups.
     """
     if approx:
         agg = F.percentile_approx(F.col(col), F.array(*[F.lit(float(p)) for p in probs]), accuracy)
         base = df.where(F.col(col).isNotNull()).groupBy(*by).agg(agg.alias("__q"))
         return base.select(*by, *[F.col("__q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
-    return select_quantiles(weighted_values(df, col, by), col, probs, by, prefix)
+    if lookup == "join":
+        return select_quantiles(weighted_values(df, col, by), col, probs, by, prefix)
+    table = fits.quantile_table(df, col, probs, by)
+    return table.select(*[F.col(f"__k.`{c}`").alias(c) for c in by], *[F.col("q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
 
 
 def group_mode(df: DataFrame, col: str, by: Sequence[str], alias: str = "mode") -> DataFrame:
@@ -186,14 +208,17 @@ def median_by_type(df: DataFrame, col: str, by: str = "Vehicle_Type", alias: str
 
 
 def fill_from_group_stat(df: DataFrame, col: str, stat: DataFrame, key: str = "Vehicle_Type",
-                         stat_col: str = "stat") -> DataFrame:
+                         stat_col: str = "stat", lookup: str = "map") -> DataFrame:
     """Replace NULLs of ``col`` with the statistic of the row's group.
 
-    ``stat`` is a (key, stat_col) table; it is joined through a checked
-    broadcast so the incident table is never shuffled for the lookup.
-    """
-    small = checked_broadcast(stat.select(key, F.col(stat_col).alias("__fill")))
+    ``stat`` is a (key, stat_col) table of one row per group, looked up in a bounded map of the plan;
+    with ``lookup="join"``, for any number of groups, through a checked broadcast.  The incident table is never
+    shuffled for the lookup below that bound."""
+    if lookup == "map":
+        given = stat.where(F.col(f"`{key}`").isNotNull())
+        source, fill = df, fits.look_up(fits.group_map(given, key, F.col(f"`{stat_col}`")), F.col(f"`{key}`"))
+    else:
+        small = checked_broadcast(stat.select(key, F.col(stat_col).alias("__fill")))
+        source, fill = df.join(small, key, "left"), F.col("__fill")
     dtype = df.schema[col].dataType
-    cols = [F.coalesce(F.col(col), F.col("__fill").cast(dtype)).alias(col) if c == col else F.col(c)
-            for c in df.columns]
-    return df.join(small, key, "left").select(*cols)
+    return source.select(*[F.coalesce(F.col(f"`{c}`"), fill.cast(dtype)).alias(c) if c == col else F.col(f"`{c}`") for c in df.columns])

@@ -21,6 +21,7 @@ from ..operators.features import add_features, category_codes
 from ..registry import register
 from ..schema import CORR_APPENDIX, CORR_FEATURES, NORMALISATION_FEATURES, PROCESSED_COLUMNS
 from ..session import read_table
+from . import pipelines as PL
 from ..sources import files as FS
 from ..sources.adapters import incidents_events, raw_delay_frames
 
@@ -41,11 +42,12 @@ def events_clean(spark, sf):
 
 
 def events_features(spark, sf):
-    return add_features(events_clean(spark, sf))
+    return PL.clean_and_feature(events_unified(spark, sf))
 
 
-def events_processed(spark, sf):
-    return S.scale(events_features(spark, sf))
+def events_processed(spark, sf, *columns):
+    """The processed table, or those of its columns that a report reads."""
+    return PL.processed_table(events_unified(spark, sf), columns=columns or PROCESSED_COLUMNS)
 
 
 def events_raw_features(spark, sf):
@@ -92,17 +94,17 @@ def _mean_by_sql(key, kind, src="proc"):
 @register("mean_delay_by_hour", _mean_by_sql("Hour", "i"))
 def q_mean_by_hour(spark, sf):
     """Mean delay per hour of the processed table (the flagship)."""
-    return P.mean_by_key(events_processed(spark, sf), "Hour")
+    return P.mean_by_key(events_processed(spark, sf, "Hour", "Min Delay"), "Hour")
 
 
 @register("mean_delay_by_month", _mean_by_sql("Month", "i"))
 def q_mean_by_month(spark, sf):
-    return P.mean_by_key(events_processed(spark, sf), "Month")
+    return P.mean_by_key(events_processed(spark, sf, "Month", "Min Delay"), "Month")
 
 
 @register("mean_delay_by_type", _mean_by_sql("Vehicle_Type", "s"))
 def q_mean_by_type(spark, sf):
-    return P.mean_by_key(events_processed(spark, sf), "Vehicle_Type")
+    return P.mean_by_key(events_processed(spark, sf, "Vehicle_Type", "Min Delay"), "Vehicle_Type")
 
 
 _DAYS = ", ".join(f"('{d}', {i})" for i, d in enumerate(
@@ -115,14 +117,14 @@ _DAYS = ", ".join(f"('{d}', {i})" for i, d in enumerate(
           f'GROUP BY 1) m ON d."DayName" = m."DayName")')))
 def q_reindex_days(spark, sf):
     """D5 (+E17): mean delay Monday..Sunday; absent days NULL."""
-    return P.reindex_days(P.mean_by_key(events_processed(spark, sf), "DayName"))
+    return P.reindex_days(P.mean_by_key(events_processed(spark, sf, "DayName", "Min Delay"), "DayName"))
 
 
 # --- M2-M4 / A10 / B4: processed table -----------------------------------------
 @register("processed_table", sql(["proc"], out(O.cols_of(PROCESSED_COLUMNS, O.PROC_KINDS), "proc")))
 def q_processed(spark, sf):
     """M2+M3+M4 and B4: the 37-column processed incident table."""
-    return B.select_available(events_processed(spark, sf), PROCESSED_COLUMNS)
+    return events_processed(spark, sf)
 
 
 _FEAT_SAVED = [c for c in PROCESSED_COLUMNS if c in O.FEAT_KINDS]
@@ -245,14 +247,14 @@ def q_drop_null_date(spark, sf):
   UNION ALL SELECT '75%', quantile_cont("Min Delay", 0.75) FROM proc)""")))
 def q_describe_target(spark, sf):
     """E5 + E27: summary statistics of Min Delay."""
-    return P.describe(events_processed(spark, sf), "Min Delay")
+    return P.describe(events_processed(spark, sf, "Min Delay"), "Min Delay")
 
 
 @register("value_counts", sql(["proc"], out([("Vehicle_Type", "s"), ("count", "i", "n")],
           '(SELECT "Vehicle_Type", count(*) AS n FROM proc WHERE "Vehicle_Type" IS NOT NULL GROUP BY 1)')))
 def q_value_counts(spark, sf):
     """Rows per vehicle type."""
-    return P.value_counts(events_processed(spark, sf), "Vehicle_Type")
+    return P.value_counts(events_processed(spark, sf, "Vehicle_Type"), "Vehicle_Type")
 
 
 _CATS = ", ".join(f"('{c}')" for c in ["Low (0-5min)", "Medium (5-15min)", "High (15-30min)",
@@ -265,7 +267,7 @@ _CATS = ", ".join(f"('{c}')" for c in ["Low (0-5min)", "Medium (5-15min)", "High
           f'ON c."Delay_Category" = m."Delay_Category")')))
 def q_value_counts_cat(spark, sf):
     """Rows per delay category, empty categories listed with 0."""
-    return P.value_counts_cat(events_processed(spark, sf), "Delay_Category")
+    return P.value_counts_cat(events_processed(spark, sf, "Delay_Category"), "Delay_Category")
 
 
 @register("value_pct_nonnull", sql(["proc"], out(
@@ -273,7 +275,7 @@ def q_value_counts_cat(spark, sf):
     '(SELECT "Delay_Category", count(*) AS n FROM proc WHERE "Delay_Category" IS NOT NULL GROUP BY 1)')))
 def q_value_pct_nonnull(spark, sf):
     """Share of categorised rows per category."""
-    return P.value_pct_nonnull(events_processed(spark, sf), "Delay_Category")
+    return P.value_pct_nonnull(events_processed(spark, sf, "Delay_Category"), "Delay_Category")
 
 
 @register("value_pct_rows", sql(["proc"], out(
@@ -282,7 +284,7 @@ def q_value_pct_nonnull(spark, sf):
     'WHERE "Vehicle_Type" IS NOT NULL GROUP BY 1)')))
 def q_value_pct_rows(spark, sf):
     """Share of all rows per vehicle type, 2 decimals."""
-    return P.value_pct_rows(events_processed(spark, sf), "Vehicle_Type")
+    return P.value_pct_rows(events_processed(spark, sf, "Vehicle_Type"), "Vehicle_Type")
 
 
 # --- E16: normalisation assessment ----------------------------------------------------------
@@ -303,14 +305,14 @@ def _norm_sql(features, src):
 @register("normalisation_assessment", _norm_sql(NORMALISATION_FEATURES, "feat"))
 def q_normalisation(spark, sf):
     """mean/std/min/max/range/CV per numeric feature and the flag."""
-    return P.normalisation_assessment(events_features(spark, sf), NORMALISATION_FEATURES)
+    return P.normalisation_assessment(events_processed(spark, sf, *NORMALISATION_FEATURES), NORMALISATION_FEATURES)
 
 
 @register("normalisation_assessment_processed", _norm_sql(["Min Delay", "Min Gap", "Vehicle", "Hour"], "proc"))
 def q_normalisation_processed(spark, sf):
     """E16 rerun: the four-feature assessment on the processed table."""
     from ..schema import NORMALISATION_FEATURES_SHORT
-    return P.normalisation_assessment(events_processed(spark, sf), NORMALISATION_FEATURES_SHORT)
+    return P.normalisation_assessment(events_processed(spark, sf, *NORMALISATION_FEATURES_SHORT), NORMALISATION_FEATURES_SHORT)
 
 
 # --- E18 / E19: correlations ---------------------------------------------------------------
@@ -339,19 +341,19 @@ def _corr_sql(features, src, target=None):
 @register("correlation_matrix", _corr_sql(CORR_FEATURES, "proc"))
 def q_corr(spark, sf):
     """Pearson matrix of the 14 processed features (long format)."""
-    return P.correlation_matrix(events_processed(spark, sf), CORR_FEATURES)
+    return P.correlation_matrix(events_processed(spark, sf, *CORR_FEATURES), CORR_FEATURES)
 
 
 @register("correlation_appendix", _corr_sql(CORR_APPENDIX, "proc"))
 def q_corr_appendix(spark, sf):
     """E18 (appendix): Pearson matrix of the 7 raw numeric features."""
-    return P.correlation_matrix(events_processed(spark, sf), CORR_APPENDIX)
+    return P.correlation_matrix(events_processed(spark, sf, *CORR_APPENDIX), CORR_APPENDIX)
 
 
 @register("correlation_with_target", _corr_sql(CORR_FEATURES, "proc", "Min Delay"))
 def q_corr_target(spark, sf):
     """Correlations with Min Delay, strongest first."""
-    return P.correlation_with_target(P.correlation_matrix(events_processed(spark, sf), CORR_FEATURES))
+    return P.correlation_target(events_processed(spark, sf, *CORR_FEATURES), CORR_FEATURES)
 
 
 # --- E20-E23: ranges, histogram, parse rates, shape ------------------------------------------
@@ -375,7 +377,7 @@ _HIST_EXTRA = [
     "e LEFT JOIN c ON e.b = c.b, r"), _HIST_EXTRA))
 def q_histogram(spark, sf):
     """50 equal-width bins of Min Delay."""
-    return P.histogram(events_processed(spark, sf), "Min Delay", 50)
+    return P.histogram(events_processed(spark, sf, "Min Delay"), "Min Delay", 50)
 
 
 @register("date_range", sql(["ouni"], 'SELECT min("Date") AS min_date, max("Date") AS max_date FROM ouni'))

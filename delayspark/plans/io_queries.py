@@ -20,6 +20,7 @@ from ..sources import sinks as SK
 from ..streaming import incremental as INC
 from . import catalogue_queries as CQ
 from . import incident_queries as IQ
+from . import pipelines as PL
 
 
 @register("scan_csv", IQ.sql(["ouni"], IQ.out(IQ.STD_COLS, "ouni")))
@@ -43,9 +44,10 @@ def q_select_files(spark, sf):
 
 @register("sink_processed", IQ.sql(["proc"], IQ.out(IQ.O.cols_of(PROCESSED_COLUMNS, IQ.O.PROC_KINDS), "proc")))
 def q_sink_processed(spark, sf):
-    """A10: the processed table written as Parquet partitioned by Year and read back."""
+    """A10: the processed table, its fits kept in a store, written as Parquet partitioned by Year and read back."""
     path = SK.scratch_path(spark, "processed")
-    SK.sink_processed(IQ.events_processed(spark, sf), path)
+    unified = IQ.events_unified(spark, sf)
+    SK.sink_processed(PL.processed_table(unified, store=PL.fit_incidents(unified, SK.scratch_path(spark, "fits"))), path)
     back = spark.read.parquet(path)
     return back.select(*[F.col(f"`{c}`") for c in PROCESSED_COLUMNS])
 
