@@ -111,6 +111,12 @@ def _node(u: str) -> str:
 
 _SAID = "CASE WHEN {0} IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN {0} IS NOT NULL THEN 'block' END"
 
+def _unescape(e: str) -> str:
+    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&#x2F;", "/"), ("&#47;", "/"), ("&amp;", "&")):
+        e = f"replace({e}, '{entity}', '{ch}')"
+    return e
+
+
 OP10 = rf"""WITH RECURSIVE u0 AS (
   SELECT row_number() OVER () AS rid, page_id, url, {_host('url')} AS host, {_path('url')} AS path, {_node('url')} AS own,
     list_concat(
@@ -120,13 +126,17 @@ OP10 = rf"""WITH RECURSIVE u0 AS (
                      lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS tags
   FROM pages),
 u1 AS (SELECT *, {_rule('host', 'path')} AS rule FROM u0),
-lk0 AS (SELECT rid, unnest(range(1, len(tags) + 1)) AS k, replace(unnest(tags), '&amp;', '&') AS t,
+lk0 AS (SELECT rid, unnest(range(1, len(tags) + 1)) AS k, {_unescape('unnest(tags)')} AS t, coalesce(url, '') AS base,
           regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s,
           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS h,
           regexp_replace(path, '[^/]*$', '') AS f FROM u1),
-lk1 AS (SELECT rid, k, CASE WHEN t = '' THEN '' WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-          WHEN s = '' THEN '' WHEN starts_with(t, '/') THEN s || '://' || h || t
-          ELSE s || '://' || h || CASE WHEN f = '' THEN '/' ELSE f END || t END AS x FROM lk0),
+lkp AS (SELECT *, CASE WHEN starts_with(t, '/') THEN '' WHEN f = '' THEN '/' ELSE f END || regexp_replace(t, '(?s)[?#].*$', '') AS p,
+          regexp_extract(t, '(?s)[?#].*$') AS q FROM lk0),
+lk1 AS (SELECT rid, k, CASE WHEN t = '' THEN '' WHEN starts_with(t, '//') THEN 'http:' || t
+          WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN s = '' THEN ''
+          WHEN left(t, 1) IN ('?', '#') THEN regexp_replace(base, '(?s)[?#].*$', '') || t
+          ELSE s || '://' || h || '/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(p[2:], '/'), lambda g: [g])),
+            lambda a, g: CASE g[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, g) END), '/') || q END AS x FROM lkp),
 lk AS (SELECT rid, k, {_node('x')} AS other, {_host('x')} AS xh, {_path('x')} AS xp FROM lk1 WHERE {_node('x')} IS NOT NULL),
 u2 AS (SELECT u1.*, coalesce(own, (SELECT arg_min(other, k) FROM lk WHERE lk.rid = u1.rid)) AS node FROM u1),
 eg AS (SELECT DISTINCT node AS a, other AS b FROM u2 JOIN lk USING (rid) WHERE node <> other),

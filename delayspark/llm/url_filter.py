@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import decode_entities, resolve_url
 from .common import let, written
 from .graph import components
 
@@ -82,7 +83,8 @@ def node_of(url: Column) -> Column:
 
 
 def links_of(url: Column, html: Column) -> Column:
-    """Absolute addresses of a page's canonical links and redirects."""
+    """Absolute addresses of a page's canonical links and redirects: entities decoded, relative ones
+    joined to the page's own address with their dot segments folded."""
     html = F.coalesce(html, F.lit(""))
     tags = F.concat(
         F.when(F.regexp_like(html, F.lit("(?i)canonical")), F.transform(
@@ -92,16 +94,11 @@ def links_of(url: Column, html: Column) -> Column:
             F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1)))
         .otherwise(F.array().cast("array<string>")))
     base = F.coalesce(url, F.lit(""))
-    scheme = F.regexp_extract(base, SCHEME, 1)
-    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, ADDRESS, 1))
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+
     def absolute(t: Column) -> Column:
-        return (F.when(F.contains(t, F.lit("://")), t)
-                .when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t))
-                .when(scheme == "", F.lit(""))
-                .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
-                .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), t)))
-    fixed = F.transform(tags, lambda t: F.when(t == "", t).otherwise(absolute(F.replace(t, F.lit("&amp;"), F.lit("&")))))
+        return F.when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t)).otherwise(resolve_url(base, t))
+
+    fixed = F.transform(tags, lambda t: F.when(t == "", t).otherwise(let(decode_entities(t), absolute)))
     return let(fixed, lambda x: F.array_distinct(F.filter(x, lambda t: node_of(t).isNotNull())))
 
 

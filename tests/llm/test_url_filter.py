@@ -1,8 +1,11 @@
 import random
 
+import duckdb
+
 from delayspark.llm import url_filter as U
 from delayspark.llm.graph import components
 from delayspark.llm.queries import URL_RULES
+from delayspark.llm.queries_sql import OP10
 
 CANON = '<html><head><LINK href="{}" rel=canonical></head></html>'
 JUMP = "<meta http-equiv='Refresh' content='0; URL={}'>"
@@ -43,6 +46,29 @@ def test_blocks_reach_aliases_and_an_allow_outweighs_them(spark):
         11: ("allow", "default")}
 
 
+RELATIVE = [
+    (1, "http://a.org/en/x/page", CANON.format("../../old/./y")), (2, "http://a.org/old/y", JUMP.format("http://bad.net/es/1")),
+    (3, "http://c.org/d/e?x=1", CANON.format("../../../f")), (4, "http://c.org/f", CANON.format("//g.net&#x2F;fr/1")),
+    (5, "http://h.org/i/j", CANON.format("?v=2")), (6, "http://h.org/i/j?v=2", CANON.format("http://k.net/es/2")),
+    (7, "http://l.org/m", CANON.format("mailto:x")), (8, "http://n.org/o/", CANON.format("p?q=http://r.net/es/")),
+    (9, "http://n.org/o/p?q=http://r.net/es/", ""), (10, "http://s.org/t/u", CANON.format("./")), (11, "http://s.org/t", CANON.format("http://v.net/fr/")),
+    (12, None, CANON.format("../w")), (13, "http://y.org", CANON.format("z/../b")), (14, "http://y.org/b", CANON.format("http://k.net/es/2"))]
+
+
+def test_relative_links_are_folded_and_entities_decoded(spark):
+    got = verdicts(spark, [(*r, "h", 1, "n") for r in RELATIVE])
+    assert {k for k, r in got.items() if r["reason"] == "alias" and r["verdict"] == "block"} == {1, 2, 3, 4, 5, 6, 10, 11, 13, 14}
+
+
+def test_sql_agrees_on_relative_links(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", RELATIVE)
+    want = {tuple(r) for r in con.execute(f"SELECT page_id, host, path, rule, verdict, reason FROM ({OP10})").fetchall()}
+    got = verdicts(spark, [(*r, "h", 1, "n") for r in RELATIVE])
+    assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["reason"]) for r in got.values()} == want
+
+
 def test_no_pages(spark):
     assert verdicts(spark, []) == {}
 
